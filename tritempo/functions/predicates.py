@@ -10,11 +10,10 @@ import operator
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tritempo.constants import DELETED, IDENTIFIER, REFERENCE_TIME
+from tritempo.constants import DELETED, REFERENCE_TIME
 from tritempo.functions.timebounds import Interval, point
 from tritempo.functions.timecols import as_column, ntz
 
@@ -26,11 +25,6 @@ OPERATORS: dict[str, Callable] = {
     "<=": operator.le,
 }
 
-#: up to this many ids are written into the predicate, where the scan can use them
-INLINE_IDS = 1000
-#: up to this many ids (8 bytes each) the id table is broadcast
-BROADCAST_IDS = 1_000_000
-
 
 def compare(field: Column | str, op: str, value: object) -> Column:
     """``field op value`` for the five comparison operators."""
@@ -81,37 +75,3 @@ def lite_range(since: str, until: str | None = None, *, field: Column | str = RE
 def not_deleted(include_deleted: bool = False, *, field: Column | str = DELETED) -> Column:
     """Drops rows flagged deleted. Apply it after version selection."""
     return F.lit(True) if include_deleted else ~as_column(field)
-
-
-def check_ids(ids: list[int]) -> list[int]:
-    """Ids must be positive and unique."""
-    if not ids:
-        raise ValueError("no identifier given")
-    if any(value <= 0 for value in ids):
-        raise ValueError("identifiers must be positive")
-    if len(set(ids)) != len(ids):
-        raise ValueError("identifiers must be unique")
-    return ids
-
-
-def with_ids(df: DataFrame, ids: list[int] | DataFrame, *, id_col: str = IDENTIFIER) -> DataFrame:
-    """Keep the rows of the requested ids.
-
-    A short list becomes a pushed-down IN. A longer list becomes a semi join
-    whose id table is broadcast while the list is short enough for that. An id
-    DataFrame (one column) is semi joined with the strategy left to Spark.
-    """
-    if isinstance(ids, DataFrame):
-        return df.join(ids.select(F.col(ids.columns[0]).alias(id_col)), id_col, "left_semi")
-    check_ids(ids)
-    if len(ids) <= INLINE_IDS:
-        return df.filter(F.col(id_col).isin(ids))
-    table = id_table(df.sparkSession, ids, id_col)
-    if len(ids) <= BROADCAST_IDS:
-        table = F.broadcast(table)
-    return df.join(table, id_col, "left_semi")
-
-
-def id_table(spark: SparkSession, ids: list[int], id_col: str = IDENTIFIER) -> DataFrame:
-    schema = T.StructType([T.StructField(id_col, T.LongType(), False)])
-    return spark.createDataFrame([(int(value),) for value in ids], schema)

@@ -82,24 +82,18 @@ def format_timestamp(column: Column | str, zone: Column | str | None = None, *,
     """
     utc = as_column(column)
     local = utc_to_zone(utc, zone)
-    millis = F.floor(F.extract(F.lit("SECOND"), local) * 1000).cast("int") % 1000
-    text = F.format_string(
-        "%sT%02d:%02d:%02d.%03d",
-        F.date_format(local.cast("date"), "yyyy-MM-dd"),
-        F.hour(local),
-        F.minute(local),
-        F.second(local),
-        millis,
-    )
-    if offset:
-        minutes = ((epoch_seconds(local) - epoch_seconds(utc)) / 60).cast("int")
-        text = F.concat(
-            text,
-            F.format_string(
-                "%s%02d:%02d",
-                F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")),
-                F.floor(F.abs(minutes) / 60).cast("int"),
-                F.abs(minutes) % 60,
-            ),
-        )
-    return F.when(utc.isNotNull(), text)
+    plain = local.cast("string")  # yyyy-MM-dd HH:mm:ss[.f..], without trailing zeros in the fraction
+    fraction = F.rpad(F.substring(plain, 21, 3), 3, "0")
+    parts = [F.substring(plain, 1, 10), F.lit("T"), F.substring(plain, 12, 8), F.lit("."), fraction]
+    if offset and not isinstance(zone, Column) and zone_name(zone) == "UTC":
+        parts.append(F.lit("+00:00"))
+    elif offset:
+        minutes = F.floor((epoch_seconds(local) - epoch_seconds(utc)) / 60)
+        ahead = F.abs(minutes)
+        parts += [
+            F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")),
+            F.lpad(F.floor(ahead / 60).cast("string"), 2, "0"),
+            F.lit(":"),
+            F.lpad((ahead % 60).cast("string"), 2, "0"),
+        ]
+    return F.concat(*parts)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tritempo.constants import IDENTIFIER
 from tritempo.functions.catalogcols import derive_source, switchover_group
 from tritempo.functions.mapped import MappedColumn, Mapping
+from tritempo.operators.joins import lookup_join
 
 #: attributes that belong to the series, not to one of its columns
 SERIES_COLUMNS = (
@@ -194,7 +195,7 @@ def with_mapping(
 ) -> DataFrame:
     """Data rows with attributes of their series; rows of unmapped series are dropped."""
     lookup = series.select(F.col("series_id").alias(id_col), *attributes)
-    return df.join(lookup, id_col)
+    return lookup_join(df, lookup, id_col)
 
 
 def distinct_ids(df: DataFrame, id_col: str = "series_id") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tritempo.constants import IDENTIFIER, REFERENCE_TIME
-from tritempo.operators.versions import max_reference_time
+from tritempo.operators.joins import lookup_join, stored
+from tritempo.operators.versions import at_max_reference_time, max_reference_time
 
 
 def watermarks(recent: DataFrame, *, id_col: str = IDENTIFIER) -> DataFrame:
@@ -18,8 +19,7 @@ def watermarks(recent: DataFrame, *, id_col: str = IDENTIFIER) -> DataFrame:
 
 def latest_global(df: DataFrame, *, id_col: str = IDENTIFIER) -> DataFrame:
     """Rows at the watermark of their series."""
-    top = watermarks(df, id_col=id_col).withColumnRenamed("Watermark", REFERENCE_TIME)
-    return df.join(top, [id_col, REFERENCE_TIME], "left_semi")
+    return at_max_reference_time(df, id_col)
 
 
 def hybrid_union(
@@ -31,13 +31,13 @@ def hybrid_union(
     the result reach both sides.
     """
     marks = watermarks(recent, id_col=id_col) if marks is None else marks
-    marks = marks.select(F.col(id_col), F.col("Watermark").alias("_mark"))
+    marks = stored(marks.select(F.col(id_col), F.col("Watermark").alias("_mark")))
     older = (
-        archive.join(marks, id_col, "left")
+        lookup_join(archive, marks, id_col, "left")
         .filter(F.col("_mark").isNull() | (F.col(REFERENCE_TIME) < F.col("_mark")))
         .drop("_mark")
     )
-    newer = recent.join(marks, id_col).filter(F.col(REFERENCE_TIME) >= F.col("_mark")).drop("_mark")
+    newer = lookup_join(recent, marks, id_col).filter(F.col(REFERENCE_TIME) >= F.col("_mark")).drop("_mark")
     return older.unionByName(newer, allowMissingColumns=True)
 
 

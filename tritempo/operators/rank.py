@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tritempo.constants import IDENTIFIER, VERSIONED_IDENTIFIER
 from tritempo.functions.mapped import Mapping, find
+from tritempo.operators.joins import lookup_join
 
 Order = tuple[str, str]
 EXCLUDED = tuple(name.lower() for name in (IDENTIFIER, VERSIONED_IDENTIFIER, "RelativeDeliveryPeriod"))
@@ -81,5 +82,5 @@ def rank_over(
     values = values.withColumn("_rank", rank)
     wanted = F.col("_rank") <= cutoff if how == "left_anti" else F.col("_rank").between(low, high)
     chosen = values.filter(wanted).select(*[F.col(name).alias(f"_{name}") for name in keys])
-    match = reduce(and_, [df[name].eqNullSafe(chosen[f"_{name}"]) for name in keys])
-    return df.join(chosen, match, how)
+    match = reduce(and_, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in keys])
+    return lookup_join(df, chosen, match, how, store=True)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tritempo.constants import CREATED_ON, DELETED, REFERENCE_TIME, VERSIONED_IDENTIFIER
 from tritempo.functions.predicates import at, not_deleted
+from tritempo.operators.joins import lookup_join
 
 DEFAULT_KEYS = (VERSIONED_IDENTIFIER, REFERENCE_TIME)
 
@@ -68,13 +69,10 @@ def at_max_reference_time(
     of: DataFrame | None = None,
     reference: str = REFERENCE_TIME,
 ) -> DataFrame:
-    """Rows of ``df`` at the largest reference time of their series in ``of`` (default: ``df``).
-
-    The join strategy follows the size of the per-series table at run time.
-    """
+    """Rows of ``df`` at the largest reference time of their series in ``of`` (default: ``df``)."""
     top = max_reference_time(df if of is None else of, id_col, reference=reference)
     top = top.select(F.col(id_col), F.col("MaxReferenceTime").alias(reference))
-    return df.join(top, [id_col, reference], "left_semi")
+    return lookup_join(df, top, [id_col, reference], "left_semi", store=True)
 
 
 def latest_reference_time(

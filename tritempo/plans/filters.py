@@ -10,6 +10,7 @@ from tritempo.functions import predicates as P
 from tritempo.functions import timebounds as tb
 from tritempo.functions.shape import Shape
 from tritempo.operators.archive import archive_decode, delivery_and_relative, delivery_hours, relative_delivery
+from tritempo.operators.ids import with_ids
 from tritempo.operators.pruning import quote_day_range, quote_index_range
 from tritempo.operators.versions import latest_version
 from tritempo.functions.mapped import json_value
@@ -189,7 +190,7 @@ def filter_now_plan(spark, sf):
     WHERE "Identifier" IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"""))
 def filter_id_list_plan(spark, sf):
     ids = fx.table(spark, sf, "customer").filter("c_acctbal > 0").select("c_custkey")
-    return P.with_ids(_ts(spark, sf), ids)
+    return with_ids(_ts(spark, sf), ids)
 
 
 @plan("filter_lite_range", with_sql("ts_points", _TS + """
@@ -219,6 +220,7 @@ def filter_versioned_value_plan(spark, sf):
 # --- archive filters -----------------------------------------------------
 
 _ARCHIVE = """SELECT ts_id, quote_index, del_y, del_m, del_d, del_h, del_offset, value FROM archive_hours """
+_HOUR = "((del_y * 100 + del_m) * 100 + del_d) * 100 + del_h"  # yyyymmddhh, ordered like the four fields
 _ARCHIVE_COLUMNS = ("ts_id", "quote_index", "del_y", "del_m", "del_d", "del_h", "del_offset", "value")
 _RDP = "date_diff('day', make_date(qte_y, qte_m, qte_d), make_date(del_y, del_m, del_d)) * 24 + del_h"
 
@@ -228,7 +230,7 @@ def _archive(spark, sf):
 
 
 @plan("filter_delivery_hours", with_sql("archive_hours", _ARCHIVE + """
-    WHERE (del_y, del_m, del_d, del_h) >= (1998, 7, 7, 12) AND (del_y, del_m, del_d, del_h) <= (1999, 1, 10, 13)"""))
+    WHERE """ + _HOUR + " >= 1998070712 AND " + _HOUR + " <= 1999011013"))
 def filter_delivery_hours_plan(spark, sf):
     condition = delivery_hours(
         [
@@ -248,8 +250,7 @@ def filter_relative_delivery_plan(spark, sf):
 
 
 @plan("filter_delivery_and_relative", with_sql("archive_hours", _ARCHIVE + f"""
-    WHERE (del_y, del_m, del_d, del_h) >= (1998, 7, 7, 2) AND (del_y, del_m, del_d, del_h) < (2000, 7, 7, 2)
-      AND {_RDP} <= 36"""))
+    WHERE {_HOUR} >= 1998070702 AND {_HOUR} < 2000070702 AND {_RDP} <= 36"""))
 def filter_delivery_and_relative_plan(spark, sf):
     bounds = [("DeliveryStart", "in", tb.interval("1998-07-07T00:00:00Z", "2000-07-07T00:00:00Z"))]
     return _archive(spark, sf).filter(delivery_and_relative(bounds, [("<=", 36)], ZONE)).select(*_ARCHIVE_COLUMNS)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tritempo.constants import QUOTE_INDEX, VERSIONED_IDENTIFIER
 from tritempo.functions.catalogcols import archive_table
 from tritempo.functions.mapped import Mapping
-from tritempo.functions.predicates import with_ids
 from tritempo.functions.timecols import quote_index
+from tritempo.operators.ids import with_ids
 from tritempo.operators.project import logical_versioned, project_mapped
 
 

@@ -43,38 +43,24 @@ def row_positions(df: DataFrame, id_col: str, order: list[str], *, output: str =
     """
     kinds = {field.name: field.dataType for field in df.schema.fields}
     *leading, last = order
-    day = _coarse(order[0], kinds[order[0]], "day")
-    cell = [F.col(name) for name in leading]
-    cell.append(_coarse(last, kinds[last], "month" if leading else "minute"))
-    cell_names = [f"_cell{place}" for place in range(len(cell))]
-    keys = [id_col, "_day", *cell_names]
-    marked = df.withColumns({"_day": day, **dict(zip(cell_names, cell, strict=True))})
-
-    counts = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    in_day = Window.partitionBy(id_col, "_day").orderBy(*cell_names).rowsBetween(Window.unboundedPreceding, -1)
+    parts = [F.col(name) for name in leading] + [_coarse(last, kinds[last], "month" if leading else "minute")]
+    day = F.struct(F.col(id_col).alias("series"), _coarse(order[0], kinds[order[0]], "day").alias("day"))
+    cell = F.struct(day.alias("day"), F.struct(*[part.alias(f"c{n}") for n, part in enumerate(parts)]).alias("part"))
+    # struct keys match on nulls too, and windows and joins on the same struct share one partitioning
+    marked = df.withColumn("_cell", cell)
+
+    counts = marked.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_day", F.col("_cell.day"))
+    in_day = Window.partitionBy("_day").orderBy("_cell.part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_in_day", F.coalesce(F.sum("_rows").over(in_day), F.lit(0)))
-    days = counts.groupBy(id_col, "_day").agg(F.sum("_rows").alias("_day_rows"))
-    by_day = Window.partitionBy(id_col).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(id_col, "_day", F.coalesce(F.sum("_day_rows").over(by_day), F.lit(0)).alias("_before_day"))
-    starts = counts.join(_safe(days, [id_col, "_day"]), _match(counts, [id_col, "_day"])).select(
-        *[F.col(name).alias(f"_at{place}") for place, name in enumerate(keys)],
-        (F.col("_in_day") + F.col("_before_day")).alias("_start"),
-    )
-
-    in_cell = Window.partitionBy(*keys).orderBy(*order)
-    placed = marked.withColumn("_place", F.row_number().over(in_cell))
-    match = [placed[name].eqNullSafe(starts[f"_at{place}"]) for place, name in enumerate(keys)]
-    return placed.join(starts, match).select(
-        *df.columns, (F.col("_start") + F.col("_place") - 1).alias(output)
-    )
-
-
-def _safe(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.withColumnsRenamed({name: f"_of{place}" for place, name in enumerate(names)})
+    days = counts.groupBy("_day").agg(F.sum("_rows").alias("_day_rows"))
+    by_day = Window.partitionBy("_day.series").orderBy("_day.day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("_day", F.coalesce(F.sum("_day_rows").over(by_day), F.lit(0)).alias("_before_day"))
+    starts = counts.join(days, "_day").select("_cell", (F.col("_in_day") + F.col("_before_day")).alias("_start"))
 
-
-def _match(df: DataFrame, names: list[str]) -> list[Column]:
-    return [df[name].eqNullSafe(F.col(f"_of{place}")) for place, name in enumerate(names)]
+    in_cell = Window.partitionBy("_cell").orderBy(*order)
+    placed = marked.withColumn("_place", F.row_number().over(in_cell))
+    position = F.col("_start") + F.col("_place") - 1
+    return placed.join(starts, "_cell").select(*df.columns, position.alias(output))
 
 
 def column_batches(
