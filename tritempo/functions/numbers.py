@@ -16,44 +16,52 @@ def adaptive_round(column: Column | str, *, null_as_zero: bool = False) -> Colum
     return F.round(value * 1e10, 0) / F.lit(1e10)
 
 
-def _shortest(value: Column) -> Column:
-    """Scientific or plain text with the fewest digits that read back as the same double.
+def _trimmed(text: Column, scale: int) -> Column:
+    """Decimal text of a number text in exponent form, without trailing zeros."""
+    plain = text.cast(f"decimal(38,{scale})").cast("string")
+    return F.regexp_replace(plain, r"\.?0+$", "")
+
+
+def _long(size: Column) -> Column:
+    """Text of a double from 2^53 up to 2^63: the most zeros at the end that still give the double back."""
+    exact = size.cast("bigint")
+    text = exact.cast("string")
+    for zeros in (1, 2, 3):
+        rounded = F.round(exact, -zeros)
+        text = F.when(rounded.cast("double") == size, rounded.cast("string")).otherwise(text)
+    return text
+
+
+def _huge(text: Column) -> Column:
+    digits = F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit(""))
+    zeros = F.substring_index(text, "E", -1).cast("int") - F.length(digits) + 1
+    return F.concat(F.substring(digits, F.lit(1), F.length(digits) + zeros), F.repeat(F.lit("0"), zeros))
 
-    The JVM may print one digit too many for doubles that need 16 or 17 digits,
-    so for long texts the 15- and 16-digit roundings are tried first.
-    """
-    text = value.cast("string")
-    best = text
-    for digits in (16, 15):
-        rounded = F.format_string(f"%.{digits - 1}E", value)
-        trimmed = F.regexp_replace(rounded, r"0+E", "E")
-        trimmed = F.regexp_replace(trimmed, r"\.E", ".0E")
-        trimmed = F.regexp_replace(trimmed, r"E([+-])0*(\d)", "E$1$2")
-        trimmed = F.regexp_replace(trimmed, r"E\+", "E")
-        same = trimmed.try_cast("double") == value
-        best = F.when((F.length(F.regexp_replace(text, r"[-.]|E.*", "")) >= digits + 1) & same, trimmed).otherwise(best)
-    return best
+
+def _tiny(text: Column) -> Column:
+    digits = F.rtrim(F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit("")), F.lit("0"))
+    zeros = -F.substring_index(text, "E", -1).cast("int") - 1
+    return F.concat(F.lit("0."), F.repeat(F.lit("0"), zeros), digits)
 
 
 def format_number(column: Column | str) -> Column:
-    """Shortest decimal text of a double, never in exponent form."""
+    """Shortest decimal text of a double, never in exponent form.
+
+    From 2^63 on the digits are the JVM's: they give the double back but may not be the fewest.
+    """
     value = as_column(column).cast("double")
-    text = _shortest(value)
-    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    body = F.ltrim(text, F.lit("-"))
-    mantissa = F.regexp_replace(F.substring_index(body, "E", 1), r"\.0$", "")
-    digits = F.replace(mantissa, F.lit("."), F.lit(""))
-    exponent = F.coalesce(F.try_element_at(F.split(body, "E"), F.lit(2)).cast("int"), F.lit(0))
-    point = exponent + 1  # an exponent always follows a one-digit integer part
-    width = F.length(digits)
-    expanded = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= width, F.concat(digits, F.repeat(F.lit("0"), point - width)))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, width)))
-    )
-    plain = F.when(F.contains(body, F.lit("E")), expanded).otherwise(mantissa)
-    return (
+    size = F.abs(value)
+    text = size.cast("string")
+    digits = (
         F.when(F.isnan(value), F.lit("NaN"))
-        .when(body == "Infinity", F.when(sign == "-", F.lit("-Inf")).otherwise(F.lit("+Inf")))
-        .otherwise(F.concat(sign, plain))
+        .when(size == float("inf"), F.lit("Inf"))
+        .when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", ""))
+        .when(size >= 2.0**63, _huge(text))
+        .when(size >= 2.0**53, _long(size))
+        .when(size >= 1, _trimmed(text, 16))
+        .when(size >= 1e-20, _trimmed(text, 37))
+        .otherwise(_tiny(text))
     )
+    sign = F.when(F.startswith(value.cast("string"), F.lit("-")), F.lit("-"))
+    sign = sign.when(value == float("inf"), F.lit("+")).otherwise(F.lit(""))
+    return F.concat(sign, digits)

@@ -4,13 +4,12 @@
 no event-time processing in it.
 
 Cutting a series into batches needs the position of each row in its series. A
-window over the series alone would put a hot series into one task, so positions
-are built from three parts, each computed on small groups: rows of earlier days
-of the series, rows of earlier cells of the same day, and the row's place in
-its cell. A cell is fine-grained: all order columns but the last are taken as
-they are, and the last is cut to a month (to a minute if it is the only one).
-Only cell counts are summed up, so the rows themselves are shuffled once for
-positions and once for batches.
+window over the series alone would put a hot series into one task, so the rows
+are laid into nested cells (day, minute, exact order values with the last one
+cut to its month) and a position is the sum of: rows in earlier days of the
+series, rows in earlier minutes of the day, rows in earlier cells of the
+minute, and the place in the cell. Only cell counts are summed up; the rows
+themselves are shuffled once for positions and once for batches.
 """
 
 from __future__ import annotations
@@ -35,32 +34,46 @@ def _coarse(column: str, kind: T.DataType, unit: str) -> Column:
     return value
 
 
+def _cell_parts(order: list[str], kinds: dict[str, T.DataType]) -> list[Column]:
+    """Order-preserving keys of the nested cells, coarse to fine."""
+    *leading, last = order
+    first = kinds[order[0]]
+    parts = [_coarse(order[0], first, "day"), _coarse(order[0], first, "minute")]
+    if leading:
+        fine = [F.col(name) for name in leading] + [_coarse(last, kinds[last], "month")]
+        parts.append(F.struct(*[part.alias(f"c{place}") for place, part in enumerate(fine)]))
+    return parts
+
+
+def _cell_starts(counts: DataFrame, depth: int) -> DataFrame:
+    """Position of the first row of every cell in its series, from the row counts per cell."""
+    window = Window.partitionBy("_outer").orderBy("_cell.part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_outer", F.col("_cell.outer"))
+    inside = F.coalesce(F.sum("_rows").over(window), F.lit(0))
+    if depth == 1:
+        return counts.select("_cell", inside.alias("_start"))
+    outer = counts.groupBy("_outer").agg(F.sum("_rows").alias("_rows")).withColumnRenamed("_outer", "_cell")
+    outer = _cell_starts(outer, depth - 1).select(F.col("_cell").alias("_outer"), F.col("_start").alias("_before"))
+    placed = counts.withColumn("_inside", inside).join(outer, "_outer")
+    return placed.select("_cell", (F.col("_inside") + F.col("_before")).alias("_start"))
+
+
 def row_positions(df: DataFrame, id_col: str, order: list[str], *, output: str = "_position") -> DataFrame:
     """Rows with their zero-based position in their series by the order columns.
 
     The order columns should identify a row within its series; rows that tie on
     all of them get neighbouring positions in no particular order.
     """
-    kinds = {field.name: field.dataType for field in df.schema.fields}
-    *leading, last = order
-    parts = [F.col(name) for name in leading] + [_coarse(last, kinds[last], "month" if leading else "minute")]
-    day = F.struct(F.col(id_col).alias("series"), _coarse(order[0], kinds[order[0]], "day").alias("day"))
-    cell = F.struct(day.alias("day"), F.struct(*[part.alias(f"c{n}") for n, part in enumerate(parts)]).alias("part"))
-    # struct keys match on nulls too, and windows and joins on the same struct share one partitioning
+    parts = _cell_parts(order, {field.name: field.dataType for field in df.schema.fields})
+    # struct keys match on nulls too, and a window and a join on the same struct share one partitioning
+    cell = F.struct(F.col(id_col).alias("series"))
+    for part in parts:
+        cell = F.struct(cell.alias("outer"), part.alias("part"))
     marked = df.withColumn("_cell", cell)
-
-    counts = marked.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_day", F.col("_cell.day"))
-    in_day = Window.partitionBy("_day").orderBy("_cell.part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_in_day", F.coalesce(F.sum("_rows").over(in_day), F.lit(0)))
-    days = counts.groupBy("_day").agg(F.sum("_rows").alias("_day_rows"))
-    by_day = Window.partitionBy("_day.series").orderBy("_day.day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("_day", F.coalesce(F.sum("_day_rows").over(by_day), F.lit(0)).alias("_before_day"))
-    starts = counts.join(days, "_day").select("_cell", (F.col("_in_day") + F.col("_before_day")).alias("_start"))
-
+    starts = _cell_starts(marked.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")), len(parts))
     in_cell = Window.partitionBy("_cell").orderBy(*order)
     placed = marked.withColumn("_place", F.row_number().over(in_cell))
-    position = F.col("_start") + F.col("_place") - 1
-    return placed.join(starts, "_cell").select(*df.columns, position.alias(output))
+    return placed.join(starts, "_cell").select(*df.columns, (F.col("_start") + F.col("_place") - 1).alias(output))
 
 
 def column_batches(
