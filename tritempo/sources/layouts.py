@@ -2,24 +2,26 @@
 
 from pyspark.sql import types as T
 
+_LONG, _INT, _DOUBLE, _TEXT, _FLAG = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.BooleanType()
+_TIME = T.TimestampNTZType()
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
 
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
+
+#: value columns of a series follow these
 RECENT = _schema(
-    "Identifier BIGINT, ReferenceTime TIMESTAMP_NTZ, DeliveryStart TIMESTAMP_NTZ, DeliveryEnd TIMESTAMP_NTZ, "
-    "quote_index INT"
-)
-VERSIONED = _schema(
-    "MdoId BIGINT, ReferenceTime TIMESTAMP_NTZ, CreatedOn TIMESTAMP_NTZ, Deleted BOOLEAN, payload STRING"
+    Identifier=_LONG, ReferenceTime=_TIME, DeliveryStart=_TIME, DeliveryEnd=_TIME, quote_index=_INT,
 )
+#: key columns of a category beyond the reference time come on top
+VERSIONED = _schema(MdoId=_LONG, ReferenceTime=_TIME, CreatedOn=_TIME, Deleted=_FLAG, payload=_TEXT)
 ARCHIVE = _schema(
-    "ts_id STRING, qte_y INT, qte_m INT, qte_d INT, quote_index INT, publish_time TIMESTAMP_NTZ, "
-    "del_y INT, del_m INT, del_d INT, del_h INT, del_min INT, del_offset INT, value DOUBLE"
+    ts_id=_TEXT, qte_y=_INT, qte_m=_INT, qte_d=_INT, quote_index=_INT, publish_time=_TIME,
+    del_y=_INT, del_m=_INT, del_d=_INT, del_h=_INT, del_min=_INT, del_offset=_INT, value=_DOUBLE,
 )
 CATALOG = _schema(
-    "series_id BIGINT, category STRING, source STRING, resolution STRING, archive_id STRING, versioned_id BIGINT, "
-    "switchover STRING, split_query BOOLEAN, timezone STRING, column_ordinal INT, logical STRING, physical STRING, "
-    "data_type STRING, is_key BOOLEAN, is_projectable BOOLEAN, order_priority INT, key_ordering INT, value_ordering INT"
+    series_id=_LONG, category=_TEXT, source=_TEXT, resolution=_TEXT, archive_id=_TEXT, versioned_id=_LONG,
+    switchover=_TEXT, split_query=_FLAG, timezone=_TEXT, column_ordinal=_INT, logical=_TEXT, physical=_TEXT,
+    data_type=_TEXT, is_key=_FLAG, is_projectable=_FLAG, order_priority=_INT, key_ordering=_INT, value_ordering=_INT,
 )
