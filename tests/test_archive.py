@@ -82,11 +82,12 @@ def test_one_sided_windows_reach_twenty_years(spark):
     assert data.filter(delivery_hours(late, Z, one_sided_years=None)).count() == 3
 
 
-def test_delivery_window_reaches_the_scan(spark, tmp_path, physical_plan):
+def test_delivery_window_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "archive")
     rows(spark, (dt(2025, 7, 7), dt(2025, 7, 7, 1), 2, 1.0)).write.parquet(path)
     condition = delivery_hours([("DeliveryStart", ">=", dt(2025, 7, 7))], Z)
-    text = physical_plan(spark.read.parquet(path).filter(condition))
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = spark.read.parquet(path).filter(condition)._jdf.queryExecution().explainString(formatted)
     assert "GreaterThanOrEqual(del_y,2025)" in text and "LessThanOrEqual(del_y,2045)" in text
 
 

@@ -11,7 +11,7 @@ from tritempo.functions.catalogcols import archive_table, normalize_category, ro
 from tritempo.functions.mapped import json_value, json_values
 from tritempo.functions.numbers import adaptive_round, format_number
 from tritempo.functions.predicates import compare, lite_range, numeric
-from tritempo.functions.rdp import RULES, relative_delivery_period, relative_delivery_period_by
+from tritempo.functions.rdp import RESOLUTIONS, relative_delivery_period, relative_delivery_period_by
 from tritempo.functions.shape import Shape
 from tritempo.functions.timecols import format_timestamp, quote_index
 from zoneinfo import ZoneInfo
@@ -98,14 +98,19 @@ def expected_rdp(ref, dlv, resolution, gas=False):
 def test_relative_delivery_periods(spark, instants):
     pairs = list(zip(instants, reversed(instants), strict=True)) + [(x, x + timedelta(hours=5)) for x in instants]
     data = spark.createDataFrame(pairs, "r timestamp_ntz, d timestamp_ntz")
-    plain = [relative_delivery_period("r", "d", name).alias(name) for name in RULES]
+    plain = [relative_delivery_period("r", "d", name).alias(name) for name in RESOLUTIONS]
     gas = [relative_delivery_period("r", "d", name, delivery_resolution=kind).alias(f"gas_{name}")
            for name, kind in (("P6M", "Season"), ("P1Y", "Year"))]
     for row in data.select("r", "d", *plain, *gas).collect():
-        for name in RULES:
+        for name in RESOLUTIONS:
             assert row[name] == expected_rdp(row.r, row.d, name), (name, row)
         for name in ("P6M", "P1Y"):
             assert row[f"gas_{name}"] == expected_rdp(row.r, row.d, name, gas=True), (name, row)
+    for kind in ("", "Season", "Year"):
+        for name in RESOLUTIONS:
+            by_column = relative_delivery_period_by("r", "d", F.lit(name), delivery_resolution=kind)
+            direct = relative_delivery_period("r", "d", name, delivery_resolution=kind)
+            assert data.filter(~by_column.eqNullSafe(direct)).isEmpty()
     three = spark.createDataFrame([(dt(2024, 4, 26), dt(2024, 4, 26, 3), "PT1H"), (dt(2024, 4, 26), dt(2024, 4, 26, 3), "P2D")],
                                   "r timestamp_ntz, d timestamp_ntz, res string")
     found = [row.v for row in three.select(relative_delivery_period_by("r", "d", "res").alias("v")).collect()]
@@ -195,7 +200,7 @@ def test_results_do_not_depend_on_the_session_zone(spark, instants):
         return frame(spark, instants).select(
             "n", *[bucket_start("x", p, "Europe/Zurich").alias(p) for p in ("PT6H", "PT15M", "P1D", "P2W", "P1M", "P1Y")],
             format_timestamp("x", "Europe/Zurich").alias("t"), quote_index("x").alias("q"),
-            *[relative_delivery_period(F.lit(dt(2001, 3, 4).isoformat()).cast("timestamp_ntz"), "x", r).alias(f"r{r}") for r in RULES],
+            *[relative_delivery_period(F.lit(dt(2001, 3, 4).isoformat()).cast("timestamp_ntz"), "x", r).alias(f"r{r}") for r in RESOLUTIONS],
             Shape.of(["Jan"], ["Mon"], [("01:00:00", "02:30:00")]).predicate("x", "Europe/Zurich").alias("s"),
         ).orderBy("n").collect()
 

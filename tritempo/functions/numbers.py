@@ -19,10 +19,10 @@ def adaptive_round(column: Column | str, *, null_as_zero: bool = False) -> Colum
 def _trimmed(text: Column, scale: int) -> Column:
     """Decimal text of a number text in exponent form, without trailing zeros."""
     plain = text.cast(f"decimal(38,{scale})").cast("string")
-    return F.regexp_replace(plain, r"\.?0+$", "")
+    return F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
 
 
-def _long(size: Column) -> Column:
+def _integer(size: Column) -> Column:
     """Text of a double from 2^53 up to 2^63: the most zeros at the end that still give the double back."""
     exact = size.cast("bigint")
     text = exact.cast("string")
@@ -32,16 +32,23 @@ def _long(size: Column) -> Column:
     return text
 
 
-def _huge(text: Column) -> Column:
+def _expanded(size: Column) -> Column:
+    """Text of a double too large or too small for a decimal: its digits and zeros."""
+    text = size.cast("string")
     digits = F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit(""))
-    zeros = F.substring_index(text, "E", -1).cast("int") - F.length(digits) + 1
-    return F.concat(F.substring(digits, F.lit(1), F.length(digits) + zeros), F.repeat(F.lit("0"), zeros))
+    exponent = F.substring_index(text, "E", -1).cast("int")
+    after = exponent - F.length(digits) + 1
+    tiny = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), F.rtrim(digits, F.lit("0")))
+    huge = F.concat(F.substring(digits, F.lit(1), F.length(digits) + after), F.repeat(F.lit("0"), after))
+    return F.when(size < 1, tiny).otherwise(huge)
 
 
-def _tiny(text: Column) -> Column:
-    digits = F.rtrim(F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit("")), F.lit("0"))
-    zeros = -F.substring_index(text, "E", -1).cast("int") - 1
-    return F.concat(F.lit("0."), F.repeat(F.lit("0"), zeros), digits)
+def _rare(size: Column) -> Column:
+    """Sizes few data have. The lambda keeps their code out of the generated method, which must stay small."""
+    texts = F.transform(
+        F.array(size), lambda one: F.when(one.between(2.0**53, 2.0**63), _integer(one)).otherwise(_expanded(one))
+    )
+    return F.element_at(texts, 1)
 
 
 def format_number(column: Column | str) -> Column:
@@ -50,18 +57,17 @@ def format_number(column: Column | str) -> Column:
     From 2^63 on the digits are the JVM's: they give the double back but may not be the fewest.
     """
     value = as_column(column).cast("double")
+    text = value.cast("string")
     size = F.abs(value)
-    text = size.cast("string")
-    digits = (
-        F.when(F.isnan(value), F.lit("NaN"))
-        .when(size == float("inf"), F.lit("Inf"))
-        .when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", ""))
-        .when(size >= 2.0**63, _huge(text))
-        .when(size >= 2.0**53, _long(size))
-        .when(size >= 1, _trimmed(text, 16))
-        .when(size >= 1e-20, _trimmed(text, 37))
-        .otherwise(_tiny(text))
+    exponent = (
+        F.when(size.between(1.0, 2.0**53), _trimmed(text, 16))
+        .when(size.between(1e-20, 1.0), _trimmed(text, 37))
+        .otherwise(F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), _rare(size)))
+    )
+    plain = (
+        F.when(F.endswith(text, F.lit(".0")), F.substring(text, F.lit(1), F.length(text) - 2))
+        .when(text == "Infinity", F.lit("+Inf"))
+        .when(text == "-Infinity", F.lit("-Inf"))
+        .otherwise(text)
     )
-    sign = F.when(F.startswith(value.cast("string"), F.lit("-")), F.lit("-"))
-    sign = sign.when(value == float("inf"), F.lit("+")).otherwise(F.lit(""))
-    return F.concat(sign, digits)
+    return F.when(F.contains(text, F.lit("E")), exponent).otherwise(plain)

@@ -2,47 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tritempo.functions.timecols import as_column, days_since, epoch_micros, epoch_seconds
 
-#: resolution -> length in seconds, for resolutions counted on truncated instants
+#: resolution -> length in seconds, counted on instants cut to that length
 SECOND_UNITS = {"PT1H": 3600, "PT30M": 1800, "PT15M": 900, "PT5M": 300, "PT1M": 60, "PT4S": 4}
+#: resolution -> length in months, counted on calendar periods of the year
+MONTH_UNITS = {"P1M": 1, "P3M": 3, "P6M": 6, "P1Y": 12}
+#: resolution -> delivery resolution under which both times move to the gas calendar first
+GAS_CALENDAR = {"P6M": "Season", "P1Y": "Year"}
+RESOLUTIONS = (*MONTH_UNITS, "P1W", "P1D", *SECOND_UNITS)
 
 
-def _seconds_rule(unit: int) -> Callable[[Column, Column], Column]:
-    def rule(reference: Column, delivery: Column) -> Column:
-        return F.floor(epoch_seconds(delivery) / unit) - F.floor(epoch_seconds(reference) / unit)
-
-    return rule
-
-
-def _days(reference: Column, delivery: Column) -> Column:
-    elapsed = epoch_micros(delivery) - epoch_micros(reference)
-    day = F.lit(86_400_000_000)
-    return (elapsed - elapsed % day) / day
-
-
-def _weeks(reference: Column, delivery: Column) -> Column:
-    def monday(column: Column) -> Column:
-        return days_since(column, "1970-01-01") - F.weekday(column)
-
-    return (monday(delivery) - monday(reference)) / 7
-
-
-def _years_between(reference: Column, delivery: Column) -> Column:
-    return F.year(delivery) - F.year(reference)
-
+def _in_seconds(reference: Column, delivery: Column, unit: Column) -> Column:
+    return F.floor(epoch_seconds(delivery) / unit) - F.floor(epoch_seconds(reference) / unit)
 
-def _months(reference: Column, delivery: Column) -> Column:
-    return _years_between(reference, delivery) * 12 + F.month(delivery) - F.month(reference)
 
+def _in_months(reference: Column, delivery: Column, unit: Column, *, gas: bool = False) -> Column:
+    def period(column: Column) -> Column:
+        time = _gas_shifted(column) if gas else column
+        return F.floor((F.year(time) * 12 + F.month(time) - 1) / unit)
 
-def _quarters(reference: Column, delivery: Column) -> Column:
-    return _years_between(reference, delivery) * 4 + F.quarter(delivery) - F.quarter(reference)
+    return period(delivery) - period(reference)
 
 
 def _gas_shifted(column: Column) -> Column:
@@ -51,48 +34,56 @@ def _gas_shifted(column: Column) -> Column:
     return F.date_add(F.add_months(first, -9), F.dayofmonth(column) - 1)
 
 
-def _half(column: Column) -> Column:
-    return F.when(F.month(column) <= 6, 0).otherwise(1)
-
-
-def _half_years(reference: Column, delivery: Column) -> Column:
-    return _years_between(reference, delivery) * 2 + _half(delivery) - _half(reference)
+def _in_days(reference: Column, delivery: Column) -> Column:
+    elapsed = epoch_micros(delivery) - epoch_micros(reference)
+    day = F.lit(86_400_000_000)
+    return (elapsed - elapsed % day) / day
 
 
-RULES: dict[str, Callable[[Column, Column], Column]] = {
-    "P1Y": _years_between,
-    "P6M": _half_years,
-    "P3M": _quarters,
-    "P1M": _months,
-    "P1W": _weeks,
-    "P1D": _days,
-    **{name: _seconds_rule(unit) for name, unit in SECOND_UNITS.items()},
-}
+def _in_weeks(reference: Column, delivery: Column) -> Column:
+    def monday(column: Column) -> Column:
+        return days_since(column, "1970-01-01") - F.weekday(column)
 
-#: resolution -> delivery resolution under which both times move to the gas calendar first
-GAS_CALENDAR = {"P6M": "Season", "P1Y": "Year"}
+    return (monday(delivery) - monday(reference)) / 7
 
 
 def relative_delivery_period(
     reference: Column | str, delivery: Column | str, resolution: str, *, delivery_resolution: str = ""
 ) -> Column:
     """Relative delivery period for one resolution, as bigint; null for an unknown resolution."""
-    rule = RULES.get(resolution)
-    if rule is None:
-        return F.lit(None).cast("bigint")
     start, end = as_column(reference), as_column(delivery)
-    if delivery_resolution and GAS_CALENDAR.get(resolution) == delivery_resolution:
-        start, end = _gas_shifted(start), _gas_shifted(end)
-    return rule(start, end).cast("bigint")
+    if resolution in SECOND_UNITS:
+        period = _in_seconds(start, end, F.lit(SECOND_UNITS[resolution]))
+    elif resolution in MONTH_UNITS:
+        gas = bool(delivery_resolution) and GAS_CALENDAR.get(resolution) == delivery_resolution
+        period = _in_months(start, end, F.lit(MONTH_UNITS[resolution]), gas=gas)
+    elif resolution == "P1W":
+        period = _in_weeks(start, end)
+    elif resolution == "P1D":
+        period = _in_days(start, end)
+    else:
+        period = F.lit(None)
+    return period.cast("bigint")
+
+
+def _unit_of(resolution: Column, units: dict[str, int]) -> Column:
+    table = F.create_map(*[F.lit(part) for item in units.items() for part in item])
+    return F.try_element_at(table, resolution)
 
 
 def relative_delivery_period_by(
     reference: Column | str, delivery: Column | str, resolution: Column | str, *, delivery_resolution: str = ""
 ) -> Column:
     """Relative delivery period with the rule picked per row by a resolution column."""
-    chosen = as_column(resolution)
-    branches = F.lit(None).cast("bigint")
-    for name in RULES:
-        value = relative_delivery_period(reference, delivery, name, delivery_resolution=delivery_resolution)
-        branches = F.when(chosen == name, value).otherwise(branches)
-    return branches
+    start, end, chosen = as_column(reference), as_column(delivery), as_column(resolution)
+    period = (
+        F.when(chosen.isin(list(SECOND_UNITS)), _in_seconds(start, end, _unit_of(chosen, SECOND_UNITS)))
+        .when(chosen == "P1W", _in_weeks(start, end))
+        .when(chosen == "P1D", _in_days(start, end))
+        .when(chosen.isin(list(MONTH_UNITS)), _in_months(start, end, _unit_of(chosen, MONTH_UNITS)))
+    )
+    for name, kind in GAS_CALENDAR.items():
+        if delivery_resolution == kind:
+            gas = relative_delivery_period(start, end, name, delivery_resolution=kind)
+            period = F.when(chosen == name, gas).otherwise(period)
+    return period.cast("bigint")

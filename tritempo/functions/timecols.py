@@ -88,12 +88,12 @@ def format_timestamp(column: Column | str, zone: Column | str | None = None, *,
     if offset and not isinstance(zone, Column) and zone_name(zone) == "UTC":
         parts.append(F.lit("+00:00"))
     elif offset:
-        minutes = F.floor((epoch_seconds(local) - epoch_seconds(utc)) / 60)
-        ahead = F.abs(minutes)
+        ahead = local - utc
+        hours, minutes = F.extract(F.lit("HOUR"), ahead), F.extract(F.lit("MINUTE"), ahead)
         parts += [
-            F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")),
-            F.lpad(F.floor(ahead / 60).cast("string"), 2, "0"),
+            F.when(hours + minutes < 0, F.lit("-")).otherwise(F.lit("+")),
+            F.lpad(F.abs(hours).cast("string"), 2, "0"),
             F.lit(":"),
-            F.lpad((ahead % 60).cast("string"), 2, "0"),
+            F.lpad(F.abs(minutes).cast("string"), 2, "0"),
         ]
     return F.concat(*parts)

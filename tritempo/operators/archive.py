@@ -92,14 +92,16 @@ def _local_hour(field: str, instant: datetime, zone: str) -> datetime:
     return hour - timedelta(hours=1) if field.lower() == DELIVERY_END.lower() else hour
 
 
-def _delivery_tuple() -> Column:
-    return F.struct("del_y", "del_m", "del_d", "del_h")
+def _delivery_number() -> Column:
+    """The stored local delivery hour as a number that orders like its four fields."""
+    number = F.col("del_y").cast("bigint")
+    for field in ("del_m", "del_d", "del_h"):
+        number = number * 100 + F.col(field)
+    return number
 
 
-def _hour_tuple(hour: datetime) -> Column:
-    parts = (hour.year, hour.month, hour.day, hour.hour)
-    names = ("del_y", "del_m", "del_d", "del_h")
-    return F.struct(*[F.lit(part).alias(name) for part, name in zip(parts, names, strict=True)])
+def _hour_number(hour: datetime) -> int:
+    return ((hour.year * 100 + hour.month) * 100 + hour.day) * 100 + hour.hour
 
 
 def delivery_hours(
@@ -133,7 +135,9 @@ def delivery_hours(
         if side is not None:
             hour, is_strict = side
             condition = condition & OPERATORS[loose](F.col("del_y"), F.lit(hour.year))
-            condition = condition & OPERATORS[strict if is_strict else loose](_delivery_tuple(), _hour_tuple(hour))
+            condition = condition & OPERATORS[strict if is_strict else loose](
+                _delivery_number(), F.lit(_hour_number(hour))
+            )
     return condition
 
 
