@@ -3,12 +3,12 @@
 "Streaming" here is output in chunks of at most n rows of one series; there is
 no event-time processing in it.
 
-Cutting a series into batches needs the position of each row in its series. A
-window over the series alone would put a hot series into one task, so the rows
-are laid into nested cells (day, minute, exact order values with the last one
-cut to its month) and a position is the sum of: rows in earlier days of the
-series, rows in earlier minutes of the day, rows in earlier cells of the
-minute, and the place in the cell. Only cell counts are summed up; the rows
+Cutting a series into batches needs the position of each row in its series,
+which a window over the series gives as long as the series fits a task. Series
+with more rows are laid into nested cells (day, minute, exact order values with
+the last one cut to its month), and a position is the sum of: rows in earlier
+days of the series, rows in earlier minutes of the day, rows in earlier cells of
+the minute, and the place in the cell. Only cell counts are summed up; the rows
 themselves are shuffled once for positions and once for batches.
 """
 
@@ -20,12 +20,30 @@ from pyspark.sql import types as T
 
 from tritempo.constants import DEFAULT_BATCH_ROWS, DELIVERY_START, IDENTIFIER, REFERENCE_TIME, VERSIONED_IDENTIFIER
 from tritempo.functions.timecols import epoch_seconds
+from tritempo.operators.joins import lookup_join, stored
 from tritempo.sinks.text import output_value
 
 
+#: series with more rows than this are cut into cells before they are numbered
+HOT_SERIES_ROWS = 2_000_000
+
+
+def _lowest(kind: T.DataType) -> Column:
+    """A value no larger than any other of the type. Missing values sort first, so they may share its cell."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.expr("TIMESTAMP_NTZ '0001-01-01 00:00:00'")
+    if isinstance(kind, T.DateType):
+        return F.expr("DATE '0001-01-01'")
+    if isinstance(kind, T.StringType):
+        return F.lit("")
+    if isinstance(kind, T.BooleanType):
+        return F.lit(False)
+    return F.lit(float("-inf") if isinstance(kind, (T.DoubleType, T.FloatType)) else -(2**62)).cast(kind)
+
+
 def _coarse(column: str, kind: T.DataType, unit: str) -> Column:
     """A value that never decreases along a time column and has far fewer distinct values."""
-    value = F.col(column)
+    value = F.coalesce(F.col(column), _lowest(kind))
     if isinstance(kind, T.TimestampNTZType) and unit == "minute":
         return F.floor(epoch_seconds(value) / 60)
     if isinstance(kind, (T.TimestampNTZType, T.DateType)):
@@ -34,46 +52,59 @@ def _coarse(column: str, kind: T.DataType, unit: str) -> Column:
     return value
 
 
-def _cell_parts(order: list[str], kinds: dict[str, T.DataType]) -> list[Column]:
-    """Order-preserving keys of the nested cells, coarse to fine."""
+def _cell_levels(order: list[str], kinds: dict[str, T.DataType]) -> list[list[Column]]:
+    """Keys of the nested cells, coarse to fine: none is null and each follows the order."""
     *leading, last = order
     first = kinds[order[0]]
-    parts = [_coarse(order[0], first, "day"), _coarse(order[0], first, "minute")]
+    levels = [[_coarse(order[0], first, "day")], [_coarse(order[0], first, "minute")]]
     if leading:
-        fine = [F.col(name) for name in leading] + [_coarse(last, kinds[last], "month")]
-        parts.append(F.struct(*[part.alias(f"c{place}") for place, part in enumerate(fine)]))
-    return parts
+        exact = [F.coalesce(F.col(name), _lowest(kinds[name])) for name in leading]
+        levels.append([*exact, _coarse(last, kinds[last], "month")])
+    return levels
 
 
-def _cell_starts(counts: DataFrame, depth: int) -> DataFrame:
+def _cell_starts(counts: DataFrame, levels: list[list[str]]) -> DataFrame:
     """Position of the first row of every cell in its series, from the row counts per cell."""
-    window = Window.partitionBy("_outer").orderBy("_cell.part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_outer", F.col("_cell.outer"))
-    inside = F.coalesce(F.sum("_rows").over(window), F.lit(0))
-    if depth == 1:
-        return counts.select("_cell", inside.alias("_start"))
-    outer = counts.groupBy("_outer").agg(F.sum("_rows").alias("_rows")).withColumnRenamed("_outer", "_cell")
-    outer = _cell_starts(outer, depth - 1).select(F.col("_cell").alias("_outer"), F.col("_start").alias("_before"))
-    placed = counts.withColumn("_inside", inside).join(outer, "_outer")
-    return placed.select("_cell", (F.col("_inside") + F.col("_before")).alias("_start"))
-
-
-def row_positions(df: DataFrame, id_col: str, order: list[str], *, output: str = "_position") -> DataFrame:
+    *outer_levels, inner = levels
+    outer = [name for level in outer_levels for name in level]
+    window = Window.partitionBy(*outer).orderBy(*inner).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_start", F.coalesce(F.sum("_rows").over(window), F.lit(0)))
+    if len(outer_levels) > 1:
+        sums = counts.groupBy(*outer).agg(F.sum("_rows").alias("_rows"))
+        before = _cell_starts(sums, outer_levels).select(*outer, F.col("_start").alias("_before"))
+        counts = counts.join(before, outer).withColumn("_start", F.col("_start") + F.col("_before"))
+    return counts.select(*outer, *inner, "_start")
+
+
+def row_positions(
+    df: DataFrame, id_col: str, order: list[str], *, output: str = "_position", hot_rows: int = HOT_SERIES_ROWS
+) -> DataFrame:
     """Rows with their zero-based position in their series by the order columns.
 
     The order columns should identify a row within its series; rows that tie on
     all of them get neighbouring positions in no particular order.
     """
-    parts = _cell_parts(order, {field.name: field.dataType for field in df.schema.fields})
-    # struct keys match on nulls too, and a window and a join on the same struct share one partitioning
-    cell = F.struct(F.col(id_col).alias("series"))
-    for part in parts:
-        cell = F.struct(cell.alias("outer"), part.alias("part"))
-    marked = df.withColumn("_cell", cell)
-    starts = _cell_starts(marked.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows")), len(parts))
-    in_cell = Window.partitionBy("_cell").orderBy(*order)
-    placed = marked.withColumn("_place", F.row_number().over(in_cell))
-    return placed.join(starts, "_cell").select(*df.columns, (F.col("_start") + F.col("_place") - 1).alias(output))
+    # at most (rows / hot_rows) series are hot, so their ids are few however large the data is
+    hot = stored(df.groupBy(id_col).count().filter(F.col("count") > hot_rows).select(F.col(id_col).alias("_hot")))
+    by_series = Window.partitionBy(id_col).orderBy(*order)
+    if hot.isEmpty():
+        return df.withColumn(output, (F.row_number().over(by_series) - 1).cast("bigint"))
+
+    kinds = {field.name: field.dataType for field in df.schema.fields}
+    cells = _cell_levels(order, kinds)
+    names = [[f"_cell{depth}{place}" for place in range(len(level))] for depth, level in enumerate(cells)]
+    keys = [("_series", F.coalesce(F.col(id_col), _lowest(kinds[id_col])))]
+    for level, parts in zip(names, cells, strict=True):
+        # a series that is not hot is one cell
+        keys += [(name, F.when(F.col("_hot").isNotNull(), part)) for name, part in zip(level, parts, strict=True)]
+    marked = lookup_join(df, hot, F.col(id_col).eqNullSafe(F.col("_hot")), "left").withColumns(dict(keys))
+
+    flat = [name for name, _ in keys]
+    counts = marked.filter(F.col("_hot").isNotNull()).groupBy(*flat).agg(F.count(F.lit(1)).alias("_rows"))
+    starts = _cell_starts(counts, [["_series"], *names])
+    placed = marked.withColumn("_place", F.row_number().over(Window.partitionBy(*flat).orderBy(*order)))
+    position = F.coalesce(F.col("_start"), F.lit(0)) + F.col("_place") - 1
+    return placed.join(starts, flat, "left").select(*df.columns, position.alias(output))
 
 
 def column_batches(
@@ -83,6 +114,7 @@ def column_batches(
     order: list[str] | None = None,
     size: int = DEFAULT_BATCH_ROWS,
     zone: Column | str | None = None,
+    hot_rows: int = HOT_SERIES_ROWS,
 ) -> DataFrame:
     """Batches of at most ``size`` rows of one series: id, batch number, rows and a list per column.
 
@@ -91,7 +123,7 @@ def column_batches(
     if size <= 0:
         size = DEFAULT_BATCH_ROWS
     order = order or [name for name in (REFERENCE_TIME, DELIVERY_START) if name in df.columns]
-    placed = row_positions(df, id_col, order)
+    placed = row_positions(df, id_col, order, hot_rows=hot_rows)
     fields = [field for field in df.schema.fields if field.name not in (id_col, VERSIONED_IDENTIFIER)]
     row = F.struct("_position", *[output_value(field, zone, offset=True).alias(field.name) for field in fields])
     batches = placed.groupBy(
