@@ -36,6 +36,17 @@ def test_hybrid_union_partitions_its_inputs(spark, sf):
     assert merged.exceptAll(rows).isEmpty() and rows.exceptAll(merged).isEmpty()
 
 
+def test_filters_on_a_hybrid_union_reach_both_scans(spark, sf, tmp_path):
+    columns = ("Identifier", "ReferenceTime", "SettlementPrice")
+    for name in ("archive", "recent"):
+        fx.curve_points(spark, sf).select(*columns).write.parquet(str(tmp_path / name))
+    archive, recent = (spark.read.parquet(str(tmp_path / name)) for name in ("archive", "recent"))
+    merged = hybrid_union(archive, recent).filter(F.col("ReferenceTime") >= F.expr("TIMESTAMP_NTZ '1999-01-01'"))
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = merged._jdf.queryExecution().explainString(formatted)
+    assert text.count("GreaterThanOrEqual(ReferenceTime,1999-01-01T00:00)") == 2
+
+
 def test_unions_fill_missing_columns(spark):
     left, right = spark.createDataFrame([(1, "a")], "x int, y string"), spark.createDataFrame([(2, 3.0)], "x int, z double")
     assert [tuple(row) for row in union_requests(left, right).orderBy("x").collect()] == [(1, "a", None), (2, None, 3.0)]

@@ -16,11 +16,13 @@ from tritempo.constants import (
     IDENTIFIER,
     REFERENCE_TIME,
 )
+from tritempo.functions.catalogcols import series_zone
 from tritempo.functions.numbers import adaptive_round
 from tritempo.functions.predicates import OPERATORS
 from tritempo.functions.rdp import relative_delivery_period_by
 from tritempo.functions.timebounds import Interval, add_calendar, to_local, zone_name
 from tritempo.functions.timecols import as_column, plus_hours, utc_to_zone, zone_to_utc
+from tritempo.operators.joins import lookup_join
 
 #: ``(field, operator, UTC instant)`` or ``(field, "in", Interval)``
 DeliveryBound = tuple[str, str, datetime | Interval]
@@ -38,8 +40,9 @@ def archive_decode(
     zone: Column | str = DEFAULT_SERIES_ZONE,
     identifier: Column | str = "ts_id",
     null_as_zero: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Archive rows as logical rows with UTC times.
+    """Archive rows as logical rows with UTC times, and the columns named in ``keep``.
 
     The reference time is local midnight of the quote date. Delivery starts at
     the stored clock fields minus the stored offset and ends one hour of wall
@@ -58,9 +61,29 @@ def archive_decode(
         F.lit(None).cast("bigint").alias("RelativeDeliveryPeriod"),
         adaptive_round("value", null_as_zero=null_as_zero).alias("Value"),
         F.lit(None).cast("bigint").alias("LegacyDeliveryBucketNumber"),
+        *keep,
     )
 
 
+def archive_rows(
+    df: DataFrame, series: DataFrame, *, null_as_zero: bool = False, delivery_resolution: str = ""
+) -> DataFrame:
+    """Archive rows of catalogued series, decoded in the zone of each series.
+
+    ``series`` has one row per series (``catalog.series_of``); its archive id
+    finds the rows and its resolution gives the relative delivery period.
+    """
+    lookup = series.filter(F.trim(F.col("archive_id")) != "").select(
+        F.col("archive_id").alias("ts_id"), "series_id", series_zone("timezone").alias("_zone"), "resolution"
+    )
+    known = lookup_join(df, lookup, "ts_id")
+    rows = archive_decode(
+        known, zone=F.col("_zone"), identifier="series_id", null_as_zero=null_as_zero, keep=("resolution",)
+    )
+    filled = with_relative_delivery_period(rows, "resolution", delivery_resolution=delivery_resolution)
+    return filled.drop("resolution")
+
+
 def with_relative_delivery_period(
     df: DataFrame, resolution: Column | str, *, delivery: str | None = None, delivery_resolution: str = ""
 ) -> DataFrame:

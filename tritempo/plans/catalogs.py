@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tritempo.functions.catalogcols import route_source, switchover_group
 from tritempo.functions.timecols import format_timestamp
 from tritempo.operators import catalog as cat
-from tritempo.operators.archive import archive_decode
+from tritempo.operators.archive import archive_decode, archive_rows
 from tritempo.operators.hybrid import hybrid_union, union_requests
 from tritempo.operators.sort import sort_output
 from tritempo.plans import fixtures as fx
@@ -147,6 +147,24 @@ def distinct_ids_plan(spark, sf):
     return cat.distinct_ids(fx.mapping_rows(spark, sf))
 
 
+@plan("archive_rows", with_sql("archive_hours mapping_rows", """
+    SELECT series_id AS "Identifier", "ReferenceTime", "DeliveryStart",
+           CAST(CASE resolution
+               WHEN 'PT1H' THEN floor(epoch("DeliveryStart") / 3600.0) - floor(epoch("ReferenceTime") / 3600.0)
+               WHEN 'P1D' THEN CAST(epoch_us("DeliveryStart") - epoch_us("ReferenceTime") AS BIGINT) // 86400000000
+               WHEN 'P1M' THEN (year("DeliveryStart") - year("ReferenceTime")) * 12
+                               + month("DeliveryStart") - month("ReferenceTime") END AS BIGINT)
+               AS "RelativeDeliveryPeriod", "Value"
+    FROM (SELECT series_id, resolution, u AS "DeliveryStart", round(value * 1e10) / 1e10 AS "Value",
+                 timezone('UTC', timezone(zone, make_timestamp(qte_y, qte_m, qte_d, 0, 0, 0))) AS "ReferenceTime"
+          FROM archive_hours
+          JOIN (SELECT DISTINCT series_id, archive_id, resolution, coalesce(timezone, 'Europe/Zurich') AS zone
+                FROM mapping_rows WHERE archive_id IS NOT NULL) ON ts_id = archive_id)"""))
+def archive_rows_plan(spark, sf):
+    rows = archive_rows(fx.archive_hours(spark, sf), cat.series_of(fx.mapping_rows(spark, sf)))
+    return rows.select("Identifier", "ReferenceTime", "DeliveryStart", "RelativeDeliveryPeriod", "Value")
+
+
 # --- unions --------------------------------------------------------------
 
 @plan("hybrid_union", with_sql("archive_hours curve_points", f"""
