@@ -13,7 +13,7 @@ from tritempo.functions.numbers import adaptive_round, format_number
 from tritempo.functions.predicates import compare, lite_range, numeric
 from tritempo.functions.rdp import RESOLUTIONS, relative_delivery_period, relative_delivery_period_by
 from tritempo.functions.shape import Shape
-from tritempo.functions.timecols import format_timestamp, quote_index
+from tritempo.functions.timecols import format_timestamp, format_timestamps, quote_index
 from zoneinfo import ZoneInfo
 
 
@@ -120,6 +120,10 @@ def test_relative_delivery_periods(spark, instants):
 def test_format_timestamp(spark, instants):
     data = frame(spark, instants)
     for zone in ("UTC", "Europe/Zurich", "America/St_Johns", "Asia/Tokyo", "Asia/Kathmandu"):
+        listed = data.orderBy("n").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("l")).select(
+            "l.x", format_timestamps(F.col("l.x"), zone).alias("t")).first()
+        single = {row.x: row.t for row in data.select("x", format_timestamp("x", zone).alias("t")).collect()}
+        assert [single[x] for x in listed.x] == listed.t
         rows = data.select("x", format_timestamp("x", zone).alias("t"),
                            format_timestamp("x", F.lit(zone)).alias("by_column"),
                            format_timestamp("x", zone, offset=False).alias("p")).collect()

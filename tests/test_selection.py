@@ -2,6 +2,7 @@ import random
 from datetime import datetime as dt, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tritempo.functions.mapped import MappedColumn
 from tritempo.operators import versions as v
@@ -114,6 +115,19 @@ def test_rank_over_equals_sorting(points, order, bounds, keep):
     assert found == {n for n, rank in ranks.items() if keep(rank)}
 
 
+@pytest.mark.parametrize("bounds, keep", [
+    ((1500, 3000), lambda r: 1500 <= r <= 3000), ((2500, "last"), lambda r: r >= 2500), ((4001,), lambda r: r == 4001),
+])
+def test_high_ranks(spark, bounds, keep):
+    rows = spark.range(6000).select(
+        F.lit(1).cast("bigint").alias("Identifier"), F.lit(0).alias("Group"), (F.col("id") * 7919 % 6007).alias("Price"),
+        F.col("id").cast("int").alias("n"))
+    rows = rows.union(rows.filter("n % 10 = 0").withColumn("n", F.col("n") + 10000))  # ties
+    ranks = expected_ranks(rows.collect(), ["Identifier", "Group"], [("Price", "desc")])
+    found = {row.n for row in rank_over(rows, ["Group"], [("Price", "desc")], bounds).collect()}
+    assert found == {n for n, rank in ranks.items() if keep(rank)}
+
+
 def test_rank_falls_back_to_shuffle_joins(points, monkeypatch):
     from tritempo.operators import rank as module
     from tritempo.operators.joins import lookup_join

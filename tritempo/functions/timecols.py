@@ -31,14 +31,14 @@ def zone_column(zone: Column | str | None) -> Column:
 
 def utc_to_zone(column: Column | str, zone: Column | str | None) -> Column:
     """Wall clock of a UTC timestamp in ``zone``."""
-    if not isinstance(zone, Column) and zone_name(zone) == "UTC":
+    if _is_utc(zone):
         return as_column(column)
     return F.convert_timezone(F.lit("UTC"), zone_column(zone), as_column(column))
 
 
 def zone_to_utc(column: Column | str, zone: Column | str | None) -> Column:
     """UTC timestamp of a wall clock in ``zone``."""
-    if not isinstance(zone, Column) and zone_name(zone) == "UTC":
+    if _is_utc(zone):
         return as_column(column)
     return F.convert_timezone(zone_column(zone), F.lit("UTC"), as_column(column))
 
@@ -75,20 +75,20 @@ def quote_index(column: Column | str) -> Column:
     return (F.year(value) * 10000 + F.month(value) * 100 + F.dayofmonth(value)).cast("int")
 
 
-def format_timestamp(column: Column | str, zone: Column | str | None = None, *, offset: bool = True) -> Column:
-    """``yyyy-MM-ddTHH:mm:ss.SSS`` with the offset of ``zone``, as text.
+def _is_utc(zone: Column | str | None) -> bool:
+    return not isinstance(zone, Column) and zone_name(zone) == "UTC"
+
+
+def _rendered(plain: Column, ahead: Column | None, *, offset: bool) -> Column:
+    """Response text from a wall clock cast to text and its distance from UTC (None: no distance).
 
-    The text is put together from clock fields, so the session zone has no part in it.
+    The text is ``yyyy-MM-dd HH:mm:ss[.f..]``, without trailing zeros in the fraction.
     """
-    utc = as_column(column)
-    local = utc_to_zone(utc, zone)
-    plain = local.cast("string")  # yyyy-MM-dd HH:mm:ss[.f..], without trailing zeros in the fraction
     fraction = F.rpad(F.substring(plain, 21, 3), 3, "0")
     parts = [F.substring(plain, 1, 10), F.lit("T"), F.substring(plain, 12, 8), F.lit("."), fraction]
-    if offset and not isinstance(zone, Column) and zone_name(zone) == "UTC":
+    if offset and ahead is None:
         parts.append(F.lit("+00:00"))
     elif offset:
-        ahead = local - utc
         hours, minutes = F.extract(F.lit("HOUR"), ahead), F.extract(F.lit("MINUTE"), ahead)
         parts += [
             F.when(hours + minutes < 0, F.lit("-")).otherwise(F.lit("+")),
@@ -97,3 +97,28 @@ def format_timestamp(column: Column | str, zone: Column | str | None = None, *,
             F.lpad(F.abs(minutes).cast("string"), 2, "0"),
         ]
     return F.concat(*parts)
+
+
+def format_timestamp(column: Column | str, zone: Column | str | None = None, *, offset: bool = True) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss.SSS`` with the offset of ``zone``, as text.
+
+    The text is cut from the wall clock's own text, so the session zone has no part in it.
+    """
+    utc = as_column(column)
+    local = utc_to_zone(utc, zone)
+    return _rendered(local.cast("string"), None if _is_utc(zone) else local - utc, offset=offset)
+
+
+def format_timestamps(array: Column, zone: str | None = None, *, offset: bool = True) -> Column:
+    """``format_timestamp`` of every element. Each step of an element is bound once, as lambdas are not compiled."""
+    if _is_utc(zone):
+        texts = F.transform(array, lambda utc: utc.cast("string"))
+        return F.transform(texts, lambda text: _rendered(text, None, offset=offset))
+    clocks = F.transform(array, lambda utc: F.struct(utc.alias("utc"), utc_to_zone(utc, zone).alias("local")))
+    texts = F.transform(
+        clocks,
+        lambda clock: F.struct(
+            clock["local"].cast("string").alias("text"), (clock["local"] - clock["utc"]).alias("ahead")
+        ),
+    )
+    return F.transform(texts, lambda clock: _rendered(clock["text"], clock["ahead"], offset=offset))

@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tritempo.constants import DEFAULT_BATCH_ROWS, DELIVERY_START, IDENTIFIER, REFERENCE_TIME, VERSIONED_IDENTIFIER
-from tritempo.functions.timecols import epoch_seconds
+from tritempo.functions.timecols import epoch_seconds, format_timestamps
 from tritempo.operators.joins import lookup_join, stored
-from tritempo.sinks.text import output_value
 
 
 #: series with more rows than this are cut into cells before they are numbered
@@ -107,13 +106,18 @@ def row_positions(
     return placed.join(starts, flat, "left").select(*df.columns, position.alias(output))
 
 
+def _listed(field: T.StructField, zone: str | None) -> Column:
+    values = F.col(f"_rows.{field.name}")
+    return format_timestamps(values, zone) if isinstance(field.dataType, T.TimestampNTZType) else values
+
+
 def column_batches(
     df: DataFrame,
     *,
     id_col: str = IDENTIFIER,
     order: list[str] | None = None,
     size: int = DEFAULT_BATCH_ROWS,
-    zone: Column | str | None = None,
+    zone: str | None = None,
     hot_rows: int = HOT_SERIES_ROWS,
 ) -> DataFrame:
     """Batches of at most ``size`` rows of one series: id, batch number, rows and a list per column.
@@ -125,11 +129,11 @@ def column_batches(
     order = order or [name for name in (REFERENCE_TIME, DELIVERY_START) if name in df.columns]
     placed = row_positions(df, id_col, order, hot_rows=hot_rows)
     fields = [field for field in df.schema.fields if field.name not in (id_col, VERSIONED_IDENTIFIER)]
-    row = F.struct("_position", *[output_value(field, zone, offset=True).alias(field.name) for field in fields])
+    row = F.struct("_position", *[field.name for field in fields])
     batches = placed.groupBy(
         F.col(id_col).cast("bigint").alias(IDENTIFIER), F.floor(F.col("_position") / size).alias("batch")
     ).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    lists = [F.col(f"_rows.{field.name}").alias(field.name) for field in fields]
+    lists = [_listed(field, zone).alias(field.name) for field in fields]
     return batches.select(IDENTIFIER, "batch", F.size("_rows").alias("rows"), *lists)
 
 
@@ -147,7 +151,7 @@ def write_ndjson(
     id_col: str = IDENTIFIER,
     order: list[str] | None = None,
     size: int = DEFAULT_BATCH_ROWS,
-    zone: Column | str | None = None,
+    zone: str | None = None,
     mode: str = "errorifexists",
 ) -> None:
     """Write NDJSON column batches; read in file-name order the batches of a series follow each other."""
