@@ -13,7 +13,7 @@ from tritempo.functions.numbers import adaptive_round, format_number
 from tritempo.functions.predicates import compare, lite_range, numeric
 from tritempo.functions.rdp import RESOLUTIONS, relative_delivery_period, relative_delivery_period_by
 from tritempo.functions.shape import Shape
-from tritempo.functions.timecols import format_timestamp, format_timestamps, quote_index
+from tritempo.functions.timecols import format_timestamp, format_timestamps, quote_index, utc_to_zone, zone_to_utc
 from zoneinfo import ZoneInfo
 
 
@@ -217,6 +217,25 @@ def test_results_do_not_depend_on_the_session_zone(spark, instants):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+@pytest.mark.parametrize("session, kept, gone", [
+    ("UTC", "from_utc_timestamp", "convert_timezone"), ("America/Sao_Paulo", "convert_timezone", "from_utc_timestamp"),
+])
+def test_zone_conversions_agree_at_every_transition(spark, physical_plan, session, kept, gone):
+    spark.conf.set("spark.sql.session.timeZone", session)
+    try:
+        times = spark.sql(
+            "SELECT TIMESTAMP_NTZ '2023-12-01 00:00:00' + make_dt_interval(0, 0, CAST(id * 23 AS INT)) x FROM range(26000)")
+        for zone in ("Europe/Zurich", "America/St_Johns", "Australia/Lord_Howe", "America/Sao_Paulo"):
+            both = times.select(
+                utc_to_zone("x", zone).alias("local"), F.convert_timezone(F.lit("UTC"), F.lit(zone), "x").alias("local2"),
+                zone_to_utc("x", F.lit(zone)).alias("utc"), F.convert_timezone(F.lit(zone), F.lit("UTC"), "x").alias("utc2"))
+            assert both.filter("local IS DISTINCT FROM local2 OR utc IS DISTINCT FROM utc2").isEmpty()
+        plan = physical_plan(times.select(utc_to_zone("x", "Europe/Zurich")))
+        assert kept in plan and gone not in plan
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_predicate_guards(spark):
     with pytest.raises(ValueError):
         compare("x", "!=", 1)

@@ -29,18 +29,33 @@ def zone_column(zone: Column | str | None) -> Column:
     return zone if isinstance(zone, Column) else F.lit(zone_name(zone))
 
 
+def _session_in_utc() -> Column:
+    """Whether casts of this plan use UTC.
+
+    Spark binds the zone of this expression where it binds the zone of the casts,
+    and folds it to a constant, so only one branch of a choice by it is left to run.
+    """
+    return F.date_format(F.timestamp_seconds(F.lit(0)), "VV") == "UTC"
+
+
 def utc_to_zone(column: Column | str, zone: Column | str | None) -> Column:
     """Wall clock of a UTC timestamp in ``zone``."""
     if _is_utc(zone):
         return as_column(column)
-    return F.convert_timezone(F.lit("UTC"), zone_column(zone), as_column(column))
+    value, target = as_column(column), zone_column(zone)
+    # convert_timezone looks zones up per row; the other function does it once but needs casts that a UTC session
+    # leaves unchanged
+    direct = F.from_utc_timestamp(value.cast("timestamp"), target).cast("timestamp_ntz")
+    return F.when(_session_in_utc(), direct).otherwise(F.convert_timezone(F.lit("UTC"), target, value))
 
 
 def zone_to_utc(column: Column | str, zone: Column | str | None) -> Column:
     """UTC timestamp of a wall clock in ``zone``."""
     if _is_utc(zone):
         return as_column(column)
-    return F.convert_timezone(zone_column(zone), F.lit("UTC"), as_column(column))
+    value, origin = as_column(column), zone_column(zone)
+    direct = F.to_utc_timestamp(value.cast("timestamp"), origin).cast("timestamp_ntz")
+    return F.when(_session_in_utc(), direct).otherwise(F.convert_timezone(origin, F.lit("UTC"), value))
 
 
 def plus_hours(column: Column, hours: Column | int) -> Column:
