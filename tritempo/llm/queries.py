@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tritempo.llm.bpe import bpe_digests
+from tritempo.llm.decontaminate import contamination_digests
+from tritempo.llm.langid import language_id
+from tritempo.llm.linededup import line_dedup
+from tritempo.llm.minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +25,26 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op1_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return line_dedup(table(spark, directory, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query
+def op5_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    return contamination_digests(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 @query
 def op6_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe_digests(table(spark, directory, "documents"))
+
+
+@query
+def op9_language_id(spark: SparkSession, directory: str) -> DataFrame:
+    return language_id(table(spark, directory, "documents"))
+
+
+@query
+def op10_minhash(spark: SparkSession, directory: str) -> DataFrame:
+    return near_duplicates(table(spark, directory, "documents"))
