@@ -11,6 +11,8 @@ from tritempo.llm.decontaminate import contamination_digests
 from tritempo.llm.langid import language_id
 from tritempo.llm.linededup import line_dedup
 from tritempo.llm.minhash import near_duplicates
+from tritempo.llm.sharding import shard_digests
+from tritempo.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +32,11 @@ def op1_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return line_dedup(table(spark, directory, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query
+def op3_nn_descent(spark: SparkSession, directory: str) -> DataFrame:
+    return near_vectors(table(spark, directory, "embeddings"))
+
+
 @query
 def op5_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     return contamination_digests(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
@@ -40,6 +47,11 @@ def op6_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe_digests(table(spark, directory, "documents"))
 
 
+@query
+def op7_sharding(spark: SparkSession, directory: str) -> DataFrame:
+    return shard_digests(table(spark, directory, "documents"))
+
+
 @query
 def op9_language_id(spark: SparkSession, directory: str) -> DataFrame:
     return language_id(table(spark, directory, "documents"))
