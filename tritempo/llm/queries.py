@@ -11,6 +11,8 @@ from tritempo.llm.decontaminate import contamination_digests
 from tritempo.llm.langid import language_id
 from tritempo.llm.linededup import line_dedup
 from tritempo.llm.minhash import near_duplicates
+from tritempo.llm.quality import quality_scores
+from tritempo.llm.secretscan import secret_findings
 from tritempo.llm.sharding import shard_digests
 from tritempo.llm.vectors import near_vectors
 
@@ -32,11 +34,21 @@ def op1_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return line_dedup(table(spark, directory, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query
+def op2_quality(spark: SparkSession, directory: str) -> DataFrame:
+    return quality_scores(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
 @query
 def op3_nn_descent(spark: SparkSession, directory: str) -> DataFrame:
     return near_vectors(table(spark, directory, "embeddings"))
 
 
+@query
+def op4_secrets(spark: SparkSession, directory: str) -> DataFrame:
+    return secret_findings(table(spark, directory, "documents"))
+
+
 @query
 def op5_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     return contamination_digests(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
