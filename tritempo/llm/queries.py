@@ -10,6 +10,7 @@ from tritempo.llm.bpe import bpe_digests
 from tritempo.llm.decontaminate import contamination_digests
 from tritempo.llm.langid import language_id
 from tritempo.llm.linededup import line_dedup
+from tritempo.llm.lmscore import lm_scores
 from tritempo.llm.minhash import near_duplicates
 from tritempo.llm.quality import quality_scores
 from tritempo.llm.secretscan import secret_findings
@@ -64,6 +65,11 @@ def op7_sharding(spark: SparkSession, directory: str) -> DataFrame:
     return shard_digests(table(spark, directory, "documents"))
 
 
+@query
+def op8_lm_score(spark: SparkSession, directory: str) -> DataFrame:
+    return lm_scores(table(spark, directory, "documents"))
+
+
 @query
 def op9_language_id(spark: SparkSession, directory: str) -> DataFrame:
     return language_id(table(spark, directory, "documents"))
