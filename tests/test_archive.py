@@ -1,6 +1,8 @@
 from datetime import datetime as dt
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tritempo.functions import timebounds as tb
@@ -8,6 +10,7 @@ from tritempo.operators.archive import (
     archive_decode,
     delivery_and_relative,
     delivery_hours,
+    delivery_hours_by_zone,
     relative_delivery,
     with_relative_delivery_period,
 )
@@ -75,11 +78,23 @@ def test_delivery_windows(spark):
     assert hours_kept(day, delivery_hours(both, Z)) == [13, 14]
 
 
-def test_one_sided_windows_reach_twenty_years(spark):
-    data = rows(spark, *[(dt(2000, 1, 1), dt(year, 6, 1, 12), 2, 1.0) for year in (2000, 2019, 2021)])
-    late = [("DeliveryStart", ">=", dt(2000, 1, 1))]
-    assert data.filter(delivery_hours(late, Z)).count() == 2
-    assert data.filter(delivery_hours(late, Z, one_sided_years=None)).count() == 3
+def test_one_sided_windows_are_cut_only_on_request(spark):
+    data = rows(spark, *[(dt(2000, 1, 1), dt(year, 6, 1, 12), 2, 1.0) for year in (1970, 2000, 2019, 2021, 2090)])
+    late, early = [("DeliveryStart", ">=", dt(2000, 1, 1))], [("DeliveryStart", "<", dt(2000, 1, 1))]
+    assert data.filter(delivery_hours(late, Z)).count() == 4
+    assert data.filter(delivery_hours(early, Z)).count() == 1
+    assert data.filter(delivery_and_relative(late, [(">=", 0)], Z)).count() == 4
+    assert data.filter(delivery_hours(late, Z, one_sided_years=20)).count() == 2
+
+
+def test_each_row_by_the_bounds_of_its_zone(spark):
+    data = rows(spark, *[(dt(2025, 7, 7), dt(2025, 7, 7, hour), 2, 1.0) for hour in range(24)])
+    zones = [Z, "Asia/Tokyo", "Nowhere/Else"]
+    both = reduce(DataFrame.union, [data.withColumn("zone", F.lit(zone)) for zone in zones])
+    bounds = [("DeliveryStart", ">=", dt(2025, 7, 7, 10)), ("DeliveryStart", "<", dt(2025, 7, 7, 12))]
+    kept = both.filter(delivery_hours_by_zone(bounds, "zone", zones[:2])).select("zone", "del_h").collect()
+    assert sorted(map(tuple, kept)) == sorted([(Z, 12), (Z, 13), ("Asia/Tokyo", 19), ("Asia/Tokyo", 20)])
+    assert both.filter(delivery_hours_by_zone(bounds, "zone", [])).count() == 0
 
 
 def test_delivery_window_reaches_the_scan(spark, tmp_path):
@@ -88,7 +103,10 @@ def test_delivery_window_reaches_the_scan(spark, tmp_path):
     condition = delivery_hours([("DeliveryStart", ">=", dt(2025, 7, 7))], Z)
     formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     text = spark.read.parquet(path).filter(condition)._jdf.queryExecution().explainString(formatted)
-    assert "GreaterThanOrEqual(del_y,2025)" in text and "LessThanOrEqual(del_y,2045)" in text
+    assert "GreaterThanOrEqual(del_y,2025)" in text and "LessThanOrEqual(del_y" not in text
+    zones = delivery_hours_by_zone([("DeliveryStart", ">=", dt(2025, 7, 7))], F.lit(Z), [Z, "Asia/Tokyo"])
+    text = spark.read.parquet(path).filter(zones)._jdf.queryExecution().explainString(formatted)
+    assert "GreaterThanOrEqual(del_y,2025)" in text
 
 
 def test_guards(spark):

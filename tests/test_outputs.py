@@ -204,3 +204,71 @@ def test_ndjson_files(spark, series, tmp_path):
     assert ids == sorted(ids)
     assert any(None in item["Value"] for item in objects)
     assert ndjson_lines(column_batches(series, size=0)).count() >= 5
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "decimal(10,2)", "bigint", "string", "date", "timestamp_ntz", "double", "boolean"])
+def test_positions_of_every_order_type_with_nulls(spark, kind):
+    """Nulls, the lowest values and ties: long series are numbered like short ones."""
+    values = {
+        "string": "concat('v', id % 5)", "date": "date_add(DATE '2024-01-01', cast(id % 50 as int))",
+        "timestamp_ntz": "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id * 7 % 90 as int))",
+        "boolean": "id % 2 = 0",
+    }.get(kind, f"cast((id % 11) - 5 as {kind})")
+    lowest = {"bigint": "-9223372036854775808", "int": "-2147483648", "smallint": "-32768"}.get(kind)
+    rows = spark.range(120).selectExpr(
+        "if(id % 40 = 0, null, id % 2) as Identifier",
+        f"case when id % 13 = 0 then null {f'when id % 17 = 0 then {lowest}' if lowest else ''} else {values} end as o", "id as tie",
+    )
+    found = [
+        sorted(row_positions(rows, "Identifier", ["o", "tie"], hot_rows=hot).collect(), key=lambda row: row.tie) for hot in (1, 10**9)
+    ]
+    assert found[0] == found[1]
+    reverse = [
+        sorted(row_positions(rows, "Identifier", ["tie", "o"], hot_rows=hot).collect(), key=lambda row: row.tie) for hot in (1, 10**9)
+    ]
+    assert reverse[0] == reverse[1]
+
+
+def test_batches_may_not_be_endless(spark, series):
+    with pytest.raises(ValueError):
+        column_batches(series, size=10**9)
+
+
+def test_categories_are_ordered_by_instant(spark, tmp_path):
+    from tritempo.functions.mapped import MappedColumn
+    from tritempo.sinks.text import mapped_header, write_csv_categories
+
+    # 00:30 and 01:30 UTC are both 02:30 in Zurich on 27 October; with offsets the texts sort the other way round
+    times = [dt(2024, 10, 27, hour, minute) for hour in (0, 1) for minute in (0, 30)]
+    curve = spark.createDataFrame([(1, t, t) for t in times[::-1]], "Identifier long, ReferenceTime timestamp_ntz, DeliveryStart timestamp_ntz")
+    series = spark.createDataFrame([(2, t, 1.5) for t in times], "Identifier long, ReferenceTime timestamp_ntz, Value double")
+    header = mapped_header(
+        [MappedColumn("Identifier", is_key=True, key_ordering=0), MappedColumn("ReferenceTime", is_key=True, key_ordering=1),
+         MappedColumn("DeliveryStart", is_key=True, key_ordering=2), MappedColumn("Secret", is_projectable=False)],
+        [MappedColumn("identifier", is_key=True, key_ordering=0), MappedColumn("Value", value_ordering=1)],
+    )
+    assert header == ["Identifier", "ReferenceTime", "DeliveryStart", "Value"]
+    path = str(tmp_path / "out")
+    write_csv_categories([curve, series], path, header, zone="Europe/Zurich", offset=True)
+    lines = []
+    for part in sorted((tmp_path / "out").glob("part-*")):
+        head, *body = part.read_text().splitlines()
+        assert head == ",".join(header)
+        lines += [line.split(",") for line in body]
+    read = [dt.fromisoformat(line[1]) for line in lines]
+    assert len(lines) == 8 and read == sorted(read)
+    assert {line[3] for line in lines} == {"N/A", "1.5"}
+
+
+def test_times_with_a_session_zone_and_short_floats(spark):
+    from tritempo.sinks.text import csv_rows, to_target_zone
+
+    rows = spark.sql("SELECT timestamp_seconds(0) AS t, cast(0.1 AS float) AS f, cast(null AS float) AS n")
+    assert tuple(csv_rows(rows, zone="Asia/Tokyo", offset=True).first()) == ("1970-01-01T09:00:00.000+09:00", "0.1", "null")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Zurich")
+        assert csv_rows(rows, zone="Asia/Tokyo", offset=True).first().t == "1970-01-01T09:00:00.000+09:00"
+        assert to_target_zone(rows, "Asia/Tokyo").first().t == dt(1970, 1, 1, 9)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

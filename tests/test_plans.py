@@ -8,9 +8,10 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as spark_entry
+from tritempo.plans.registry import ORACLES, QUERIES
 from tools.check_oracles import compare, connect
 
-NAMES = sorted(spark_entry.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,8 @@ def duck(sf):
 
 
 def test_every_plan_has_sql():
-    assert set(spark_entry.oracle_sql()) == set(NAMES)
+    assert set(ORACLES) == set(NAMES)
+    assert set(NAMES) <= set(spark_entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -47,9 +49,30 @@ def test_plan_shape(spark, sf, physical_plan, name):
     text = physical_plan(spark_entry.queries()[name](spark, sf))
     for unwanted in ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert unwanted not in text
-    # a global aggregate ends in one row; nothing else may gather into one partition
-    if name != "column_order":
-        assert "SinglePartition" not in text
+    assert "SinglePartition" not in text
+
+
+@pytest.mark.parametrize("name", ["rank_first", "rank_open", "hybrid_union", "catalog_scan", "archive_rows", "latest_global_recent"])
+def test_jobs_of_planning_gather_no_rows(spark, sf, name, monkeypatch):
+    """While a plan is being built only counts and sums, never rows, meet in one task."""
+    from pyspark.sql import DataFrame
+
+    seen = []
+
+    def watched(method):
+        def call(self, *args, **kwargs):
+            seen.append((method.__name__, self._jdf.queryExecution().executedPlan().toString()))
+            return method(self, *args, **kwargs)
+
+        return call
+
+    for method in ("count", "first", "collect", "checkpoint", "isEmpty", "head", "take"):
+        monkeypatch.setattr(DataFrame, method, watched(getattr(DataFrame, method)))
+    QUERIES[name](spark, sf)
+    assert sum(kind == "checkpoint" for kind, _ in seen) <= 1
+    for kind, text in seen:
+        assert "LocalLimit" not in text
+        assert "SinglePartition" not in text or kind in ("first", "count")
 
 
 @pytest.mark.parametrize("name, pushed", [

@@ -49,7 +49,9 @@ def test_archive_vectors():
     # a start inside a day begins with the next day; all bounds intersect
     assert indices(quote_day_range([(">", dt(2024, 1, 1)), (">=", dt(2023, 1, 1))], "UTC")) == (20240102, None)
     assert indices(quote_day_range([(">=", dt(2024, 1, 1))], "UTC", now=now)) == (20240101, 20260610)
-    assert indices(quote_day_range([(">=", dt(2000, 1, 1))], "UTC", now=now)) == (20000101, 20200101)
+    assert indices(quote_day_range([(">=", dt(2000, 1, 1))], "UTC", now=now)) == (20000101, 20260610)
+    assert indices(quote_day_range([(">=", dt(2000, 1, 1))], "UTC", now=now, span_years=20)) == (20000101, 20200101)
+    assert quote_day_range([(">=", dt(2000, 1, 1))], "UTC").last is None
     with pytest.raises(ValueError):
         quote_day_range([("!=", dt(2024, 1, 1))], Z)
 

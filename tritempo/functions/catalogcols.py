@@ -14,6 +14,7 @@ from tritempo.constants import (
     DEFAULT_SERIES_ZONE,
     SWITCHOVER_RECENT_PREFIX,
     SWITCHOVER_VERSIONED_PREFIX,
+    ZONE_ALIASES,
 )
 from tritempo.functions.timecols import as_column
 
@@ -67,7 +68,11 @@ def derive_source(
 def series_zone(timezone: Column | str = "timezone", default: str = DEFAULT_SERIES_ZONE) -> Column:
     """Zone of a series, with a default where the catalog has none."""
     trimmed = F.trim(_text(timezone))
-    return F.when(trimmed == "", F.lit(default)).otherwise(trimmed)
+    result = F.when(trimmed == "", F.lit(default))
+    for alias, zone in ZONE_ALIASES.items():
+        if alias:
+            result = result.when(F.lower(trimmed) == alias, F.lit(zone))
+    return result.otherwise(trimmed)
 
 
 def archive_table(archive_id: Column | str = "archive_id", tables: Iterable[tuple[str, str]] = ARCHIVE_TABLES) -> Column:

@@ -100,14 +100,17 @@ def json_type(data_type: str) -> str:
 
 
 def json_value(payload: Column | str, field: str, data_type: str = "") -> Column:
-    """One typed field of a JSON text column."""
-    document = F.col(payload) if isinstance(payload, str) else payload
-    return F.get_json_object(document, f"$['{field}']").cast(json_type(data_type))
+    """One typed field of a JSON text column; see ``json_values``."""
+    return json_values(payload, {field: data_type})[field]
 
 
 def json_values(payload: Column | str, fields: dict[str, str]) -> dict[str, Column]:
-    """Several typed fields of a JSON text column, with the text parsed once per row."""
-    if len(fields) < 2:
-        return {name: json_value(payload, name, kind) for name, kind in fields.items()}
-    parsed = F.from_json(payload, ", ".join(f"`{name}` STRING" for name in fields))
-    return {name: parsed.getField(name).cast(json_type(kind)) for name, kind in fields.items()}
+    """Typed fields of a JSON text column, with the text parsed once per row.
+
+    Texts that are no JSON objects have no fields. Of a name that an object has twice the
+    first value counts, however many fields are asked for.
+    """
+    document = F.col(payload) if isinstance(payload, str) else payload
+    parsed = F.from_json(document, "map<string,string>")
+    # a map may hold a name twice; asking for the entry gives the first
+    return {name: F.try_element_at(parsed, F.lit(name)).cast(json_type(kind)) for name, kind in fields.items()}

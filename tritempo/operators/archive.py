@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,6 @@ from tritempo.operators.joins import lookup_join
 
 #: ``(field, operator, UTC instant)`` or ``(field, "in", Interval)``
 DeliveryBound = tuple[str, str, datetime | Interval]
-# Years given to the missing side of a one-sided delivery window.
-ONE_SIDED_YEARS = 20
 
 
 def _midnight(year: str, month: str, day: str) -> Column:
@@ -127,18 +127,14 @@ def _hour_number(hour: datetime) -> int:
     return ((hour.year * 100 + hour.month) * 100 + hour.day) * 100 + hour.hour
 
 
-def delivery_hours(
-    bounds: Iterable[DeliveryBound], zone: str = DEFAULT_SERIES_ZONE, *, one_sided_years: int | None = ONE_SIDED_YEARS
-) -> Column:
-    """Delivery bounds as a predicate on the stored local hours.
+#: an hour and whether it is excluded
+_Side = tuple[datetime, bool]
 
-    Bounds are moved into ``zone`` once, as literals. The tightest bound of each
-    side counts; a missing side lies ``one_sided_years`` away, or is open when
-    that is None. The implied range of ``del_y`` is added for the scan.
-    """
-    zone = zone_name(zone)
-    lower: tuple[datetime, bool] | None = None  # (hour, strict)
-    upper: tuple[datetime, bool] | None = None
+
+def _window(bounds: list[DeliveryBound], zone: str, one_sided_years: int | None) -> tuple[_Side | None, _Side | None]:
+    """The tightest bound of each side, as local hours of a zone."""
+    lower: _Side | None = None
+    upper: _Side | None = None
     for field, op, instant in _expanded(bounds):
         hour = _local_hour(field, instant, zone)
         if op in ("=", ">=", ">"):
@@ -152,18 +148,59 @@ def delivery_hours(
             lower = (add_calendar(upper[0], -12 * one_sided_years, 0), False)
         elif upper is None and lower is not None:
             upper = (add_calendar(lower[0], 12 * one_sided_years, 0), False)
+    return lower, upper
 
+
+def _years(first: int | None, last: int | None) -> Column:
     condition = F.lit(True)
+    if first is not None:
+        condition = condition & (F.col("del_y") >= F.lit(first))
+    return condition if last is None else condition & (F.col("del_y") <= F.lit(last))
+
+
+def delivery_hours(
+    bounds: Iterable[DeliveryBound], zone: str = DEFAULT_SERIES_ZONE, *, one_sided_years: int | None = None
+) -> Column:
+    """Delivery bounds as a predicate on the stored local hours.
+
+    Bounds are moved into ``zone`` once, as literals. The tightest bound of each
+    side counts; a missing side is open, or lies ``one_sided_years`` away where
+    such a cut is asked for. The implied range of ``del_y`` is added for the scan.
+    """
+    lower, upper = _window(list(bounds), zone_name(zone), one_sided_years)
+    condition = _years(lower and lower[0].year, upper and upper[0].year)
     for side, loose, strict in ((lower, ">=", ">"), (upper, "<=", "<")):
         if side is not None:
             hour, is_strict = side
-            condition = condition & OPERATORS[loose](F.col("del_y"), F.lit(hour.year))
             condition = condition & OPERATORS[strict if is_strict else loose](
                 _delivery_number(), F.lit(_hour_number(hour))
             )
     return condition
 
 
+def delivery_hours_by_zone(
+    bounds: Iterable[DeliveryBound], zone: Column | str, zones: Iterable[str], *, one_sided_years: int | None = None
+) -> Column:
+    """``delivery_hours`` for rows of several zones: each row by the bounds moved into its own.
+
+    ``zones`` are the zones that occur; rows of other zones do not match. The range
+    of ``del_y`` over all zones is stated on its own, for the scan.
+    """
+    bounds, zones = list(bounds), list(dict.fromkeys(zones))
+    if not zones:
+        return F.lit(False)
+    windows = [_window(bounds, zone_name(name), one_sided_years) for name in zones]
+    lowers, uppers = [lower for lower, _ in windows], [upper for _, upper in windows]
+    hull = _years(
+        None if None in lowers else min(hour.year for hour, _ in lowers),
+        None if None in uppers else max(hour.year for hour, _ in uppers),
+    )
+    own = [
+        (as_column(zone) == name) & delivery_hours(bounds, name, one_sided_years=one_sided_years) for name in zones
+    ]
+    return hull & reduce(or_, own)
+
+
 def relative_delivery_hours() -> Column:
     """Wall-clock hours between the quote date and the delivery hour."""
     delivery = F.make_date(F.col("del_y"), F.col("del_m"), F.col("del_d"))
@@ -183,7 +220,7 @@ def delivery_and_relative(
     relative: Iterable[tuple[str, int]],
     zone: str = DEFAULT_SERIES_ZONE,
     *,
-    one_sided_years: int | None = ONE_SIDED_YEARS,
+    one_sided_years: int | None = None,
 ) -> Column:
     """Both windows at once; nothing matches when they do not meet."""
     condition = delivery_hours(bounds, zone, one_sided_years=one_sided_years)

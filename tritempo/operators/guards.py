@@ -1,16 +1,32 @@
-"""Checks of what may be asked of which series. They raise ValueError before any plan is built."""
+"""What may be asked of which series. Violations raise ValueError before any plan is built."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tritempo.functions.catalogcols import normalize_category
 
-#: most offending ids that are named in a message
+#: offending ids that a message names
 NAMED_IDS = 20
 
 
+class Rule(NamedTuple):
+    """Where a feature exists: its categories, and what a request that uses it must not have."""
+
+    categories: frozenset[str]
+    without: frozenset[str] = frozenset()
+
+
+RULES = {
+    "shape": Rule(frozenset({"curves"}), frozenset({"versioned"})),
+    "aggregation": Rule(frozenset({"curves"})),
+    "rank_over": Rule(frozenset({"curves", "surfaces"}), frozenset({"aggregation", "versioned", "archived"})),
+}
+
+
 def check_request(
     category: str,
     *,
@@ -20,26 +36,24 @@ def check_request(
     versioned: bool = False,
     archived: bool = False,
 ) -> None:
-    """Which features go together, by category and by where the series live."""
-    if shape and category != "curves":
-        raise ValueError("shape filters are only available for curves")
-    if shape and versioned:
-        raise ValueError("shape filters are not supported for versioned series")
-    if aggregation and category != "curves":
-        raise ValueError("aggregation is only supported for curves")
-    if rank_over and aggregation:
-        raise ValueError("rankover filters cannot be combined with aggregations")
-    if rank_over and category == "timeseries":
-        raise ValueError("rankover filters are only available for curves and surfaces")
-    if rank_over and (versioned or archived):
-        raise ValueError("rankover filters are only supported for series of the recent layout")
+    """Checks a request of one category against ``RULES`` and names everything that is wrong with it."""
+    flags = {"shape": shape, "aggregation": aggregation, "rank_over": rank_over, "versioned": versioned, "archived": archived}
+    asked = {name for name, on in flags.items() if on}
+    wrong = []
+    for name in sorted(asked & RULES.keys()):
+        rule = RULES[name]
+        if category not in rule.categories:
+            wrong.append(f"{name} is not available for {category}")
+        wrong += [f"{name} does not go with {other}" for other in sorted(asked & rule.without)]
+    if wrong:
+        raise ValueError("; ".join(wrong))
 
 
 def check_category(series: DataFrame, category: str) -> None:
-    """Every series must belong to the category; series without a known category pass."""
-    known = normalize_category("category")
-    wrong = series.filter(known != category).select(F.col("series_id")).distinct()
-    ids = sorted(row.series_id for row in wrong.limit(NAMED_IDS).collect())
-    if ids:
-        named = ", ".join(str(number) for number in ids)
-        raise ValueError(f"request contains ids that are not of data category {category!r}: {named}")
+    """Every series must be of the category; series whose category is unknown pass."""
+    strays = series.filter(normalize_category("category") != category).select("series_id").distinct()
+    count = strays.count()
+    if count:
+        lowest = [str(row.series_id) for row in strays.orderBy("series_id").limit(NAMED_IDS).collect()]
+        more = f" and {count - len(lowest)} more" if count > len(lowest) else ""
+        raise ValueError(f"{count} series are not {category}: {', '.join(lowest)}{more}")

@@ -36,9 +36,8 @@ def with_ids(df: DataFrame, ids: list[int] | DataFrame, *, id_col: str = IDENTIF
     DataFrame, becomes a semi join.
     """
     if isinstance(ids, DataFrame):
-        table = ids.select(F.col(ids.columns[0]).alias(id_col)).distinct()
-    elif len(check_ids(ids)) <= INLINE_IDS:
+        return lookup_join(df, ids.select(F.col(ids.columns[0]).alias(id_col)).distinct(), id_col, "left_semi")
+    if len(check_ids(ids)) <= INLINE_IDS:
         return df.filter(F.col(id_col).isin(ids))
-    else:
-        table = id_table(df.sparkSession, ids, id_col)
-    return lookup_join(df, table, id_col, "left_semi")
+    # Spark knows the size of a list
+    return df.join(id_table(df.sparkSession, ids, id_col), id_col, "left_semi")

@@ -2,30 +2,30 @@
 
 A lookup has one row per series (or per group). Planned blindly, such a join
 shuffles the large side even if the lookup turns out to be tiny, because its size
-is only known once both sides are running. Here the lookup is computed first,
-its rows are counted, and it is broadcast only when the count is within a
-bound; otherwise Spark joins by shuffle and splits skewed keys.
+is only known once both sides are running. Where the session has a checkpoint
+folder, the lookup is therefore computed once, kept there, measured, and
+broadcast if its rows and bytes are within bounds. That starts jobs while the
+plan is being built, and the lookup is a snapshot from then on. Without such a
+folder nothing runs ahead: the join is left to Spark and its adaptive execution.
 """
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: most lookup rows that are broadcast; rows are a few values wide, so this stays near 100 MB
+#: most lookup rows and bytes that are broadcast
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def has_checkpoint_dir(spark: SparkSession) -> bool:
-    """Whether results can be checkpointed; local sessions get a folder of their own."""
+    """Whether results can be checkpointed: in the context's folder or the one the session names."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return True
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and context.master.startswith("local"):
-        configured = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if configured is None:
         return False
     context.setCheckpointDir(configured)
@@ -37,20 +37,36 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint() if has_checkpoint_dir(df.sparkSession) else df
 
 
-def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether there are at most ``limit`` rows; counting stops soon after the limit."""
-    return df.limit(limit + 1).count() <= limit
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value, about."""
+    value = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.length(F.to_json(F.struct(value)))
+    return F.lit(8)
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether rows and bytes are within the limits; every partition sends two numbers."""
+    width = F.lit(8)
+    for field in df.schema.fields:
+        width = width + _width(field)
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return rows <= limit and (size or 0) <= most_bytes
+
+
+def sized(lookup: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The lookup, kept and measured where it can be kept, and marked for broadcast if it is small."""
+    if not has_checkpoint_dir(lookup.sparkSession):
+        return lookup
+    lookup = stored(lookup)
+    return F.broadcast(lookup) if fits(lookup, limit) else lookup
 
 
-def lookup_join(
-    rows: DataFrame, lookup: DataFrame, on, how: str = "inner", *, store: bool = False, limit: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Join with a lookup that is broadcast if it is small enough.
+def lookup_join(rows: DataFrame, lookup: DataFrame, on, how: str = "inner", *, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a lookup that is broadcast if it is small enough; see above for what runs ahead.
 
-    ``store`` keeps a lookup that is expensive to compute, so that counting it does
-    not compute it twice. A condition in ``on`` may only name lookup columns that
-    ``rows`` does not have.
+    A condition in ``on`` may only name lookup columns that ``rows`` does not have.
     """
-    if store:
-        lookup = stored(lookup)
-    return rows.join(F.broadcast(lookup) if fits(lookup, limit) else lookup, on, how)
+    return rows.join(sized(lookup, limit), on, how)

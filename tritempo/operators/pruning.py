@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date, datetime, time, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,7 +25,6 @@ Bound = tuple[str, datetime] | Interval
 # Days added around a bound so that every zone's dates are covered.
 RECENT_PADDING = {"=": (-1, 1), ">=": (-2, None), ">": (-3, None), "<=": (None, 2), "<": (None, 3), "in": (-2, 2)}
 OPEN_END_DAYS = 2
-ARCHIVE_SPAN_YEARS = 20
 
 
 @dataclass(frozen=True)
@@ -94,11 +95,14 @@ def quote_day_range(
     *,
     now: datetime | None = None,
     lookback_years: int | None = None,
+    span_years: int | None = None,
 ) -> DayRange:
     """Whole quote days of the archive whose local midnight satisfies every bound.
 
-    With ``now`` an open end stops at today or 20 years after the start; with
-    ``lookback_years`` an open start begins that many years before ``now``.
+    Three cuts drop rows outside and are off unless asked for: with ``now`` an open
+    end stops at today, with ``span_years`` that many years after the start, and
+    with ``now`` and ``lookback_years`` an open start begins that many years
+    before today.
     """
     days = DayRange()
     for op, instant in bounds:
@@ -116,6 +120,29 @@ def quote_day_range(
             return days
     if days.first is None and now is not None and lookback_years is not None:
         days = days.narrowed(first=_years_from(now.date(), -lookback_years))
-    if days.last is None and days.first is not None and now is not None:
-        days = days.narrowed(last=min(_years_from(days.first, ARCHIVE_SPAN_YEARS), now.date()))
+    if days.last is None and days.first is not None:
+        ends = [now.date()] if now is not None else []
+        ends += [_years_from(days.first, span_years)] if span_years is not None else []
+        days = days.narrowed(last=min(ends, default=None))
     return days
+
+
+def quote_days_by_zone(
+    bounds: Iterable[tuple[str, datetime]], zone: Column | str, zones: Iterable[str], *,
+    field: Column | str = QUOTE_INDEX, **cuts,
+) -> Column:
+    """``quote_day_range`` for rows of several zones: each row by the bounds of its own.
+
+    ``zones`` are the zones that occur; rows of other zones do not match. The days
+    from the first of any zone to the last of any are stated on their own, for
+    pruning.
+    """
+    bounds = list(bounds)
+    days = {name: quote_day_range(bounds, name, **cuts) for name in dict.fromkeys(zones)}
+    full = [each for each in days.values() if not each.is_empty]
+    if not full:
+        return F.lit(False)
+    firsts, lasts = [each.first for each in full], [each.last for each in full]
+    hull = DayRange(None if None in firsts else min(firsts), None if None in lasts else max(lasts))
+    own = [(as_column(zone) == name) & each.predicate(field) for name, each in days.items()]
+    return hull.predicate(field) & reduce(or_, own)

@@ -1,10 +1,14 @@
 """Rank-over filtering: keep rows by their RANK within a group.
 
-Whether a row stays depends only on its group and its order values. The ranks
-are therefore computed on the distinct order values with their row counts, cut
-to the first few per group before they are shuffled, and the rows are then semi
-or anti joined. No task ever holds the rows of a whole group, however many rows
-a group or a tie has.
+A rank with an upper bound is a plain window: Spark cuts every group to the rows
+that can be within the bound inside each map task, before the shuffle. What has
+the bound's rank or less is all that meets in a task; a tie at the bound is kept
+whole, so a tie that is larger than a task can hold is the one case that does
+not scale.
+
+Ranks *n and more* are what ranks 1 to n-1 leave over. Those are found on the
+distinct order values with their row counts, cut to the first few per group, and
+anti joined, so no window holds the rows of a group or of a tie.
 """
 
 from __future__ import annotations
@@ -17,7 +21,6 @@ from pyspark.sql import functions as F
 
 from tritempo.constants import IDENTIFIER, VERSIONED_IDENTIFIER
 from tritempo.functions.mapped import Mapping, find
-from tritempo.operators.joins import lookup_join
 
 Order = tuple[str, str]
 #: up to this place Spark cuts groups before the shuffle; beyond it groups are cut in slices first
@@ -79,21 +82,18 @@ def rank_over(
     low, high = _limits(bounds)
     group = list(dict.fromkeys([id_col, *partition_by]))
     keys = list(dict.fromkeys([*group, *(name for name, _ in order_by)]))
-    # rank >= n keeps what ranks 1..n-1 leave over
-    cutoff, how = (low - 1, "left_anti") if high is None else (high, "left_semi")
-    if how == "left_anti" and cutoff < 1:
-        return df
-
     order = [F.col(name).desc() if way.lower() == "desc" else F.col(name).asc() for name, way in order_by]
     window = Window.partitionBy(*group).orderBy(*order)
+    if high is not None:
+        return df.withColumn("_rank", F.rank().over(window)).filter(F.col("_rank").between(low, high)).drop("_rank")
+    if low <= 1:
+        return df
     values = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    if cutoff > EARLY_CUT:
-        values = _cut_by_salt(values, group, order, keys, cutoff)
-    values = values.withColumn("_place", F.row_number().over(window)).filter(F.col("_place") <= cutoff)
+    if low > EARLY_CUT:
+        values = _cut_by_salt(values, group, order, keys, low - 1)
+    values = values.withColumn("_place", F.row_number().over(window)).filter(F.col("_place") < low)
     before = F.sum("_rows").over(window.rowsBetween(Window.unboundedPreceding, -1))
-    rank = F.coalesce(before, F.lit(0)) + 1
-    values = values.withColumn("_rank", rank)
-    wanted = F.col("_rank") <= cutoff if how == "left_anti" else F.col("_rank").between(low, high)
-    chosen = values.filter(wanted).select(*[F.col(name).alias(f"_{name}") for name in keys])
+    values = values.withColumn("_rank", F.coalesce(before, F.lit(0)) + 1).filter(F.col("_rank") < low)
+    first = values.select(*[F.col(name).alias(f"_{name}") for name in keys])
     match = reduce(and_, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in keys])
-    return lookup_join(df, chosen, match, how, store=True)
+    return df.join(first, match, "left_anti")

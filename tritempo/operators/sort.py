@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tritempo.constants import DELIVERY_START, REFERENCE_TIME
+from tritempo.constants import DELIVERY_START, IDENTIFIER, REFERENCE_TIME
 from tritempo.functions.mapped import Mapping, unique_by
 
 
@@ -38,9 +38,12 @@ def sort_versioned(df: DataFrame, mapping: Mapping, *, latest: bool = False, kee
 
 
 def sort_output(df: DataFrame) -> DataFrame:
-    """CSV order; columns the rows do not have take no part."""
-    return df.orderBy(*[name for name in (REFERENCE_TIME, DELIVERY_START) if name in df.columns])
+    """CSV order; columns the rows do not have take no part.
+
+    The id comes last: series that quote the same times can then be split over tasks.
+    """
+    return df.orderBy(*[name for name in (REFERENCE_TIME, DELIVERY_START, IDENTIFIER) if name in df.columns])
 
 
 def sort_aggregated(df: DataFrame, bucket: str = "DeliveryBucket") -> DataFrame:
-    return df.orderBy(REFERENCE_TIME, bucket)
+    return df.orderBy(*[name for name in (REFERENCE_TIME, bucket, IDENTIFIER) if name in df.columns])

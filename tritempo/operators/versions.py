@@ -69,10 +69,14 @@ def at_max_reference_time(
     of: DataFrame | None = None,
     reference: str = REFERENCE_TIME,
 ) -> DataFrame:
-    """Rows of ``df`` at the largest reference time of their series in ``of`` (default: ``df``)."""
+    """Rows of ``df`` at the largest reference time of their series in ``of`` (default: ``df``).
+
+    Where the session has a checkpoint folder, the largest times are computed while
+    the plan is built and stay as they were then.
+    """
     top = max_reference_time(df if of is None else of, id_col, reference=reference)
     top = top.select(F.col(id_col), F.col("MaxReferenceTime").alias(reference))
-    return lookup_join(df, top, [id_col, reference], "left_semi", store=True)
+    return lookup_join(df, top, [id_col, reference], "left_semi")
 
 
 def latest_reference_time(

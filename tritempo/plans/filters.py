@@ -45,16 +45,13 @@ def scan_versioned_plan(spark, sf):
     SELECT series AS "Identifier",
            timezone('UTC', timezone('{ZONE}', make_timestamp(qte_y, qte_m, qte_d, 0, 0, 0))) AS "ReferenceTime",
            make_timestamp(del_y, del_m, del_d, del_h, del_min, 0) - to_hours(del_offset) AS "DeliveryStart",
-           timezone('{ZONE}', timezone('{ZONE}', make_timestamp(del_y, del_m, del_d, del_h, del_min, 0)
-               + to_hours(1))) AS "DeliveryEndLocal",
+           {fx.END_UTC} AS "DeliveryEnd",
            CAST(NULL AS BIGINT) AS "RelativeDeliveryPeriod", round(value * 1e10) / 1e10 AS "Value",
            CAST(NULL AS BIGINT) AS "LegacyDeliveryBucketNumber"
-    FROM archive_hours"""))
+    FROM archive_hours WHERE {fx.END_IS_CLEAR}"""))
 def archive_decode_plan(spark, sf):
-    # The end is compared as wall clock: a clock hour that occurs twice in autumn has two instants.
     rows = archive_decode(fx.archive_hours(spark, sf), zone=ZONE, identifier=fx.archive_series_id())
-    local = F.convert_timezone(F.lit("UTC"), F.lit(ZONE), F.col("DeliveryEnd"))
-    return rows.withColumn("DeliveryEndLocal", local).drop("DeliveryEnd")
+    return rows.filter(fx.end_is_clear())
 
 
 @plan("catalog_scan", with_sql("mapping_rows", """

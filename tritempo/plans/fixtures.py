@@ -54,6 +54,18 @@ def ts_points(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def fine_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points whose times have minutes, seconds and milliseconds."""
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("Identifier"),
+        (F.col("ts").cast("date").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("event_id") % 7919).cast("decimal(18,6)")))
+        .alias("ReferenceTime"),
+        F.col("ts").alias("DeliveryStart"),
+        (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(1))).alias("DeliveryEnd"),
+        F.col("value").alias("SettlementPrice"),
+    )
+
+
 def versions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         F.col("user_id").alias("MdoId"),
@@ -213,6 +225,11 @@ SQL = {
         SELECT user_id AS "MdoId", CAST(date_trunc('day', ts) AS TIMESTAMP) AS "ReferenceTime", ts AS "CreatedOn",
                event_type = 'error' AS "Deleted", props AS payload, value AS "Value", event_id
         FROM events""",
+    "fine_points": """
+        SELECT user_id AS "Identifier",
+               CAST(date_trunc('day', ts) AS TIMESTAMP) + to_seconds(event_id % 7919) AS "ReferenceTime",
+               ts AS "DeliveryStart", ts + to_hours(1) AS "DeliveryEnd", value AS "SettlementPrice"
+        FROM events""",
     "curve_points": """
         SELECT l_suppkey AS "Identifier", l_shipdate AS "ReferenceTime",
                l_shipdate + to_hours(l_orderkey % 72) AS "DeliveryStart",
@@ -275,6 +292,18 @@ SQL = {
                CAST(NULL AS INTEGER) AS order_priority, key_ordering, value_ordering
         FROM supplier CROSS JOIN (VALUES (0), (100000)) AS s(shift) CROSS JOIN {_sql_catalog_values()}""",
 }
+#: end of a delivery hour: wall clock one hour later, and whether that clock hour occurs twice in autumn
+END_LOCAL = "(make_timestamp(del_y, del_m, del_d, del_h, del_min, 0) + to_hours(1))"
+END_UTC = f"timezone('UTC', timezone('{ZONE}', {END_LOCAL}))"
+END_IS_CLEAR = f"NOT (month({END_LOCAL}) = 10 AND day({END_LOCAL}) >= 25 AND isodow({END_LOCAL}) = 7 AND hour({END_LOCAL}) = 2)"
+
+
+def end_is_clear(zone: Column | str = ZONE) -> Column:
+    """Rows whose DeliveryEnd does not lie in the clock hour that occurs twice in autumn: it has two instants."""
+    local = utc_to_zone(F.col("DeliveryEnd"), zone)
+    return ~((F.month(local) == 10) & (F.day(local) >= 25) & (F.weekday(local) == 6) & (F.hour(local) == 2))
+
+
 _NEEDS = {"archive_hours": ["archive_utc"]}
 
 

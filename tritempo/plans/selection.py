@@ -48,11 +48,16 @@ def project_mapped_plan(spark, sf):
 
 @plan("column_order", with_sql("curve_points", """
     SELECT 'Identifier,ReferenceTime,DeliveryStart,DeliveryEnd,SettlementPrice,Volume' AS columns,
-           CAST(count(*) AS BIGINT) AS n FROM curve_points"""))
+           concat_ws('|', CAST("Identifier" AS VARCHAR), strftime("ReferenceTime", '%Y-%m-%d %H:%M:%S'),
+                     strftime("DeliveryStart", '%Y-%m-%d %H:%M:%S'), strftime("DeliveryEnd", '%Y-%m-%d %H:%M:%S'),
+                     CAST(CAST(floor("SettlementPrice") AS BIGINT) AS VARCHAR),
+                     CAST(CAST(floor("Volume") AS BIGINT) AS VARCHAR)) AS row_text
+    FROM curve_points"""))
 def column_order_plan(spark, sf):
     shuffled = [fx.CURVE_MAPPING[place] for place in (5, 3, 0, 4, 1, 2)]
     rows = pr.project_mapped(fx.recent_view(spark, sf), shuffled)
-    return rows.agg(F.lit(",".join(rows.columns)).alias("columns"), F.count(F.lit(1)).alias("n"))
+    texts = [(F.floor(name) if kind == "double" else F.col(name)).cast("string") for name, kind in rows.dtypes]
+    return rows.select(F.lit(",".join(rows.columns)).alias("columns"), F.concat_ws("|", *texts).alias("row_text"))
 
 
 @plan("project_requested", with_sql("versions", """
@@ -118,12 +123,12 @@ def project_aggregated_plan(spark, sf):
 @plan("archive_contract_columns", with_sql("archive_hours", f"""
     SELECT series AS "Identifier",
            timezone('UTC', timezone('{ZONE}', make_timestamp(qte_y, qte_m, qte_d, 0, 0, 0))) AS "ReferenceTime",
-           u AS "DeliveryStart", round(value * 1e10) / 1e10 AS "Value",
+           u AS "DeliveryStart", {fx.END_UTC} AS "DeliveryEnd", round(value * 1e10) / 1e10 AS "Value",
            CAST(NULL AS BIGINT) AS "LegacyDeliveryBucketNumber", CAST(NULL AS BIGINT) AS "RelativeDeliveryPeriod"
-    FROM archive_hours"""))
+    FROM archive_hours WHERE {fx.END_IS_CLEAR}"""))
 def archive_contract_columns_plan(spark, sf):
     rows = archive_decode(fx.archive_hours(spark, sf), zone=ZONE, identifier=fx.archive_series_id())
-    return pr.archive_contract_columns(rows, ["Value"]).drop("DeliveryEnd")
+    return pr.archive_contract_columns(rows, ["Value"]).filter(fx.end_is_clear())
 
 
 # --- versions ------------------------------------------------------------

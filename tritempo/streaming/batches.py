@@ -20,29 +20,29 @@ from pyspark.sql import types as T
 
 from tritempo.constants import DEFAULT_BATCH_ROWS, DELIVERY_START, IDENTIFIER, REFERENCE_TIME, VERSIONED_IDENTIFIER
 from tritempo.functions.timecols import epoch_seconds, format_timestamps
-from tritempo.operators.joins import lookup_join, stored
+from tritempo.operators.joins import sized, stored
 
 
 #: series with more rows than this are cut into cells before they are numbered
 HOT_SERIES_ROWS = 2_000_000
+#: largest batch that may be asked for
+MOST_BATCH_ROWS = 1_000_000
 
 
-def _lowest(kind: T.DataType) -> Column:
-    """A value no larger than any other of the type. Missing values sort first, so they may share its cell."""
+def _filler(kind: T.DataType) -> Column:
+    """Any value of the type: stands for a null, which a flag before it tells apart."""
     if isinstance(kind, T.TimestampNTZType):
-        return F.expr("TIMESTAMP_NTZ '0001-01-01 00:00:00'")
+        return F.expr("TIMESTAMP_NTZ '2000-01-01 00:00:00'")
     if isinstance(kind, T.DateType):
-        return F.expr("DATE '0001-01-01'")
+        return F.expr("DATE '2000-01-01'")
     if isinstance(kind, T.StringType):
         return F.lit("")
-    if isinstance(kind, T.BooleanType):
-        return F.lit(False)
-    return F.lit(float("-inf") if isinstance(kind, (T.DoubleType, T.FloatType)) else -(2**62)).cast(kind)
+    return F.lit(False) if isinstance(kind, T.BooleanType) else F.lit(0).cast(kind)
 
 
 def _coarse(column: str, kind: T.DataType, unit: str) -> Column:
     """A value that never decreases along a time column and has far fewer distinct values."""
-    value = F.coalesce(F.col(column), _lowest(kind))
+    value = F.coalesce(F.col(column), _filler(kind))
     if isinstance(kind, T.TimestampNTZType) and unit == "minute":
         return F.floor(epoch_seconds(value) / 60)
     if isinstance(kind, (T.TimestampNTZType, T.DateType)):
@@ -52,13 +52,16 @@ def _coarse(column: str, kind: T.DataType, unit: str) -> Column:
 
 
 def _cell_levels(order: list[str], kinds: dict[str, T.DataType]) -> list[list[Column]]:
-    """Keys of the nested cells, coarse to fine: none is null and each follows the order."""
+    """Keys of the nested cells, coarse to fine: none is null and each follows the order.
+
+    Nulls come first, so whether a value is there precedes it.
+    """
     *leading, last = order
-    first = kinds[order[0]]
-    levels = [[_coarse(order[0], first, "day")], [_coarse(order[0], first, "minute")]]
+    first, there = kinds[order[0]], F.col(order[0]).isNotNull()
+    levels = [[there, _coarse(order[0], first, "day")], [there, _coarse(order[0], first, "minute")]]
     if leading:
-        exact = [F.coalesce(F.col(name), _lowest(kinds[name])) for name in leading]
-        levels.append([*exact, _coarse(last, kinds[last], "month")])
+        exact = [part for name in leading for part in (F.col(name).isNotNull(), F.coalesce(F.col(name), _filler(kinds[name])))]
+        levels.append([*exact, F.col(last).isNotNull(), _coarse(last, kinds[last], "month")])
     return levels
 
 
@@ -92,15 +95,16 @@ def row_positions(
     kinds = {field.name: field.dataType for field in df.schema.fields}
     cells = _cell_levels(order, kinds)
     names = [[f"_cell{depth}{place}" for place in range(len(level))] for depth, level in enumerate(cells)]
-    keys = [("_series", F.coalesce(F.col(id_col), _lowest(kinds[id_col])))]
+    keys = [("_known", F.col(id_col).isNotNull()), ("_series", F.coalesce(F.col(id_col), _filler(kinds[id_col])))]
     for level, parts in zip(names, cells, strict=True):
         # a series that is not hot is one cell
-        keys += [(name, F.when(F.col("_hot").isNotNull(), part)) for name, part in zip(level, parts, strict=True)]
-    marked = lookup_join(df, hot, F.col(id_col).eqNullSafe(F.col("_hot")), "left").withColumns(dict(keys))
+        keys += [(name, F.when(F.col("_is_hot"), part)) for name, part in zip(level, parts, strict=True)]
+    hot = hot.withColumn("_is_hot", F.lit(True))
+    marked = df.join(sized(hot), F.col(id_col).eqNullSafe(F.col("_hot")), "left").withColumns(dict(keys))
 
     flat = [name for name, _ in keys]
-    counts = marked.filter(F.col("_hot").isNotNull()).groupBy(*flat).agg(F.count(F.lit(1)).alias("_rows"))
-    starts = _cell_starts(counts, [["_series"], *names])
+    counts = marked.filter("_is_hot").groupBy(*flat).agg(F.count(F.lit(1)).alias("_rows"))
+    starts = _cell_starts(counts, [["_known", "_series"], *names])
     placed = marked.withColumn("_place", F.row_number().over(Window.partitionBy(*flat).orderBy(*order)))
     position = F.coalesce(F.col("_start"), F.lit(0)) + F.col("_place") - 1
     return placed.join(starts, flat, "left").select(*df.columns, position.alias(output))
@@ -124,6 +128,8 @@ def column_batches(
 
     Lists keep nulls and follow the order columns; timestamps are texts with offsets.
     """
+    if size > MOST_BATCH_ROWS:
+        raise ValueError(f"a batch is one value and may have {MOST_BATCH_ROWS} rows at most")
     if size <= 0:
         size = DEFAULT_BATCH_ROWS
     order = order or [name for name in (REFERENCE_TIME, DELIVERY_START) if name in df.columns]
