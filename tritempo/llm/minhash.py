@@ -9,10 +9,12 @@ Documents with equal sets are one class and are compared once. Within a band buc
 
 1. every class is compared with the first class of its bucket (as many pairs as members), and the confirmed links are
    grouped into components;
-2. buckets that still hold classes of different components, and only those, are compared in tiles of bounded size:
-   first the best-estimated pairs of any two components, then, if those fail, all pairs that the estimate allows.
+2. buckets that still hold classes of different components, and only those, are compared in tiles of bounded size. Each pair
+   belongs to the first band that its classes share. A first pass over the sketches finds which classes of a tile have a
+   partner in another component that the estimate allows; only their sets go to the second pass, which confirms pairs
+   within the task, best estimates first, and skips those that its links have connected meanwhile.
 
-So a large bucket of near copies costs pairs in proportion to its members, and still no link is skipped: for classes of one
+So no pairs are shuffled but those of the first step and confirmed links, and still no link is skipped: for classes of one
 component more links change nothing. A pair at the threshold is missed by the bands with a probability of
 (1 - 0.85**5)**25, less than one in a million, and by the estimate with about as much.
 """
@@ -20,7 +22,7 @@ component more links change nothing. A pair at the threshold is missed by the ba
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,6 @@ PERCENT = 85
 LEAST_ESTIMATE = 0.70
 #: members of one side of a tile
 TILE = 1000
-#: pairs of two components that a tile proposes at first
-BEST = 3
 
 _RANDOM = np.random.default_rng(20)
 _FACTORS = (_RANDOM.integers(1, 1 << 32, PERMUTATIONS, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -124,49 +124,81 @@ def _corrected(agree):
     return (agree - chance) / (1 - chance)
 
 
-def _tile(rows: pa.Table, best: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a tile whose estimate allows a link and whose components differ; only ``best`` of any two components."""
-    node, component = rows["node"].to_numpy(), rows["component"].to_numpy()
-    size, side = rows["n_shingles"].to_numpy(), rows["side"].to_numpy()
-    bits = np.array(rows["bits"].to_pylist(), np.int64).reshape(len(node), BITS, -1)
-    one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: both sides of a tile on the diagonal
-    lefts, rights, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    for at in one.tolist():
-        others = two[(component[two] != component[at]) & (node[two] > node[at] if side[at] == 2 else node[two] != node[at])]
-        fits = 100 * np.minimum(size[others], size[at]) >= PERCENT * np.maximum(size[others], size[at])
-        others = others[fits]
-        differ = np.bitwise_count(np.bitwise_or.reduce(bits[others] ^ bits[at], axis=1)).sum(1)
-        score = _corrected(1 - differ / PERMUTATIONS)
-        some = score >= LEAST_ESTIMATE
-        lefts.append(np.full(int(some.sum()), at))
-        rights.append(others[some])
-        scores.append(score[some])
-    left, right, score = np.concatenate(lefts), np.concatenate(rights), np.concatenate(scores)
-    if best is not None and len(left):
-        low, high = np.minimum(component[left], component[right]), np.maximum(component[left], component[right])
-        order = np.lexsort((-score, high, low))
-        left, right, low, high = left[order], right[order], low[order], high[order]
-        first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-        place = np.arange(len(left)) - np.repeat(first, np.diff(np.append(first, len(left))))
-        left, right = left[place < best], right[place < best]
-    return np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
-
-
-def _pairs_of(best: int | None) -> Callable[[pa.Table], pa.Table]:
-    def pairs(rows: pa.Table) -> pa.Table:
-        return pa.table(dict(zip(("a", "b"), _tile(rows, best), strict=True)))
-
-    pairs.__annotations__ = {"rows": pa.Table, "return": pa.Table}
-    return pairs
-
-
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, *, key: str, text: str) -> DataFrame:
-    """The pairs of nodes (a, b) that are links by their full sets.
-
-    Only texts of classes that stand in a pair are read again; each set is shuffled once and then meets its pairs.
-    """
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(ends, "node", "left_semi").select("node", "key", "digest")
+class Tile:
+    """Classes of one bucket, or of two parts of a large one, with their sketches."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.band = rows["band"][0].as_py()
+        self.node, self.component = rows["node"].to_numpy(), rows["component"].to_numpy()
+        self.size, self.side = rows["n_shingles"].to_numpy(), rows["side"].to_numpy()
+        self.bits = rows["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(self.node), BITS, -1)
+        self.bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(self.node), BANDS)
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For one place after the other its possible partners in other components, and the estimates."""
+        # side 2: both sides of a tile on the diagonal
+        two = np.flatnonzero(self.side != 0)
+        for at in np.flatnonzero(self.side != 1).tolist():
+            others = two[(self.component[two] != self.component[at]) & ((self.node[two] > self.node[at]) | (self.side[at] != 2))]
+            fits = 100 * np.minimum(self.size[others], self.size[at]) >= PERCENT * np.maximum(self.size[others], self.size[at])
+            others = others[fits]
+            differ = np.bitwise_count(np.bitwise_or.reduce(self.bits[others] ^ self.bits[at], axis=1)).sum(1)
+            score = _corrected(1 - differ / PERMUTATIONS)
+            others, score = others[score >= LEAST_ESTIMATE], score[score >= LEAST_ESTIMATE]
+            first = (self.bands[others] == self.bands[at]).argmax(1)
+            own = self.bands[at][first] == self.band
+            if own.any():
+                yield at, others[own], score[own]
+
+
+def _active(rows: pa.Table) -> pa.Table:
+    """Classes of a tile that have a possible partner."""
+    tile = Tile(rows)
+    active = np.zeros(len(tile.node), bool)
+    for at, others, _ in tile.pairs():
+        active[at] = True
+        active[others] = True
+    return rows.select(["band", "i", "j", "side", "node"]).filter(pa.array(active))
+
+
+def _links(rows: pa.Table) -> pa.Table:
+    """Confirmed links of a tile that connect all components which any of its links connects."""
+    tile, members = Tile(rows), [np.frombuffer(value.as_buffer(), np.uint64) for value in rows["members"]]
+    found = list(tile.pairs())
+    left = np.concatenate([np.zeros(0, np.int64), *[np.full(len(others), at) for at, others, _ in found]])
+    right = np.concatenate([np.zeros(0, np.int64), *[others for _, others, _ in found]])
+    order = np.argsort(-np.concatenate([np.zeros(0), *[score for _, _, score in found]]), kind="stable")
+    _, group = np.unique(tile.component, return_inverse=True)
+    parent = list(range(len(group)))
+
+    def root(at: int) -> int:
+        while parent[at] != at:
+            parent[at] = parent[parent[at]]
+            at = parent[at]
+        return at
+
+    a, b = [], []
+    for one, two in zip(left[order].tolist(), right[order].tolist(), strict=True):
+        x, y = root(int(group[one])), root(int(group[two]))
+        if x != y and linked(members[one], members[two]):
+            parent[x] = y
+            a.append(int(tile.node[one]))
+            b.append(int(tile.node[two]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+for _function in (_active, _links):  # hints from which Spark tells how to call them
+    _function.__annotations__ = {"rows": pa.Table, "return": pa.Table}
+
+
+def linked(one: np.ndarray, two: np.ndarray) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * both >= PERCENT * (len(one) + len(two) - both)
+
+
+def full_sets(docs: DataFrame, classes: DataFrame, ends: DataFrame, *, key: str, text: str) -> DataFrame:
+    """(node, members) of the nodes in ``ends``: their texts are read again."""
+    wanted = classes.join(ends.select("node").distinct(), "node", "left_semi").select("node", "key", "digest")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted.select("key").distinct(), "key", "left_semi")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,24 +213,22 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Sc
 
     sets = rows.mapInArrow(full, "digest binary, members binary").filter("digest is not null")
     # repeated rows give a set twice
-    sets = sets.join(wanted.select("node", "digest"), "digest").groupBy("node").agg(F.first("members").alias("members"))
-    sets = scratch.put(sets, f"{name}-sets")
+    return sets.join(wanted.select("node", "digest"), "digest").groupBy("node").agg(F.first("members").alias("members"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of nodes (a, b) that are links by their full sets."""
     met = pairs.select("a", "b").join(sets.withColumnsRenamed({"node": "a", "members": "left"}), "a")
     met = met.join(sets.withColumnsRenamed({"node": "b", "members": "right"}), "b").select("a", "b", "left", "right")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links = []
-            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                one, two = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                links.append(100 * both >= PERCENT * (len(one) + len(two) - both))
+            values = zip(batch.column("left"), batch.column("right"), strict=True)
+            links = [linked(np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)) for left, right in values]
             keep = pa.array(links, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    links = scratch.put(met.mapInArrow(compare, "a long, b long"), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return links
+    return met.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,35 +252,38 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     star = member.join(centre, "band").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     star = star.join(shape.toDF("a", "size_a", "bits_a"), "a").join(shape.toDF("b", "size_b", "bits_b"), "b")
     star = star.filter(f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)").filter(estimate("bits_a", "bits_b") >= LEAST_ESTIMATE)
-    tested = scratch.put(star.select("a", "b"), "star")
-    links = confirmed(docs, classes, tested, scratch, "star", key=key, text=text)
+    star = scratch.put(star.select("a", "b"), "star")
+    ends = star.select(F.col("a").alias("node")).union(star.select("b"))
+    sets = scratch.put(full_sets(docs, classes, ends, key=key, text=text), "star-sets")
+    links = scratch.put(confirmed(star, sets), "star-links")
     grouped = components(scratch, links, "star")
+    scratch.drop("star", "star-sets")
 
     # 2. buckets whose classes are not of one component yet
-    for turn, best in enumerate((BEST, None)):
-        own = member.join(grouped, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-        open_ = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-        open_ = open_.filter("low <> high").select("band", F.ceil(F.col("n") / TILE).cast("int").alias("cuts"))
-        cut = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
-        placed = own.join(open_, "band").withColumn("cut", cut).join(shape, "node")
-        other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
-        tiles = placed.select("band", "node", "component", "n_shingles", "bits", "cut", other).select(
-            "band", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "node", "component", "n_shingles", "bits",
-            F.when(F.col("cut") == F.col("other"), 2).when(F.col("cut") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
-        found = tiles.groupBy("band", "i", "j").applyInArrow(_pairs_of(best), "a long, b long").distinct()
-        fresh = scratch.put(found.join(tested, ["a", "b"], "left_anti"), f"tiles-{turn}")
-        if not fresh.limit(1).count():
-            break
-        more = confirmed(docs, classes, fresh, scratch, f"tiles-{turn}", key=key, text=text)
-        links, tested = links.union(more), tested.union(fresh)
-        grouped = components(scratch, links, f"grouped-{turn}")
+    own = member.join(grouped, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    open_ = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    open_ = open_.filter("low <> high").select("band", F.ceil(F.col("n") / TILE).cast("int").alias("cuts"))
+    placed = own.join(open_, "band").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    placed = scratch.put(placed.join(classes.select("node", "n_shingles", "bits", "bands"), "node"), "open")
+    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
+    tiles = placed.select("band", "node", "component", "n_shingles", "bits", "bands", "cut", other).select(
+        "band", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "node", "component", "n_shingles", "bits", "bands",
+        F.when(F.col("cut") == F.col("other"), 2).when(F.col("cut") < F.col("other"), 0).otherwise(1).alias("side"),
+    )
+    active = tiles.groupBy("band", "i", "j").applyInArrow(_active, "band long, i int, j int, side int, node long")
+    active = scratch.put(active, "active")
+    sets = scratch.put(full_sets(docs, classes, active, key=key, text=text), "tile-sets")
+    sketch = placed.select("band", "node", "component", "n_shingles", "bits", "bands")
+    met = active.join(sketch, ["band", "node"]).join(sets, "node")
+    more = scratch.put(met.groupBy("band", "i", "j").applyInArrow(_links, "a long, b long"), "tile-links")
+    grouped = components(scratch, links.union(more), "all")
+    scratch.drop("open", "active", "tile-sets")
 
     named = classes.select("node", "digest", "key").join(grouped, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("key").alias("component_id"))
     named = scratch.put(named.join(smallest, "component").select("digest", "component_id"), "named")
-    scratch.drop("bands", "star", "classes")
+    scratch.drop("bands", "classes")
     result = rows.select("key", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
     return result.select(
