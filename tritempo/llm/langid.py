@@ -112,7 +112,10 @@ def segments(offsets: np.ndarray, data: np.ndarray, start: int, stop: int) -> tu
 
 
 def train(samples: list[tuple[str, str]], *, rounds: int = ROUNDS, seed: int = 7) -> Model:
-    """Fits the network to (text, language) samples; languages have equal weight."""
+    """Fits the network to (text, language) samples; languages have equal weight. Without text there is nothing to know."""
+    samples = [(text, language) for text, language in samples if text]
+    if not samples:
+        return Model([], [])
     languages = sorted({language for _, language in samples})
     raw = [text.encode() for text, _ in samples]
     offsets = np.cumsum([0, *map(len, raw)])
@@ -217,7 +220,7 @@ def pooled(network: Model, offsets: np.ndarray, data: np.ndarray, start: int, st
     sums = np.zeros((symbols.shape[1], len(network.languages)))
     counts = LETTERS[symbols].sum(0)
     most = READ_BYTES // STEPS
-    for at in range(0, symbols.shape[1], most):
+    for at in range(0, symbols.shape[1] if network.languages else 0, most):
         part = symbols[:, at : at + most]
         sums[at : at + most] = np.einsum("tcb,tb->bc", network.probabilities(part), LETTERS[part].astype(np.float32))
     row = np.repeat(np.arange(stop - start), columns)
