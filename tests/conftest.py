@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from tritempo.session import local_session
 
-    session = local_session("tests", 8)
+    session = local_session("tests", os.environ.get("TEST_CPUS", "8"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
