@@ -30,6 +30,65 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: smallest id that links (a, b), both ways, reach from each id
+_REACH = """reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    smallest AS (SELECT a, min(b) AS low FROM reach GROUP BY a)"""
+
+ORACLES["op3_nn_descent"] = f"""
+    WITH RECURSIVE vectors AS (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (
+        SELECT one.vec_id AS a, two.vec_id AS b FROM vectors AS one
+        JOIN vectors AS two ON one.vec_id <> two.vec_id AND len(one.v) = len(two.v)
+        WHERE list_cosine_similarity(one.v, two.v) >= 0.9),
+    {_REACH},
+    counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+           vec_id <= coalesce(low, vec_id) AS kept
+    FROM embeddings LEFT JOIN smallest ON smallest.a = vec_id LEFT JOIN counted ON counted.a = vec_id"""
+
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op5_decontamination"] = f"""
+    WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item, array_to_string(w[i : i + 12], ' ') AS win, len(w[i : i + 12]) AS n
+        FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+    docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    found AS (
+        SELECT doc_id, i, d.n, item
+        FROM (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS win
+              FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                    FROM docs CROSS JOIN (SELECT DISTINCT n FROM windows))) AS d
+        JOIN windows ON windows.win = d.win AND windows.n = d.n),
+    hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) GROUP BY doc_id),
+    named AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+        FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+    FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+ORACLES["op10_minhash"] = rf"""
+    WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS shingle
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    met AS (
+        SELECT one.doc_id AS a, two.doc_id AS b, count(*) AS shared
+        FROM sets AS one JOIN sets AS two ON one.shingle = two.shingle AND one.doc_id <> two.doc_id GROUP BY ALL),
+    links AS (
+        SELECT a, b FROM met JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b
+        WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+    {_REACH}
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+           doc_id <= coalesce(low, doc_id) AS kept
+    FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN smallest ON smallest.a = doc_id"""
+
+
 @query
 def op1_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return line_dedup(table(spark, directory, "documents")).select("doc_id", "n_lines", "n_removed", "text")
