@@ -128,14 +128,14 @@ def test_high_ranks(spark, bounds, keep):
     assert found == {n for n, rank in ranks.items() if keep(rank)}
 
 
-def test_rank_falls_back_to_shuffle_joins(points, monkeypatch):
-    from tritempo.operators import rank as module
-    from tritempo.operators.joins import lookup_join
+def test_large_lookups_are_joined_by_shuffle(points, physical_plan):
+    from tritempo.operators.joins import fits, lookup_join
 
-    wide = rank_over(points, ["ReferenceTime"], [("Price", "desc")], (2, "last")).collect()
-    monkeypatch.setattr(module, "lookup_join", lambda *a, **k: lookup_join(*a, **{**k, "limit": 0}))
-    narrow = rank_over(points, ["ReferenceTime"], [("Price", "desc")], (2, "last"))
-    assert sorted(row.n for row in narrow.collect()) == sorted(row.n for row in wide)
+    top = points.groupBy("Identifier").agg(F.max("Price").alias("Price"))
+    assert fits(top) and not fits(top, limit=1) and not fits(top, most_bytes=10)
+    small, large = (lookup_join(points, top, ["Identifier", "Price"], "left_semi", limit=limit) for limit in (10**6, 0))
+    assert "BroadcastHashJoin" in physical_plan(small)
+    assert sorted(row.n for row in small.collect()) == sorted(row.n for row in large.collect())
 
 
 def test_first_and_the_rest_are_complete(points):
@@ -161,6 +161,10 @@ def test_rank_guards(points):
         rank_over(points, ["ReferenceTime"], [("Price", "sideways")])
 
 
-def test_no_window_holds_the_rows_of_a_group(points, physical_plan):
-    plan = physical_plan(rank_over(points, ["ReferenceTime"], [("Price", "desc")]))
-    assert "Window" not in plan  # ranks were computed on stored distinct values
+def test_ranks_are_cut_before_the_shuffle_and_nothing_is_stored(points, physical_plan):
+    plan = physical_plan(rank_over(points, ["ReferenceTime"], [("Price", "desc")], (2, 5)))
+    assert "WindowGroupLimit" in plan and "Partial" in plan and "Join" not in plan
+    rest = physical_plan(rank_over(points, ["ReferenceTime"], [("Price", "desc")], (3, "last")))
+    assert "LeftAnti" in rest
+    # the only stored rows are those of the fixture
+    assert rest.count("ExistingRDD") <= 2 * plan.count("ExistingRDD")
