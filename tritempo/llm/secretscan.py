@@ -26,7 +26,7 @@ from tritempo.llm.common import NOT_ALNUM, Scratch, column_bytes, joined_bytes,
 LEAST, BESIDE = 16, 48
 DICTIONARY, SHORTEST, LONGEST = 20_000, 3, 8
 TREES, DEPTH = 20, 8
-#: labelled findings of one label that the forest learns from, first by hash
+#: labelled findings of one label that the forest learns from, about, chosen by hash
 LABELLED = 50_000
 #: features that hash the words of the path and the two words before a candidate
 BUCKETS = 16
@@ -180,13 +180,16 @@ def labelled_by_rule(findings: DataFrame) -> DataFrame:
 
 
 def train_forest(labelled: DataFrame):
-    """Spark's random forest on (x, label); a number if there is but one label, None if there is none."""
-    order = F.xxhash64("value", "before", "after")
-    parts = [labelled.filter(F.col("label") == label).orderBy(order, "x").limit(LABELLED).select("x", "label") for label in (0.0, 1.0)]
-    counts = [part.count() for part in parts]
-    if not all(counts):
-        return None if not any(counts) else float(counts[1] > 0)
-    rows = parts[0].union(parts[1]).select(array_to_vector("x").alias("features"), "label").repartition(8)
+    """Spark's random forest on (x, label); a number if there is but one label, None if there is none.
+
+    Of a label with more findings than ``LABELLED`` a hash keeps about so many.
+    """
+    counts = {row.label: row["count"] for row in labelled.filter("label in (0, 1)").groupBy("label").count().collect()}
+    if len(counts) < 2:
+        return next((float(label) for label in counts), None)
+    share = F.when(F.col("label") == 1, LABELLED / counts[1.0]).otherwise(LABELLED / counts[0.0])
+    chosen = labelled.filter("label in (0, 1)").filter(F.pmod(F.xxhash64("value", "before", "after"), F.lit(1_000_000)) < share * 1_000_000)
+    rows = chosen.select(array_to_vector("x").alias("features"), "label")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=3, minInstancesPerNode=2, featureSubsetStrategy="sqrt")
     return forest.fit(rows)
 
