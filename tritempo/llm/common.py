@@ -138,6 +138,26 @@ def words(data: np.ndarray, begins: np.ndarray, parting: np.ndarray) -> tuple[np
     return starts, ends, range_hashes(data, starts, ends), np.searchsorted(starts, begins)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of every distinct key, ascending by key, and for each key the number of its distinct one."""
+    order = np.argsort(keys)
+    held = keys[order]
+    new = np.ones(len(held), bool)
+    new[1:] = held[1:] != held[:-1]
+    inverse = np.empty(len(held), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
+
+
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers from 0 on, ascending, and each value's place among them; dense numbers need no sort."""
+    if not len(values) or values.max() > 4 * len(values) + 50_000_000:
+        return np.unique(values, return_inverse=True)
+    there = np.zeros(int(values.max()) + 1, bool)
+    there[values] = True
+    return np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[values].astype(np.int64)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places start, start + 1, ... of ranges laid one after the other, and where each range ends there."""
     ends = np.cumsum(lengths)

@@ -13,8 +13,8 @@ compressed array for one batch and one bucket:
    trie of the trained ones, looks all of them up and answers with the quantised probabilities of p(v|u) and p(w|uv);
 3. a batch sums the log probabilities of its documents.
 
-A word whose trigrams would make a bucket too large is dealt out by its second word, too, and a pair of two such words by all three
-words; the counts of those contexts are gathered beforehand. There are at most ``SPREAD`` such words for each bucket.
+A word whose trigrams would make a bucket too large is dealt out by its second word, too, and a pair that would by all three words; the
+counts of those contexts are gathered beforehand. There are at most ``SPREAD`` such words, and pairs, for each bucket.
 """
 
 from __future__ import annotations
@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tritempo.llm.common import SPACE, Scratch, column_bytes, joined_bytes, lowered, mixed, partitions, slices, words
+from tritempo.llm.common import SPACE, Scratch, column_bytes, distinct, joined_bytes, lowered, mixed, partitions, ranked, slices, words
 from tritempo.llm.langid import held_out_of
 from tritempo.llm.trie import Trie, build, probability_of
 
 #: text bytes of a batch; more of them make fewer and larger messages
 BATCH_BYTES = 6_000_000
-#: a word is dealt out if it has more than 1 / (SPREAD * buckets) of the training tokens
+#: a word or pair is dealt out if it has more than 1 / (SPREAD * buckets) of the training tokens
 SPREAD = 4
 #: weight of the shorter context, for p(w|v) and p(w|uv), in counts
 STRENGTH = (30.0, 2.0)
@@ -86,7 +86,8 @@ def pack(docs: DataFrame, learn: Column, *, key: str, text: str) -> DataFrame:
                 tokens[inner] = hashes
                 learned = part.column("learn").slice(start, stop - start)
                 trained = np.repeat(learned.to_numpy(zero_copy_only=False), counted)
-                names, ids = np.unique(tokens, return_inverse=True)
+                sample, ids = distinct(tokens)
+                names = tokens[sample]
                 often = np.argsort(-np.bincount(ids), kind="stable")
                 place = np.empty_like(often)
                 place[often] = np.arange(len(often))
@@ -131,7 +132,9 @@ def token_numbers(tables: DataFrame, buckets: int, trained: int) -> DataFrame:
     def number(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         asked = [unpacked(raw.as_py()).view(np.uint64) for raw in table["hashes"]]
-        names, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+        names = np.concatenate(asked)
+        sample, inverse = distinct(names)
+        names = names[sample]
         totals = np.bincount(inverse, np.concatenate([unpacked(raw.as_py()) for raw in table["counts"]])).astype(np.int64)
         order = np.argsort(-totals, kind="stable")
         numbers = np.empty(len(names), np.int64)
@@ -175,6 +178,7 @@ class Batch:
             numbers[places[bucket]], totals[places[bucket]] = unpacked(own.as_py()), unpacked(sums.as_py())
         ids = unpacked(one["ids"].as_py())
         self.words, self.totals = numbers[ids], totals[ids]
+        self.local = np.where(self.words > 0, ids + 1, 0)  # the same words by small numbers, 0 if not trained
         self.document = np.repeat(np.arange(len(self.keys)), np.diff(self.firsts))
 
     def trigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,29 +186,33 @@ class Batch:
         count = len(self.words)
         following = np.zeros((2, count), np.int64)
         for step in (1, 2):
-            same = self.document[: count - step] == self.document[step:] if count > step else np.zeros(0, bool)
-            following[step - 1, : max(count - step, 0)][same] = self.words[step:][same]
-        starts = np.flatnonzero((self.words > 0) & (following[0] > 0))
-        u, v, w = self.words[starts], following[0][starts], following[1][starts]
-        if len(u) and max(u.max(), v.max()) >= 1 << 31:
-            (_, u_rank), (_, v_rank) = np.unique(u, return_inverse=True), np.unique(v, return_inverse=True)
+            if count > step:
+                same = self.document[:-step] == self.document[step:]
+                following[step - 1, : count - step] = np.where(same, self.local[step:], 0)
+        starts = np.flatnonzero((self.local > 0) & (following[0] > 0))
+        u, v, w = self.local[starts], following[0][starts], following[1][starts]
+        bits = int(self.local.max(initial=1)).bit_length()
+        if 3 * bits <= 63:
+            sample, inverse = distinct(u << 2 * bits | v << bits | w)
         else:
-            u_rank, v_rank = u, v
-        _, pair = np.unique(u_rank << 31 | v_rank, return_inverse=True)
-        _, rank = np.unique(w, return_inverse=True)
-        _, sample, inverse = np.unique(pair * (rank.max() + 1 if len(rank) else 1) + rank, return_index=True, return_inverse=True)
+            _, pair = distinct(u << 31 | v)
+            sample, inverse = distinct(pair << 31 | w)
         begins = np.full(count, -1)
         begins[starts] = inverse
         trained = np.bincount(inverse, self.learn[self.document[starts]], len(sample)).astype(np.int64)
-        return np.stack([u[sample], v[sample], w[sample]]), begins, trained
+        at = starts[sample]
+        third = np.where(w[sample] > 0, self.words[np.minimum(at + 2, count - 1)], 0)
+        return np.stack([self.words[at], self.words[at + 1], third]), begins, trained
 
 
-def bucket_of(trigrams: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_of(trigrams: np.ndarray, hot: np.ndarray, pairs: dict[tuple[int, int], int], buckets: int) -> np.ndarray:
     """The bucket of each trigram: by its first word, or by two or three words where the first or the first two are dealt out."""
     u, v, w = (mixed(row.astype(np.uint64) + np.uint64(77)) for row in trigrams)
-    first, second = np.isin(trigrams[0], hot), np.isin(trigrams[1], hot)
+    first = np.isin(trigrams[0], hot)
     name = np.where(first, mixed(u + v * np.uint64(3)), u)
-    name = np.where(first & second, mixed(u + v * np.uint64(3) + w * np.uint64(7)), name)
+    both = np.flatnonzero(first & np.isin(trigrams[1], [second for _, second in pairs]))
+    both = both[[pair in pairs for pair in zip(trigrams[0][both].tolist(), trigrams[1][both].tolist(), strict=True)]] if len(both) else both
+    name[both] = mixed(u[both] + v[both] * np.uint64(3) + w[both] * np.uint64(7))
     return name % np.uint64(buckets)
 
 
@@ -232,7 +240,7 @@ def score_corpus(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: s
     hot = np.array(sorted(of_word), np.int64)
     answers = known.filter("batch >= 0")
 
-    # contexts of two words that are dealt out
+    # pairs that are dealt out; both of their words are
     pair_schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
     def hot_pairs(row: pa.Table, own: pa.Table) -> pa.Table:
@@ -245,7 +253,8 @@ def score_corpus(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: s
         return pa.table({"u": pairs[0], "v": pairs[1], "n": counts.astype(np.int64)}, pair_schema)
 
     counted = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_typed(hot_pairs, "row", "own"), "u long, v long, n long")
-    of_pair = {(row.u, row.v): row.n for row in counted.groupBy("u", "v").agg(F.sum("n").alias("n")).collect()} if len(hot) else {}
+    counted = counted.groupBy("u", "v").agg(F.sum("n").alias("n")).filter(F.col("n") * (SPREAD * buckets) > trained)
+    of_pair = {(row.u, row.v): row.n for row in counted.collect()} if len(hot) else {}
 
     gram_schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("u", "v", "w", "n"))])
 
@@ -254,7 +263,7 @@ def score_corpus(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: s
             return gram_schema.empty_table()
         trigrams, _, counts = Batch(row, own, buckets).trigrams()
         found = {field.name: [] for field in gram_schema}
-        for bucket, at in _dealt(bucket_of(trigrams, hot, buckets), buckets):
+        for bucket, at in _dealt(bucket_of(trigrams, hot, of_pair, buckets), buckets):
             for column, value in zip(found, (row["batch"][0].as_py(), bucket, *(packed(each[at]) for each in (*trigrams, counts))), strict=True):
                 found[column].append(value)
         return _table(gram_schema, found)
@@ -262,7 +271,7 @@ def score_corpus(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: s
     sent = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
         _typed(grams, "row", "own"), "batch long, bucket int, u binary, v binary, w binary, n binary"
     )
-    shared = spark.sparkContext.broadcast((of_word, of_pair))  # at most SPREAD * buckets words and the pairs of them that occur
+    shared = spark.sparkContext.broadcast((of_word, of_pair))  # at most SPREAD * buckets words, and pairs
     code_schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("totals", pa.binary())])
 
     def look(table: pa.Table) -> pa.Table:
@@ -270,12 +279,11 @@ def score_corpus(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: s
         lengths = [len(each) for each in columns[0]]
         u, v, w, n = (np.concatenate(each) for each in columns)
         del columns
-        first, u_at = np.unique(u, return_inverse=True)
-        second, v_at = np.unique(v, return_inverse=True)
-        third, w_at = np.unique(w, return_inverse=True)
-        _, pair = np.unique(u_at * len(second) + v_at, return_inverse=True)
-        _, sample, inverse = np.unique(pair * len(third) + w_at, return_index=True, return_inverse=True)
-        del u_at, v_at, w_at, pair, first, second, third
+        (_, u_at), (second, v_at), (third, w_at) = ranked(u), ranked(v), ranked(w)
+        _, pair = distinct(u_at * len(second) + v_at)
+        del u_at, v_at
+        sample, inverse = distinct(pair * len(third) + w_at)
+        del pair, w_at, second, third
         u, v, w, n = u[sample], v[sample], w[sample], np.bincount(inverse, n)
         some = n > 0
         two = three = np.zeros(len(u), np.uint8)
@@ -301,7 +309,7 @@ def score_corpus(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: s
         batch = Batch(row, own.filter(pa.array(asked == 0)), buckets)
         trigrams, begins, _ = batch.trigrams()
         two, three = np.zeros(trigrams.shape[1] + 1, np.uint8), np.zeros(trigrams.shape[1] + 1, np.uint8)
-        places = dict(_dealt(bucket_of(trigrams, hot, buckets), buckets))
+        places = dict(_dealt(bucket_of(trigrams, hot, of_pair, buckets), buckets))
         expand = zstandard.ZstdDecompressor().decompress
         replies = own.filter(pa.array(asked == 1))
         for bucket, pairs, triples in zip(replies["bucket"].to_pylist(), replies["numbers"], replies["totals"], strict=True):

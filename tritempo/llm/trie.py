@@ -12,6 +12,8 @@ import mmap
 
 import numpy as np
 
+from tritempo.llm.common import distinct, ranked
+
 #: decades that quantised log10 probabilities span, in 254 steps; code 0 is "absent"
 DECADES = 9.0
 
@@ -128,22 +130,22 @@ def build(u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray, of_wor
     more than one trie.
     """
     parts: list[np.ndarray] = []
-    first, u_at = np.unique(u, return_inverse=True)
-    second, v_at = np.unique(v, return_inverse=True)
-    pair_key, pair_at = np.unique(u_at * len(second) + v_at, return_inverse=True)
+    first, u_at = ranked(u)
+    second, v_at = ranked(v)
+    sample, pair_at = distinct(u_at * len(second) + v_at)
+    pair_key = (u_at * len(second) + v_at)[sample]
     pair_u, pair_v = pair_key // len(second), pair_key % len(second)
     c_pair = np.bincount(pair_at, count)
     c_word = np.bincount(pair_u, c_pair, len(first))
-    for at in np.flatnonzero(np.isin(first, list(of_word))) if of_word else ():
+    for at in np.flatnonzero(np.isin(first, list(of_word))).tolist() if of_word else ():
         c_word[at] = of_word[int(first[at])]
+    if of_pair:
+        held = np.flatnonzero(np.isin(first[pair_u], [one for one, _ in of_pair]) & np.isin(second[pair_v], [two for _, two in of_pair]))
+        for at, pair in zip(held.tolist(), zip(first[pair_u[held]].tolist(), second[pair_v[held]].tolist(), strict=True), strict=True):
+            c_pair[at] = of_pair.get(pair, c_pair[at])
     p_pair = c_pair / (c_word[pair_u] + strength[0])
-    for at in np.flatnonzero(np.isin(first[pair_u], list(of_word))).tolist() if of_pair else ():
-        total = of_pair.get((int(first[pair_u[at]]), int(second[pair_v[at]])))
-        if total is not None:
-            c_pair[at] = total
-            p_pair[at] = total / (c_word[pair_u[at]] + strength[0])
     some = w > 0
-    third, w_at = np.unique(w[some], return_inverse=True)
+    third, w_at = ranked(w[some])
     order = np.argsort(pair_at[some] * max(1, len(third)) + w_at)
     triple_pair, triple_w = pair_at[some][order], w_at[order]
     p_triple = count[some][order] / (c_pair[triple_pair] + strength[1])
@@ -207,17 +209,24 @@ class Trie:
         return at, equal
 
     def look(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of p(v|u) and p(w|uv); 0 where the n-gram isn't in the trie."""
+        """Codes of p(v|u) and p(w|uv); 0 where the n-gram isn't in the trie. Words and pairs are found once."""
         bigram, trigram = np.zeros(len(u), np.uint8), np.zeros(len(u), np.uint8)
-        u_at, known = self.first.successor(u)
-        v_at, also = self.second.successor(v)
+        u_at, known = self._words(self.first, u)
+        v_at, also = self._words(self.second, v)
         rows = np.flatnonzero(known & also)
-        pair, found = self._child(self.pairs, self.pairs_of, self.second.count, u_at[rows], v_at[rows])
-        rows, pair = rows[found], pair[found]
+        sample, pair_of = distinct(u_at[rows] * self.second.count + v_at[rows])
+        pair, found = self._child(self.pairs, self.pairs_of, self.second.count, u_at[rows[sample]], v_at[rows[sample]])
+        rows, pair = rows[found[pair_of]], pair[pair_of][found[pair_of]]
         bigram[rows] = self.p_pair[pair]
         if self.deep and len(rows):
-            w_at, known = self.third.successor(w[rows])
+            w_at, known = self._words(self.third, w[rows])
             rows, pair, w_at = rows[known], pair[known], w_at[known]
             triple, found = self._child(self.triples, self.triples_of, self.third.count, pair, w_at)
             trigram[rows[found]] = self.p_triple[triple[found]]
         return bigram, trigram
+
+    @staticmethod
+    def _words(level: EliasFano, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        names, place = ranked(words)
+        at, known = level.successor(names)
+        return at[place], known[place]
