@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -32,8 +33,9 @@ from tritempo.llm.common import column_bytes, ragged, range_hashes, slices
 
 #: matches of up to so many bytes are encoded side by side
 SHORT = 64
+ABREAST = 8_000
 #: matches whose encoding a worker remembers
-KEPT = 300_000
+KEPT = 150_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -132,16 +134,15 @@ class Encoder:
         if missing:
             raise ValueError(f"the rank file lacks {len(missing)} single bytes")
         self.bytes = np.array([ranks[bytes([byte])] for byte in range(256)], np.int64)
-        #: every way a token is two tokens side by side
-        self.pairs = {
-            (ranks[token[:cut]], ranks[token[cut:]]): rank
+        self.span = max(self.tokens) + 1
+        #: every way a token is two tokens side by side: left * span + right, ascending, and the token
+        pairs = np.array([
+            (ranks[token[:cut]] * self.span + ranks[token[cut:]], rank)
             for token, rank in ranks.items() for cut in range(1, len(token))
             if token[:cut] in ranks and token[cut:] in ranks
-        }
-        self.span = max(self.tokens) + 1
-        keys = np.array([left * self.span + right for left, right in self.pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.merged = np.append(keys[order], NONE), np.append(np.fromiter(self.pairs.values(), np.int64)[order], 0)
+        ] or np.zeros((0, 2)), np.int64)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.keys, self.merged = np.append(pairs[:, 0], NONE), np.append(pairs[:, 1], 0)
         self.kept: dict[int, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -180,8 +181,8 @@ class Encoder:
             else:
                 groups.setdefault(1 << (len(raw) - 1).bit_length(), []).append((key, raw))
         for size, group in groups.items():
-            for at in range(0, len(group), 20_000):
-                part = group[at : at + 20_000]
+            for at in range(0, len(group), ABREAST):
+                part = group[at : at + ABREAST]
                 self.kept.update(zip((key for key, _ in part), self.side_by_side([raw for _, raw in part], size), strict=True))
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -242,13 +243,18 @@ class Encoder:
             nodes[rows, node] = least
             size >>= 1
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The pairs for one lookup at a time; made when the first long match comes."""
+        return dict(zip(self.keys.tolist(), self.merged.tolist(), strict=True))
+
     def long(self, raw: bytes) -> bytes:
         """Merges one long match."""
-        count, pairs = len(raw), self.pairs
+        count, span, pairs = len(raw), self.span, self.pairs
         token = self.bytes[np.frombuffer(raw, np.uint8)].tolist()
         size = 1 << (count - 1).bit_length()
         right, left = array("q", range(1, count + 1)), array("q", range(-1, count - 1))
-        ranks = (pairs.get(pair) for pair in zip(token, token[1:], strict=False))
+        ranks = (pairs.get(one * span + two) for one, two in zip(token, token[1:], strict=False))
         tree = SegmentTree([NONE if rank is None else rank * size + place for place, rank in enumerate(ranks)] + [NONE])
         while tree.nodes[1] != NONE:
             new, at = divmod(tree.nodes[1], size)
@@ -259,10 +265,10 @@ class Encoder:
             rank = None
             if after < count:
                 left[after] = at
-                rank = pairs.get((new, token[after]))
+                rank = pairs.get(new * span + token[after])
             tree.set(at, NONE if rank is None else rank * size + at)
             if before >= 0:
-                rank = pairs.get((token[before], new))
+                rank = pairs.get(token[before] * span + new)
                 tree.set(before, NONE if rank is None else rank * size + before)
         return np.array([each for each in token if each >= 0], "<u4").tobytes()
 
@@ -306,6 +312,7 @@ def bpe_encode(
                 part = batch.slice(start, stop - start)
                 ids = encoder.encode([value or "" for value in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
+        encoder.kept.clear()  # the worker may go on with other work
 
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(encode, f"key {kind}, ids binary").withColumnRenamed("key", key)

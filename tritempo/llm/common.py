@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: text bytes that a task turns into arrays at once
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+#: bytes up to which the tables of powers stay with the worker
+KEPT_BYTES = 8_000_000
 
 
 class Scratch:
@@ -120,12 +122,12 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     Prefix sums of (byte + 1) * BASE**place give the polynomial of every range at once.
     """
     if len(_POWERS.get("up", ())) < len(data) + 1:
-        _POWERS["up"] = powers(BASE, max(len(data) + 1, 2 * SLICE_BYTES))
+        _POWERS["up"] = powers(BASE, max(len(data) + 1, SLICE_BYTES + SLICE_BYTES // 4))
         _POWERS["down"] = powers(INVERSE, len(_POWERS["up"]))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS["up"][: len(data)], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * _POWERS["down"][starts])
-    if len(data) > 4 * SLICE_BYTES:  # one very long text: don't keep its tables for the rest of the task
+    if len(data) > KEPT_BYTES:  # one very long text: don't keep its tables for the rest of the task
         _POWERS.clear()
     return hashes
 
