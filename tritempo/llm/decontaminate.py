@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tritempo.llm.common import NOT_ALNUM, Scratch, column_bytes, joined_bytes, lowered, ragged, slices, words
 
-#: phrases that are broadcast at once; 13 words each are about 40 MB
-BLOCK = 200_000
+#: phrases that are broadcast at once; 13 words each are about 10 MB
+BLOCK = 50_000
 #: words of a window
 WINDOW = 13
 
