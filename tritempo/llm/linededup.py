@@ -109,8 +109,10 @@ def deletions(scratch: Scratch, rows: DataFrame, *, rare: int = RARE, min_words:
     """
     line = rows.select("node", F.explode("lines").alias("line")).filter(F.col("line.n") >= min_words)
     line = scratch.put(line.select("node", "line.h", "line.g").distinct(), "occurrences")
-    held = line.groupBy("h", "g").agg(F.count("*").alias("holders"), F.min("node").alias("first")).filter("holders > 1")
-    held = scratch.put(line.join(held, ["h", "g"]), "held")
+    shared = line.groupBy("h", "g").agg(F.count("*").alias("holders"), F.min("node").alias("first")).filter("holders > 1")
+    # written, so that the join's partitions are not those of the sums and a line that very many hold can be split
+    shared = scratch.put(shared, "shared")
+    held = scratch.put(line.join(shared, ["h", "g"]), "held")
     to_first = held.filter((F.col("holders") > rare) & (F.col("node") > F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
     few = held.filter(F.col("holders") <= rare)
     every = few.select("h", "g", F.col("node").alias("a")).join(few.select("h", "g", F.col("node").alias("b")), ["h", "g"]).filter("a < b")
@@ -166,7 +168,7 @@ def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rare
     late = late.select("key", "digest", F.lit(True).alias("copy"), F.lit(None).cast("array<boolean>").alias("deleted")).distinct()
     action = gone.select(F.col("first").alias("key"), "digest", F.lit(False).alias("copy"), "deleted").union(late)
     action = scratch.put(action.toDF("_key", "_digest", "_copy", "_deleted"), "action")
-    scratch.drop("occurrences", "held", "gone", "rows", "classes")
+    scratch.drop("occurrences", "shared", "held", "gone", "rows", "classes")
 
     texts = docs.drop("n_lines", "n_removed")
     met = texts.join(action, (texts[key] == F.col("_key")) & (F.md5(texts[text]) == F.col("_digest")), "left")
