@@ -53,10 +53,11 @@ def classes() -> np.ndarray:
     """The class of every code point, asked of ``regex`` once per worker."""
     if not _CLASSES:
         table = np.zeros(0x110000, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
-            for found in regex.finditer(pattern, every):
-                table[np.frombuffer(found.group().encode("utf-32-le"), "<u4")] = kind
+        for begin in range(0, len(table), 0x4000):  # all at once would take a hundred megabytes
+            part = "".join(chr(point) for point in range(begin, begin + 0x4000) if not 0xD800 <= point < 0xE000)
+            for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
+                for found in regex.finditer(pattern, part):
+                    table[np.frombuffer(found.group().encode("utf-32-le"), "<u4")] = kind
         _CLASSES.append(table)
     return _CLASSES[0]
 
