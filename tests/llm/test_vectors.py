@@ -55,3 +55,65 @@ def test_odd_rows(spark):
     last = [row for row in rows_of(vectors.near_vectors(frame)) if row[0] is None]
     assert last == [(None, 0, None, True)]
     assert vectors.near_vectors(frame.filter("vec_id = -1")).count() == 0
+
+
+def test_tables_follow_the_bits():
+    same = 1 - np.arccos(0.9) / np.pi
+    for count in (10, 10_256, 51_282, 3_000_000, 10**9):
+        bits = vectors.bits_of(count)
+        assert 1 - (1 - same**bits) ** vectors.tables_of(bits) >= vectors.MET
+
+
+def nodes_of(spark, rows):
+    read = vectors.read_vectors(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>"), key="vec_id", vector="embedding")
+    return read.withColumnRenamed("key", "node").cache()
+
+
+def test_isolated_pairs_at_the_threshold_meet_at_the_start(spark):
+    rng, rows = np.random.default_rng(8), []
+    for _ in range(1500):
+        one, two = rng.standard_normal((2, 32))
+        one /= np.linalg.norm(one)
+        two -= two @ one * one
+        rows += [one.tolist(), (0.91 * one + (1 - 0.91**2) ** 0.5 * two / np.linalg.norm(two)).tolist()]
+    found = vectors.first_pairs(nodes_of(spark, rows), 51_282, 11).filter("sim >= 0.88 and a < b")
+    assert found.select("a", "b").distinct().filter("a % 2 = 0 and b = a + 1").count() >= 0.995 * 1500
+
+
+def test_large_buckets_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CHUNK", 5)
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(16)
+    rows = [(centre + rng.standard_normal(16) * 0.02).tolist() for _ in range(40)]
+    rows += [rows[3], rows[7]]
+    rows[40] = (np.array(rows[3]) * 1.0 + 1e-6).tolist()
+    rows[41] = (np.array(rows[7]) * 1.0 + 1e-6).tolist()
+    found = {(row.a, row.b) for row in vectors.first_pairs(nodes_of(spark, rows), 42, 11).collect()}
+    assert {(3, 40), (40, 3), (7, 41), (41, 7)} <= found
+
+
+def test_the_audit_sees_lost_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(10)
+    centre = rng.standard_normal(32)
+    rows = [(centre + rng.standard_normal(32) * 0.05).tolist() for _ in range(100)]
+    for _ in range(30):
+        one = rng.standard_normal(32)
+        rows += [one.tolist(), (one + rng.standard_normal(32) * 0.05).tolist()]
+    nodes = nodes_of(spark, rows)
+    group = spark.createDataFrame([(a, b) for a in range(100) for b in range(a + 1, 100)], "a long, b long")
+    few, many = vectors.audit(nodes, group)
+    assert few == 0 and many == 1
+    pairs = spark.createDataFrame([(a, a + 1) for a in range(100, 160, 2)], "a long, b long")
+    assert vectors.audit(nodes, group.union(pairs)) == (1, 1)
+
+
+def test_all_vectors_are_compared_if_the_search_misses_the_target(spark, monkeypatch):
+    rng, rows = np.random.default_rng(11), []
+    for _ in range(20):
+        one = rng.standard_normal(8)
+        rows += [one.tolist(), (one + rng.standard_normal(8) * 0.05).tolist()]
+    full = [(key, row, 1, "x", "y", 0.5) for key, row in enumerate(rows)]
+    monkeypatch.setattr(vectors, "EXTENSIONS", 0)
+    monkeypatch.setattr(vectors, "BLOCK", 15)
+    monkeypatch.setattr(vectors, "exact_edges", lambda nodes, lists: lists.select("node", "nbr").toDF("a", "b").limit(0))
+    assert sorted(rows_of(vectors.near_vectors(spark.createDataFrame(full, SCHEMA))), key=str) == by_brute_force(full)

@@ -1,11 +1,14 @@
 """Near-duplicate embeddings by NN-descent.
 
-Equal vectors are one node. The neighbour graph starts from buckets of random hyperplanes: nodes of a bucket, in chunks of
-bounded size, are each other's first candidates. Then neighbours of neighbours are joined: for every node the neighbours of a
-few of its neighbours are compared with it, and the best ``LIST`` found so far stay its neighbours, until hardly a list
-changes. A node whose list is full of neighbours beyond the threshold is saturated: its list is enlarged and its
+Equal vectors are one node. The neighbour graph starts from buckets of random hyperplanes: nodes of a bucket are each other's
+first candidates, compared in tiles of bounded size. There are as many tables of buckets as it takes for a pair at the
+threshold to share a bucket with probability ``MET``, however many vectors there are. Then neighbours of neighbours are
+joined: for every node the neighbours of a few of its neighbours are compared with it, and the best ``LIST`` found so far stay
+its neighbours, until hardly a list changes. A node whose list is full of neighbours beyond the threshold is saturated: its list is enlarged and its
 neighbours' neighbours are joined again, until every list ends below the threshold or holds all there is. A sample of nodes
-is audited against all vectors; while recall is below the target, the search goes on with other hyperplanes.
+is audited against all vectors. Recall is the mean over nodes, taken apart for those with few links and those with many, so that
+no large group hides lost pairs. While it is below the target, the search goes on with other hyperplanes and adds to the links
+found; if it stays below, all vectors are compared in blocks.
 
 The search compares vectors rounded to 8 bits, whose rounding error is kept with the vector: the error bounds how far the
 cosine may be off, and the pairs for which that leaves the threshold in doubt are compared in double precision.
@@ -26,10 +29,16 @@ from tritempo.llm.common import Scratch, components
 THRESHOLD = 0.9
 #: neighbours in a list, neighbours whose lists a node looks through, and how lists grow when saturated
 LIST, LOOKED_THROUGH, GROWTH = 8, 8, 4
-TABLES, CHUNK, BUCKET = 8, 400, 16
+CHUNK, BUCKET = 400, 16
+#: tables whose buckets fill the first lists; what further ones add are pairs about the threshold
+TABLES = 8
+#: probability that a pair at the threshold shares a bucket of some table
+MET = 0.999
 ROUNDS, CHANGED = 6, 0.002
-#: audited nodes, the recall they must show, and how often the search is extended for it
-AUDITED, RECALL, EXTENSIONS = 256, 0.995, 3
+#: audited nodes (of all, and again of those with few links), the recall they must show, and how often the search is extended for it
+AUDITED, RECALL, EXTENSIONS = 2048, 0.995, 3
+#: nodes that are compared with all others at once, and of these those in one product
+BLOCK, PRODUCT = 20_000, 512
 
 
 def read_vectors(rows: DataFrame, *, key: str, vector: str) -> DataFrame:
@@ -75,41 +84,66 @@ def _by_length(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.flatnonzero(lengths == length)
 
 
+def bits_of(count: int) -> int:
+    """Hyperplanes of a table: about ``BUCKET`` of so many nodes share a bucket."""
+    return max(2, min(30, math.ceil(math.log2(max(1, count) / BUCKET))))
+
+
+def tables_of(bits: int) -> int:
+    """Tables for which a pair at the threshold shares a bucket of one at least with probability ``MET``.
+
+    A hyperplane parts two vectors with a probability of their angle over pi.
+    """
+    same = (1 - math.acos(THRESHOLD) / math.pi) ** bits
+    return max(TABLES, math.ceil(math.log(1 - MET) / math.log(1 - same)))
+
+
 def first_pairs(nodes: DataFrame, count: int, seed: int) -> DataFrame:
-    """(a, b, sim): the best neighbours of every node among those of its chunk of a bucket of random hyperplanes."""
-    bits = max(2, min(30, math.ceil(math.log2(max(1, count) / BUCKET))))
+    """(a, b, sim): the best neighbours of every node in its buckets of random hyperplanes; a large bucket gives the best of each tile.
+
+    Beyond the first ``TABLES`` tables only pairs that may be links.
+    """
+    bits = bits_of(count)
+    tables = tables_of(bits)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in _by_length(batch.column("rounded")):
                 part = batch.take(pa.array(rows))
                 x = _matrix(part.column("rounded"), np.int8).astype(np.float32)
-                planes = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], TABLES * bits)).astype(np.float32)
-                signs = (x @ planes > 0).reshape(len(x), TABLES, bits)
-                bucket = (signs * (1 << np.arange(bits))).sum(2) * TABLES + np.arange(TABLES)
+                planes = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], tables * bits)).astype(np.float32)
+                signs = (x @ planes > 0).reshape(len(x), tables, bits)
+                bucket = (signs * (1 << np.arange(bits))).sum(2) * tables + np.arange(tables)
                 yield pa.RecordBatch.from_arrays([
                     part.column("node"), pa.array(list(bucket), pa.list_(pa.int64())), pa.array([x.shape[1]] * len(x), pa.int64()), part.column("rounded"),
                 ], ["node", "buckets", "dim", "rounded"])
 
     placed = nodes.select("node", "rounded").mapInArrow(keys, "node long, buckets array<long>, dim long, rounded binary")
     placed = placed.select("node", "dim", "rounded", F.explode("buckets").alias("bucket"))
-    cuts = placed.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / CHUNK).alias("cuts"))
+    cuts = placed.groupBy("dim", "bucket").agg(F.count("*").alias("n")).filter("n > 1").select("dim", "bucket", F.ceil(F.col("n") / CHUNK).alias("cuts"))
     placed = placed.join(cuts, ["dim", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("node", "bucket", F.lit(seed)), F.col("cuts")))
+    # every chunk meets every other, so that a bucket of any size is compared whole
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    placed = placed.select("dim", "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "chunk", "rounded")
 
     def best(table: pa.Table) -> pa.Table:
-        node = table["node"].to_numpy()
+        node, chunk = table["node"].to_numpy(), table["chunk"].to_numpy()
         x = _matrix(table["rounded"].combine_chunks(), np.int8).astype(np.float32) / 127
         sims = x @ x.T
         np.fill_diagonal(sims, -2)
+        if table["i"][0].as_py() != table["j"][0].as_py():
+            sims[chunk[:, None] == chunk] = -2
         keep = min(LIST, len(node) - 1)
         if keep < 1:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sim": pa.array([], pa.float32())})
         near = np.argpartition(-sims, keep - 1, 1)[:, :keep]
-        left = np.repeat(np.arange(len(node)), keep)
-        return pa.table({"a": node[left], "b": node[near.ravel()], "sim": sims[left, near.ravel()]})
+        left, right = np.repeat(np.arange(len(node)), keep), near.ravel()
+        fits = sims[left, right] >= (-1.5 if table["bucket"][0].as_py() % tables < TABLES else THRESHOLD - 0.05)
+        left, right = left[fits], right[fits]
+        return pa.table({"a": node[left], "b": node[right], "sim": sims[left, right]})
 
     best.__annotations__ = {"table": pa.Table, "return": pa.Table}
-    return placed.groupBy("dim", "bucket", "chunk").applyInArrow(best, "a long, b long, sim float")
+    return placed.groupBy("dim", "bucket", "i", "j").applyInArrow(best, "a long, b long, sim float")
 
 
 def compared(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -215,10 +249,10 @@ def exact_edges(nodes: DataFrame, lists: DataFrame) -> DataFrame:
     return sure.union(met.mapInArrow(dots, "a long, b long"))
 
 
-def audit(nodes: DataFrame, edges: DataFrame, sample: int = AUDITED) -> tuple[int, int]:
-    """Links of a sample of nodes by brute force against all vectors, and how many of them are edges."""
-    asked = [(row.node, np.frombuffer(row.unit)) for row in nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("node", "unit").collect()]
-    shared = nodes.sparkSession.sparkContext.broadcast(asked)
+def exact_links(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, other) of all links of the nodes in ``asked``, which are few enough to be collected, by brute force against all vectors."""
+    held = [(row.node, np.frombuffer(row.unit)) for row in asked.select("node", "unit").collect()]
+    shared = nodes.sparkSession.sparkContext.broadcast(held)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,15 +260,43 @@ def audit(nodes: DataFrame, edges: DataFrame, sample: int = AUDITED) -> tuple[in
                 part = batch.take(pa.array(rows))
                 x, node = _matrix(part.column("unit"), np.float64), part.column("node").to_numpy()
                 queries = [(name, unit) for name, unit in shared.value if len(unit) == x.shape[1]]
-                if queries:
-                    names = np.array([name for name, _ in queries])
-                    at, of = np.nonzero(x @ np.stack([unit for _, unit in queries]).T >= THRESHOLD)
+                for start in range(0, len(queries), PRODUCT):
+                    some = queries[start : start + PRODUCT]
+                    names = np.array([name for name, _ in some])
+                    at, of = np.nonzero(x @ np.stack([unit for _, unit in some]).T >= THRESHOLD)
                     at, of = at[node[at] != names[of]], of[node[at] != names[of]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[at], names[of])), pa.array(np.maximum(node[at], names[of]))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[of]), pa.array(node[at])], ["asked", "other"])
+
+    return nodes.select("node", "unit").mapInArrow(scan, "asked long, other long")
 
-    true = nodes.select("node", "unit").mapInArrow(scan, "a long, b long").distinct()
-    counted = true.join(edges.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return counted[0], counted[1]
+
+def audit(nodes: DataFrame, edges: DataFrame, sample: int = AUDITED) -> tuple[float, float]:
+    """The mean recall of sampled nodes with few links (up to ``LIST``) and of those with more, by brute force against all vectors.
+
+    The sample is one of all nodes and one of those with few links so far; 1 where it has no such node.
+    """
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").count().filter(F.col("count") <= LIST)
+    by_hash = nodes.orderBy(F.xxhash64("node"), "node").limit(sample)
+    linked = nodes.join(ends, "node", "left_semi").orderBy(F.xxhash64("node"), "node").limit(sample)
+    true = exact_links(nodes, by_hash.select("node", "unit").union(linked.select("node", "unit")).dropDuplicates(["node"]))
+    true = true.select("asked", F.least("asked", "other").alias("a"), F.greatest("asked", "other").alias("b"))
+    each = true.join(edges.select("a", "b").distinct().withColumn("hit", F.lit(1)), ["a", "b"], "left")
+    each = each.groupBy("asked").agg(F.count("*").alias("links"), (F.count("hit") / F.count("*")).alias("recall"))
+    few = F.col("links") <= LIST
+    shown = each.agg(F.avg(F.when(few, F.col("recall"))), F.avg(F.when(~few, F.col("recall")))).first()
+    return tuple(1.0 if recall is None else recall for recall in shown)
+
+
+def all_edges(scratch: Scratch, nodes: DataFrame, count: int) -> DataFrame:
+    """(a, b) with a < b of all links: every vector against every other, ``BLOCK`` vectors at a time."""
+    cuts = math.ceil(max(1, count) / BLOCK)
+    blocks = scratch.put(nodes.select("node", "unit", F.pmod(F.xxhash64("node"), F.lit(cuts)).alias("block")), "blocks")
+    found = None
+    for block in range(cuts):
+        links = exact_links(nodes, blocks.filter(F.col("block") == block)).filter("asked < other").toDF("a", "b")
+        links = scratch.put(links, f"exact-{block}")
+        found = links if found is None else found.union(links)
+    return found
 
 
 def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -252,17 +314,21 @@ def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embeddi
     )
     nodes = scratch.put(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     count = nodes.count()
-    lists = None
+    lists = edges = None
     for extension in range(1 + EXTENSIONS):
-        found = first_pairs(nodes, count, 11 + extension).filter("sim > 0")
+        found = scratch.put(first_pairs(nodes, count, 11 + extension).filter("sim > 0"), f"first-{extension}")
         if lists is None:
             lists = found.select(F.col("a").alias("node"), F.col("b").alias("nbr"), "sim", F.lit(1).alias("fresh"))
         lists = scratch.put(merged(lists, found, None), f"start-{extension}")
         lists = descend(scratch, nodes, lists.withColumn("fresh", F.lit(1)), count, f"run-{extension}")
-        edges = scratch.put(exact_edges(nodes, lists), f"edges-{extension}")
-        true, hit = audit(nodes, edges)
-        if hit >= RECALL * true:
+        # pairs that met but were cut from both lists may be links, too
+        met = lists.select("node", "nbr", "sim").union(found.select("a", "b", "sim"))
+        more = exact_edges(nodes, met)
+        edges = scratch.put(more if edges is None else edges.union(more).distinct(), f"edges-{extension}")
+        if min(audit(nodes, edges)) >= RECALL:
             break
+    else:
+        edges = all_edges(scratch, nodes, count)
     copies = nodes.select("node", "copies")
     ends = edges.union(edges.select("b", "a")).toDF("node", "other").join(copies.toDF("other", "others"), "other")
     links = ends.groupBy("node").agg(F.sum("others").alias("others"))
