@@ -69,3 +69,35 @@ def test_no_line_is_lost_from_the_corpus(documents):
     found = ld.line_dedup(documents).collect()
     assert {line for row in found for line in row.text.split("\n")} | {""} == before | {""}
     assert sum(row.n_removed for row in found) > 0
+
+
+def test_blocks_that_repeat_or_cross_are_found():
+    assert ld.shared_blocks([1, 2, 3, 4], [3, 4, 8, 1, 2], [5] * 5, 5) == [0, 1, 3, 4]
+    assert ld.shared_blocks([1, 2, 9], [7, 1, 2, 6, 1, 2], [1, 3, 2, 1, 3, 2], 5) == [1, 2, 4, 5]
+    assert ld.shared_blocks([1, 8, 1, 9], [7, 1, 6, 1], [1, 5, 1, 5], 5) == [1, 3]
+    assert ld.shared_blocks([1, 2, 3], [3, 0, 1, 2], [2, 0, 2, 2], 5) == []
+    assert ld.shared_blocks([5, 6, 7, 1], [1, 5, 6, 7, 8], [9, 3, 3, 1, 1], 5) == [0, 1, 2, 3]  # the end of a run, too
+    chosen = random.Random(6)
+    for _ in range(300):
+        left, right = ([chosen.randrange(1, 7) for _ in range(chosen.randrange(12))] for _ in range(2))
+        sizes = [item % 4 for item in right]
+        plain = set()
+        for a in range(len(right)):
+            for b in range(a + 1, len(right) + 1):
+                if sum(sizes[a:b]) >= 5 and any(left[at : at + b - a] == right[a:b] for at in range(len(left))):
+                    plain |= set(range(a, b))
+        assert ld.shared_blocks(left, right, sizes, 5) == sorted(plain)
+
+
+def test_no_long_shared_line_stays(spark, documents):
+    chosen = random.Random(7)
+    pool = [" ".join(f"w{chosen.randrange(90)}" for _ in range(chosen.randrange(5, 9))) for _ in range(30)]
+    rows = [(key, "\n".join([f"only {key} here", *chosen.choices(pool, k=12)])) for key in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for docs in (frame, documents.select("doc_id", "text")):
+        first = {}
+        for row in docs.collect():
+            for line in row.text.split("\n"):
+                first[line] = min(row.doc_id, first.get(line, row.doc_id))
+        for row in ld.line_dedup(docs).collect():
+            assert all(first[line] == row.doc_id for line in row.text.split("\n") if len(line.split()) >= ld.MIN_WORDS)

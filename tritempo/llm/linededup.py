@@ -7,7 +7,9 @@ the first holder alone: pairs then grow with the occurrences of the line, not wi
 
 Each pair is aligned with patience diff: common heads and tails, then lines that occur once on either side, in the longest
 order that both sides share, and again between these anchors. Aligned lines that follow one another on both sides are a
-block; blocks of at least ``MIN_WORDS`` words are deleted from the later document. Since the earliest holder of a line has no
+block; blocks of at least ``MIN_WORDS`` words are deleted from the later document. What alignment leaves, since it repeats or
+stands in another order, is looked up by windows of lines: every run of at least ``MIN_WORDS`` words that the earlier document
+holds anywhere goes, as often as it occurs. So no line of so many words stays that an earlier document holds. Since the earliest holder of a line has no
 earlier partner that holds it, no line is lost from the corpus.
 
 Pairs carry line hashes, not texts. Texts are read twice: to hash the lines and to leave out the deleted ones.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tritempo.llm.common import Scratch
+from tritempo.llm.common import BASE, INVERSE, Scratch, mixed, powers
 
 #: holders up to which a line pairs all of them
 RARE = 4
@@ -77,8 +79,45 @@ def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def windows(hashes: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the shortest windows of at least so many words: one from every line on, one up to every line.
+
+    Together those that lie in a run of so many words cover it, and equal runs have equal windows.
+    """
+    count = len(hashes)
+    total = np.zeros(count + 1, np.int64)
+    np.cumsum(sizes, out=total[1:])
+    from_ = np.arange(count)
+    to = np.searchsorted(total, total[:-1] + least, "left")
+    up_to = np.arange(1, count + 1)
+    since = np.searchsorted(total, total[1:] - least, "right") - 1
+    starts = np.concatenate([from_[to <= count], since[since >= 0]])
+    ends = np.concatenate([to[to <= count], up_to[since >= 0]])
+    sums = np.zeros(count + 1, np.uint64)
+    np.cumsum(mixed(hashes.view(np.uint64) ^ np.uint64(BASE)) * powers(BASE, count)[:count], out=sums[1:])
+    return starts, ends, mixed((sums[ends] - sums[starts]) * powers(INVERSE, count)[starts])
+
+
+def shared_windows(left: list[int], right: list[int], sizes: list[int], least: int) -> np.ndarray:
+    """Places of ``right`` in runs of at least so many words that ``left`` holds anywhere."""
+    words = dict(zip(right, sizes, strict=True))
+    number = {item: at for at, item in enumerate(words)}
+    # a line that ``right`` doesn't hold matches in no window
+    there = np.array([number.get(item, -1) for item in left], np.int64)
+    there = windows(there, np.array([words.get(item, least) for item in left], np.int64), least)[2]
+    starts, ends, here = windows(np.array([number[item] for item in right], np.int64), np.array(sizes, np.int64), least)
+    both = np.isin(here, there)
+    depth = np.zeros(len(right) + 1, np.int64)
+    np.add.at(depth, starts[both], 1)
+    np.subtract.at(depth, ends[both], 1)
+    return np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+
+
 def shared_blocks(left: list[int], right: list[int], sizes: list[int], least: int) -> list[int]:
-    """Places of ``right`` in aligned blocks of at least so many words; ``sizes`` are the words of its lines."""
+    """Places of ``right`` in blocks of at least so many words that ``left`` holds; ``sizes`` are the words of its lines.
+
+    Aligned blocks first; what they leave of ``right`` is looked up by windows.
+    """
     found: list[int] = []
     block: list[int] = []
     previous = (-2, -2)
@@ -89,6 +128,8 @@ def shared_blocks(left: list[int], right: list[int], sizes: list[int], least: in
             block = []
         block.append(pair[1])
         previous = pair
+    if len(found) < len(right):
+        found = sorted({*found, *shared_windows(left, right, sizes, least).tolist()})
     return found
 
 
