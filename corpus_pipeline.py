@@ -33,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes the new text, and its length where lines were removed; a document that lost all its words goes."""
-    found = line_dedup(docs)
+    found = line_dedup(docs, short_lines=True)
     changed = F.col("n_removed") > 0
     length = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.filter(~changed | F.col("text").rlike(r"\S")).withColumn("n_chars", length).select(*docs.columns)

@@ -101,3 +101,14 @@ def test_no_long_shared_line_stays(spark, documents):
                 first[line] = min(row.doc_id, first.get(line, row.doc_id))
         for row in ld.line_dedup(docs).collect():
             assert all(first[line] == row.doc_id for line in row.text.split("\n") if len(line.split()) >= ld.MIN_WORDS)
+
+
+def test_passages_in_short_lines_are_found(spark):
+    verse = "\n".join(f"so short is {at}" for at in range(20))
+    rows = [(1, f"the one beginning of it all\n{verse}\nend"), (2, f"alone\n{verse}\nand another end of it"), (3, "so short is 3\nis not\nso short is 4")]
+    # the end of a run goes, too, where more hold its beginning
+    rows += [(key, f"begin {key}\nout of many\nare these here\ntail {key // 2}") for key in range(10, 18)]
+    found = {row.doc_id: row.text for row in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), short_lines=True).collect()}
+    assert found[1] == rows[0][1] and found[2] == "alone\nand another end of it" and found[3] == rows[2][1]
+    assert found[10] == "begin 10\nout of many\nare these here\ntail 5"
+    assert [found[key] for key in range(11, 18)] == ["begin 11"] + [f"begin {key}" + (f"\ntail {key // 2}" if key % 2 == 0 else "") for key in range(12, 18)]

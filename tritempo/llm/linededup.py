@@ -3,7 +3,8 @@
 Documents that overlap are found through the lines they share, told apart by two hashes of the line. A *rare* line, held by at
 most ``RARE`` documents, pairs each holder with every earlier one. A line that more documents hold pairs each with
 the first holder alone: pairs then grow with the occurrences of the line, not with their square. Only lines of at least
-``MIN_WORDS`` words name pairs. Copies of a whole text are one document here, aligned once.
+``MIN_WORDS`` words name pairs and, with ``short_lines``, likewise windows of consecutive shorter lines that have so many words
+together, from every such line on and up to every such line. Copies of a whole text are one document here, aligned once.
 
 Each pair is aligned with patience diff: common heads and tails, then lines that occur once on either side, in the longest
 order that both sides share, and again between these anchors. Aligned lines that follow one another on both sides are a
@@ -30,7 +31,7 @@ from tritempo.llm.common import BASE, INVERSE, Scratch, mixed, powers
 
 #: holders up to which a line pairs all of them
 RARE = 4
-#: words of a line that names pairs, and of a block that is deleted
+#: words of a line or window of lines that names pairs, and of a block that is deleted
 MIN_WORDS = 5
 
 
@@ -133,6 +134,25 @@ def shared_blocks(left: list[int], right: list[int], sizes: list[int], least: in
     return found
 
 
+def short_windows(rows: DataFrame, least: int) -> DataFrame:
+    """(node, h, g) of the windows of at least so many words in lines that have fewer each."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, (h, g, n) in enumerate(zip(*(batch.column(part) for part in ("h", "g", "n")), strict=True)):
+                h, g, n = (value.values.to_numpy(zero_copy_only=False).astype(np.int64) for value in (h, g, n))
+                starts, ends, one = windows(h, n, least)
+                two = windows(g, n, least)[2]
+                long = np.zeros(len(n) + 1, np.int64)
+                np.cumsum(n >= least, out=long[1:])
+                short = long[ends] == long[starts]
+                node = pa.array(np.full(int(short.sum()), batch.column("node")[at].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([node, pa.array(one[short].view(np.int64)), pa.array(two[short].view(np.int64))], ["node", "h", "g"])
+
+    some = F.exists("lines", lambda each: (each["n"] > 0) & (each["n"] < least))
+    return rows.filter(some).select("node", "lines.h", "lines.g", "lines.n").mapInArrow(name, "node long, h long, g long")
+
+
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -143,13 +163,15 @@ def line_hashes(text: Column) -> Column:
     return F.transform(lines_of(text), lambda line: F.struct(F.xxhash64(line).alias("h"), F.hash(line).alias("g"), words(line).alias("n")))
 
 
-def deletions(scratch: Scratch, rows: DataFrame, *, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def deletions(scratch: Scratch, rows: DataFrame, *, rare: int = RARE, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
     """(node, deleted): for documents that lose lines, whether each line up to the last such goes.
 
     ``rows`` has (node, lines); nodes are ordered numbers.
     """
     line = rows.select("node", F.explode("lines").alias("line")).filter(F.col("line.n") >= min_words)
-    line = scratch.put(line.select("node", "line.h", "line.g").distinct(), "occurrences")
+    line = line.select("node", "line.h", F.col("line.g").cast("long").alias("g"))
+    line = line.union(short_windows(rows, min_words)) if short_lines else line
+    line = scratch.put(line.distinct(), "occurrences")
     shared = line.groupBy("h", "g").agg(F.count("*").alias("holders"), F.min("node").alias("first")).filter("holders > 1")
     # written, so that the join's partitions are not those of the sums and a line that very many hold can be split
     shared = scratch.put(shared, "shared")
@@ -190,19 +212,20 @@ def deletions(scratch: Scratch, rows: DataFrame, *, rare: int = RARE, min_words:
     return places.mapInArrow(flags, "node long, deleted array<boolean>")
 
 
-def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rare: int = RARE, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
     """``docs`` with blocks deleted from ``text``, and the columns ``n_lines`` and ``n_removed``.
 
     Documents follow one another by key, those of one key by the digest of their text; a later copy of a whole text loses
     all lines. Rows equal in key and text get the same result. Rows with a null key or text are left as they are and not
-    compared; an empty text is one empty line. Columns of the input named like the two new ones are replaced.
+    compared; an empty text is one empty line. ``short_lines``: documents that share nothing but passages in lines of fewer than
+    ``min_words`` words are compared, too; the query and the pipeline ask for it. Columns of the input named like the two new ones are replaced.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(key).alias("key"), F.md5(text).alias("digest"), line_hashes(F.col(text)).alias("lines"))
     rows = scratch.put(rows.filter("key is not null and digest is not null"), "rows")
     classes = rows.groupBy("digest").agg(F.min("key").alias("key"), F.first("lines").alias("lines"))
     classes = scratch.put(classes.orderBy("key", "digest").withColumn("node", F.monotonically_increasing_id()), "classes")
-    gone = classes.select("node", "digest", "key").join(deletions(scratch, classes.select("node", "lines"), rare=rare, min_words=min_words), "node")
+    gone = classes.select("node", "digest", "key").join(deletions(scratch, classes.select("node", "lines"), rare=rare, min_words=min_words, short_lines=short_lines), "node")
     gone = scratch.put(gone.select("digest", F.col("key").alias("first"), "deleted"), "gone")
     # what to do with each key and text: later copies lose all, first holders what was aligned
     late = rows.select("key", "digest").join(classes.select("digest", F.col("key").alias("first")), "digest").filter("key > first")

@@ -91,7 +91,7 @@ ORACLES["op10_minhash"] = rf"""
 
 @query
 def op1_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
-    return line_dedup(table(spark, directory, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup(table(spark, directory, "documents"), short_lines=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 @query
