@@ -3,6 +3,8 @@ import re
 from itertools import combinations
 
 from helpers import lower, rows_of
+
+import corpus_pipeline
 from tritempo.llm import minhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,3 +70,23 @@ def test_estimates_count_bits(spark):
     rows = spark.createDataFrame([([-1] * 8, [0] * 8), ([-1] * 8, [-1] * 8), ([0] * 8, [1] + [0] * 7)], "a array<long>, b array<long>")
     none, all_, one = (row[0] for row in rows.select(minhash.estimate("a", "b")).collect())
     assert none < 0 and all_ == 1 and abs(one - (1 - 1 / 128 / (1 - 2**-4))) < 1e-12
+
+
+def test_rules_follow_the_threshold():
+    rule = minhash.Rule()
+    assert (rule.size, rule.percent, rule.rows, rule.bands, rule.least_estimate) == (3, 85, 5, 25, 0.70)
+    for percent in range(11, 101):
+        rule = minhash.Rule(5, percent)
+        assert rule.rows * rule.bands <= minhash.PERMUTATIONS and rule.least_estimate <= percent / 100
+        assert rule.rows == 1 or (1 - (percent / 100) ** rule.rows) ** rule.bands < minhash.MISSED
+
+
+def test_the_pipeline_takes_five_words_and_eighty_percent(spark, sf):
+    base = [f"w{at}" for at in range(300)]
+    more = [*base, *(f"x{at}" for at in range(62))]  # 296 of 358 shingles of five words are shared
+    other = [f"v{at}" for at in range(300)]
+    changed = [f"c{at}" if at % 37 == 18 else word for at, word in enumerate(other)]  # 8 words: 256 of 336
+    rows = [(1, " ".join(base)), (2, " ".join(more)), (3, " ".join(other)), (4, " ".join(changed))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(row.doc_id for row in corpus_pipeline.minhash_dedup(spark, frame, sf).collect()) == [1, 3, 4]
+    assert sorted(row.doc_id for row in minhash.first_of_groups(frame).collect()) == [1, 2, 3]

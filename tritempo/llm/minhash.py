@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
-A document's set is the distinct three-word shingles of its lower-cased text. Its sketch has ``PERMUTATIONS`` minima:
-bands of ``ROWS`` whole minima name candidates, and the low ``BITS`` bits of all minima, packed into bit planes, estimate
+A document's set is the distinct shingles of its lower-cased text, of three words by default; links have a similarity of 85 % by
+default (``Rule``). Its sketch has ``PERMUTATIONS`` minima: bands of a few whole minima name candidates, and the low ``BITS`` bits of all minima, packed into bit planes, estimate
 the similarity of candidates by counting bits, corrected for chance agreement of so few bits. What the estimate doesn't
 rule out is confirmed on the full sets.
 
@@ -15,14 +15,16 @@ Documents with equal sets are one class and are compared once. Within a band buc
    within the task, best estimates first, and skips those that its links have connected meanwhile.
 
 So no pairs are shuffled but those of the first step and confirmed links, and still no link is skipped: for classes of one
-component more links change nothing. A pair at the threshold is missed by the bands with a probability of
-(1 - 0.85**5)**25, less than one in a million, and by the estimate with about as much.
+component more links change nothing. Bands follow the threshold, so that they miss a pair at it with a probability of less
+than one in a million ((1 - 0.85**5)**25 at 85 %), and so does the estimate, which misses about as much.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,11 @@ from pyspark.sql import functions as F
 
 from tritempo.llm.common import SPACE, Scratch, column_bytes, components, joined_bytes, lowered, mixed, slices, words
 
-PERMUTATIONS, ROWS, BANDS, BITS = 128, 5, 25, 4
-#: links have 100 * intersection >= PERCENT * union
-PERCENT = 85
-#: an estimate below this rules a pair out; 4.5 standard deviations below the threshold
-LEAST_ESTIMATE = 0.70
+PERMUTATIONS, BITS = 128, 4
+#: words of a shingle; links have 100 * intersection >= PERCENT * union
+SIZE, PERCENT = 3, 85
+#: probability that the bands miss a pair at the threshold, at most
+MISSED = 1e-6
 #: members of one side of a tile
 TILE = 1000
 
@@ -45,7 +47,38 @@ _SHIFTS = _RANDOM.integers(0, 1 << 32, PERMUTATIONS, np.uint64).astype(np.uint32
 _PLACES = _RANDOM.integers(1, 1 << 63, 8, np.uint64) | np.uint64(1)
 
 
-def shingle_sets(offsets: np.ndarray, data: np.ndarray, start: int, stop: int, size: int = 3) -> list[np.ndarray]:
+class Rule(NamedTuple):
+    """What near duplicates are, and what follows for their search."""
+
+    size: int = SIZE
+    percent: int = PERCENT
+
+    def checked(self) -> Rule:
+        if not 1 <= self.size <= len(_PLACES) or not 11 <= self.percent <= 100:
+            raise ValueError("shingles have 1 to 8 words, and the least similarity is 11 to 100 percent")
+        return self
+
+    @property
+    def rows(self) -> int:
+        """Minima of a band: as many as bands that miss hardly a pair at the threshold may have."""
+        for rows in range(7, 1, -1):
+            if (1 - (self.percent / 100) ** rows) ** (PERMUTATIONS // rows) < MISSED:
+                return rows
+        return 1
+
+    @property
+    def bands(self) -> int:
+        return PERMUTATIONS // self.rows
+
+    @property
+    def least_estimate(self) -> float:
+        """An estimate below this rules a pair out: 4.5 standard deviations below the threshold, rounded down."""
+        chance, least = 2.0**-BITS, self.percent / 100
+        agree = least + (1 - least) * chance
+        return math.floor(100 * (least - 4.5 * math.sqrt(agree * (1 - agree) / PERMUTATIONS) / (1 - chance))) / 100
+
+
+def shingle_sets(offsets: np.ndarray, data: np.ndarray, start: int, stop: int, size: int = SIZE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of some rows. Texts of fewer words have their whole sequence as the only one."""
     joined, begins = joined_bytes(offsets, data, start, stop)
     _, _, hashes, firsts = words(lowered(joined), begins, SPACE)
@@ -79,19 +112,20 @@ def digest(shingles: np.ndarray) -> bytes | None:
     return hashlib.md5(shingles.tobytes(), usedforsecurity=False).digest() if len(shingles) else None
 
 
-def sketches(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """(key, n_shingles, digest, bands, bits) of every row; no digest and no bands without words."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    count, width = rule.bands, rule.rows
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = column_bytes(batch.column(1))
             for start, stop in slices(offsets):
-                sets = shingle_sets(offsets, data, start, stop)
+                sets = shingle_sets(offsets, data, start, stop, rule.size)
                 least = np.stack([minima(each) for each in sets])
                 bands = mixed(
-                    (least[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64) * _PLACES[:ROWS]).sum(2, dtype=np.uint64)
-                    + np.arange(BANDS, dtype=np.uint64) * _PLACES[7]
+                    (least[:, : count * width].reshape(-1, count, width).astype(np.uint64) * _PLACES[:width]).sum(2, dtype=np.uint64)
+                    + np.arange(count, dtype=np.uint64) * _PLACES[7]
                 ).view(np.int64)
                 planes = np.stack([(least >> plane) & 1 for plane in range(BITS)], 1).astype(np.uint8)
                 bits = np.packbits(planes.reshape(len(sets), -1), axis=1).view(np.int64)
@@ -127,12 +161,13 @@ def _corrected(agree):
 class Tile:
     """Classes of one bucket, or of two parts of a large one, with their sketches."""
 
-    def __init__(self, rows: pa.Table) -> None:
+    def __init__(self, rows: pa.Table, rule: Rule) -> None:
+        self.percent, self.least = rule.percent, rule.least_estimate
         self.band = rows["band"][0].as_py()
         self.node, self.component = rows["node"].to_numpy(), rows["component"].to_numpy()
         self.size, self.side = rows["n_shingles"].to_numpy(), rows["side"].to_numpy()
         self.bits = rows["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(self.node), BITS, -1)
-        self.bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(self.node), BANDS)
+        self.bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(self.node), rule.bands)
 
     def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For one place after the other its possible partners in other components, and the estimates."""
@@ -140,20 +175,20 @@ class Tile:
         two = np.flatnonzero(self.side != 0)
         for at in np.flatnonzero(self.side != 1).tolist():
             others = two[(self.component[two] != self.component[at]) & ((self.node[two] > self.node[at]) | (self.side[at] != 2))]
-            fits = 100 * np.minimum(self.size[others], self.size[at]) >= PERCENT * np.maximum(self.size[others], self.size[at])
+            fits = 100 * np.minimum(self.size[others], self.size[at]) >= self.percent * np.maximum(self.size[others], self.size[at])
             others = others[fits]
             differ = np.bitwise_count(np.bitwise_or.reduce(self.bits[others] ^ self.bits[at], axis=1)).sum(1)
             score = _corrected(1 - differ / PERMUTATIONS)
-            others, score = others[score >= LEAST_ESTIMATE], score[score >= LEAST_ESTIMATE]
+            others, score = others[score >= self.least], score[score >= self.least]
             first = (self.bands[others] == self.bands[at]).argmax(1)
             own = self.bands[at][first] == self.band
             if own.any():
                 yield at, others[own], score[own]
 
 
-def _active(rows: pa.Table) -> pa.Table:
+def _active(rows: pa.Table, rule: Rule) -> pa.Table:
     """Classes of a tile that have a possible partner."""
-    tile = Tile(rows)
+    tile = Tile(rows, rule)
     active = np.zeros(len(tile.node), bool)
     for at, others, _ in tile.pairs():
         active[at] = True
@@ -161,9 +196,9 @@ def _active(rows: pa.Table) -> pa.Table:
     return rows.select(["band", "i", "j", "side", "node"]).filter(pa.array(active))
 
 
-def _links(rows: pa.Table) -> pa.Table:
+def _links(rows: pa.Table, rule: Rule) -> pa.Table:
     """Confirmed links of a tile that connect all components which any of its links connects."""
-    tile, members = Tile(rows), [np.frombuffer(value.as_buffer(), np.uint64) for value in rows["members"]]
+    tile, members = Tile(rows, rule), [np.frombuffer(value.as_buffer(), np.uint64) for value in rows["members"]]
     found = list(tile.pairs())
     left = np.concatenate([np.zeros(0, np.int64), *[np.full(len(others), at) for at, others, _ in found]])
     right = np.concatenate([np.zeros(0, np.int64), *[others for _, others, _ in found]])
@@ -180,23 +215,27 @@ def _links(rows: pa.Table) -> pa.Table:
     a, b = [], []
     for one, two in zip(left[order].tolist(), right[order].tolist(), strict=True):
         x, y = root(int(group[one])), root(int(group[two]))
-        if x != y and linked(members[one], members[two]):
+        if x != y and linked(members[one], members[two], rule.percent):
             parent[x] = y
             a.append(int(tile.node[one]))
             b.append(int(tile.node[two]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-for _function in (_active, _links):  # hints from which Spark tells how to call them
-    _function.__annotations__ = {"rows": pa.Table, "return": pa.Table}
+def _by_rule(function: Callable[[pa.Table, Rule], pa.Table], rule: Rule) -> Callable[[pa.Table], pa.Table]:
+    def of_tile(rows):
+        return function(rows, rule)
+
+    of_tile.__annotations__ = {"rows": pa.Table, "return": pa.Table}  # hints from which Spark tells how to call it
+    return of_tile
 
 
-def linked(one: np.ndarray, two: np.ndarray) -> bool:
+def linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(one, two, assume_unique=True))
-    return 100 * both >= PERCENT * (len(one) + len(two) - both)
+    return 100 * both >= percent * (len(one) + len(two) - both)
 
 
-def full_sets(docs: DataFrame, classes: DataFrame, ends: DataFrame, *, key: str, text: str) -> DataFrame:
+def full_sets(docs: DataFrame, classes: DataFrame, ends: DataFrame, *, key: str, text: str, rule: Rule) -> DataFrame:
     """(node, members) of the nodes in ``ends``: their texts are read again."""
     wanted = classes.join(ends.select("node").distinct(), "node", "left_semi").select("node", "key", "digest")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted.select("key").distinct(), "key", "left_semi")
@@ -205,7 +244,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, ends: DataFrame, *, key: str,
         for batch in batches:
             offsets, data = column_bytes(batch.column("text"))
             for start, stop in slices(offsets):
-                sets = shingle_sets(offsets, data, start, stop)
+                sets = shingle_sets(offsets, data, start, stop, rule.size)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([digest(each) for each in sets], pa.binary()), pa.array([each.tobytes() for each in sets], pa.binary())],
                     ["digest", "members"],
@@ -216,7 +255,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, ends: DataFrame, *, key: str,
     return sets.join(wanted.select("node", "digest"), "digest").groupBy("node").agg(F.first("members").alias("members"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs of nodes (a, b) that are links by their full sets."""
     met = pairs.select("a", "b").join(sets.withColumnsRenamed({"node": "a", "members": "left"}), "a")
     met = met.join(sets.withColumnsRenamed({"node": "b", "members": "right"}), "b").select("a", "b", "left", "right")
@@ -224,22 +263,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = zip(batch.column("left"), batch.column("right"), strict=True)
-            links = [linked(np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)) for left, right in values]
+            links = [linked(np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64), percent) for left, right in values]
             keep = pa.array(links, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return met.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row: component_id is the smallest key that links reach, kept marks it.
 
+    Shingles have ``size`` words, and links ``percent`` percent of their distinct shingles in common.
     Null and empty texts and texts of white space have no shingles and are linked with nothing. Rows that share a key are
     compared by their texts like any others. A row without a key isn't compared: its component is null, it is kept. Other
     columns of the input are not read.
     """
+    rule = Rule(size, percent).checked()
     scratch = Scratch(docs.sparkSession, "minhash")
-    rows = scratch.put(sketches(docs, key=key, text=text), "sketches")
+    rows = scratch.put(sketches(docs, key=key, text=text, rule=rule), "sketches")
     classes = rows.filter("digest is not null and key is not null").groupBy("digest").agg(
         F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
     )
@@ -251,11 +292,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     centre = member.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
     star = member.join(centre, "band").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     star = star.join(shape.toDF("a", "size_a", "bits_a"), "a").join(shape.toDF("b", "size_b", "bits_b"), "b")
-    star = star.filter(f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)").filter(estimate("bits_a", "bits_b") >= LEAST_ESTIMATE)
+    star = star.filter(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)").filter(estimate("bits_a", "bits_b") >= rule.least_estimate)
     star = scratch.put(star.select("a", "b"), "star")
     ends = star.select(F.col("a").alias("node")).union(star.select("b"))
-    sets = scratch.put(full_sets(docs, classes, ends, key=key, text=text), "star-sets")
-    links = scratch.put(confirmed(star, sets), "star-links")
+    sets = scratch.put(full_sets(docs, classes, ends, key=key, text=text, rule=rule), "star-sets")
+    links = scratch.put(confirmed(star, sets, percent), "star-links")
     grouped = components(scratch, links, "star")
     scratch.drop("star", "star-sets")
 
@@ -270,12 +311,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         "band", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "node", "component", "n_shingles", "bits", "bands",
         F.when(F.col("cut") == F.col("other"), 2).when(F.col("cut") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    active = tiles.groupBy("band", "i", "j").applyInArrow(_active, "band long, i int, j int, side int, node long")
+    active = tiles.groupBy("band", "i", "j").applyInArrow(_by_rule(_active, rule), "band long, i int, j int, side int, node long")
     active = scratch.put(active, "active")
-    sets = scratch.put(full_sets(docs, classes, active, key=key, text=text), "tile-sets")
+    sets = scratch.put(full_sets(docs, classes, active, key=key, text=text, rule=rule), "tile-sets")
     sketch = placed.select("band", "node", "component", "n_shingles", "bits", "bands")
     met = active.join(sketch, ["band", "node"]).join(sets, "node")
-    more = scratch.put(met.groupBy("band", "i", "j").applyInArrow(_links, "a long, b long"), "tile-links")
+    more = scratch.put(met.groupBy("band", "i", "j").applyInArrow(_by_rule(_links, rule), "a long, b long"), "tile-links")
     grouped = components(scratch, links.union(more), "all")
     scratch.drop("open", "active", "tile-sets")
 
@@ -291,12 +332,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     )
 
 
-def first_of_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def first_of_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without those that have an earlier near duplicate; all columns stay.
 
     Rows that share a key go together if any of them has an earlier near duplicate; of rows that share key and text, one stays.
     """
-    late = near_duplicates(docs, key=key, text=text).filter(~F.col("kept")).select(F.col(key).alias("_late")).distinct()
+    late = near_duplicates(docs, key=key, text=text, size=size, percent=percent).filter(~F.col("kept")).select(F.col(key).alias("_late")).distinct()
     late = Scratch(docs.sparkSession, "late").put(late, "keys")
     rows = docs.join(late, docs[key] == F.col("_late"), "left_anti")
     repeated = docs.groupBy(key).count().filter((F.col("count") > 1) & F.col(key).isNotNull()).limit(1).count()
