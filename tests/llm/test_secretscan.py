@@ -36,3 +36,18 @@ def test_odd_rows(spark, odd, nothing):
     found = rows_of(scan.secret_findings(odd.union(one)))
     assert [row[:3] for row in found if row[0] == 9] == [(9, 0, 100_000), (9, 100_007, 20)]
     assert scan.secret_findings(nothing).count() == 0
+
+
+def test_short_values_and_those_with_punctuation_are_candidates(spark):
+    rows = [
+        (1, 'password = "Tr0ub4dor&3"', "p"), (2, "pwd=hunter2!x next", "p"), (3, "Bearer a1$b2%c3", "p"), (4, "a plain Tr0ub4dor&3 here", "p"),
+        (5, "secret: 'pâss wörd9'", "p"), (6, "key=abcdefg", "p"),
+    ]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {(row.doc_id, row.value) for row in scan.secret_findings(documents).collect()}
+    assert found == {(1, "Tr0ub4dor&3"), (2, "hunter2!x"), (3, "a1$b2%c3"), (5, "pâss wörd9")}
+    # the forest tells them from an assigned word
+    many = [(key, f'set password = "Tr{key * 7919 % 997}b4d&x{key}"', "p") for key in range(60)]
+    many += [(100 + key, "note: characteristically so", "p") for key in range(60)]
+    result = scan.secret_findings(spark.createDataFrame(many, "doc_id long, text string, source string")).collect()
+    assert {row.doc_id for row in result if row.is_secret} == set(range(60))

@@ -1,6 +1,8 @@
 """Secrets in documents: candidates by shape, false positives removed by a random forest.
 
-A candidate is a run of at least ``LEAST`` letters, digits and ``+/_-=``, the characters of keys and encoded values. Its
+A candidate is a run of at least ``LEAST`` letters, digits and ``+/_-=``, the characters of keys and encoded values. After
+an assignment or a credential's name, a value of ``SHORT`` characters and more is one, too, whatever its characters, up to the
+closing quote or white space; a run inside such a value stays a candidate of its own. Its
 features are its length, its kinds of characters and the changes between them, how likely its character transitions are in
 the corpus, how much of it dictionary words cover, words of its path, and the words beside it. The transitions and the
 dictionary (the ``DICTIONARY`` most frequent words of up to eight letters) are counted over all documents.
@@ -12,6 +14,7 @@ numbers without one. Findings are few, so all steps after the scan work on small
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,12 @@ LABELLED = 50_000
 BUCKETS = 16
 #: names of credentials
 NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "key", "credential", "credentials", "auth", "bearer")
+#: bytes of a value that is assigned or follows a credential's name
+SHORT = 8
+_ASSIGNED = re.compile(
+    rb"""(?:(?i:%s)["'`]?[ \t]+|[=:]>?[ \t]*)(?=("[^"\n]{%d,}"|'[^'\n]{%d,}'|`[^`\n]{%d,}`|[^\s"'`]{%d,}))"""
+    % ("|".join(NAMES).encode(), SHORT, SHORT, SHORT, SHORT)
+)
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_-="]] = True
@@ -129,6 +138,18 @@ def _bucket(word: str) -> int:
     return number % BUCKETS
 
 
+def _with_assigned(raw: bytes, cuts: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges and those of assigned values in each text, without repetition."""
+    found = set(zip(heads.tolist(), tails.tolist(), strict=True))
+    for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        for match in _ASSIGNED.finditer(raw[first:last]):
+            head, tail = match.span(1)
+            quoted = match[1][:1] in (b'"', b"'", b"`")
+            found.add((first + head + quoted, first + tail - quoted))
+    ranges = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return ranges[:, 0], ranges[:, 1]
+
+
 def candidates(docs: DataFrame, dictionary: Dictionary, *, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """(key, start, value, before, after, path, x): every candidate with its first byte, what stands beside it and its features."""
     known = docs.sparkSession.sparkContext.broadcast(dictionary)
@@ -150,7 +171,7 @@ def candidates(docs: DataFrame, dictionary: Dictionary, *, key: str = "doc_id",
                 crossed = crossed[_INSIDE[part[crossed - 1]]]
                 heads, tails = np.sort(np.concatenate([heads, crossed])), np.sort(np.concatenate([tails, crossed]))
                 fits = tails - heads >= LEAST
-                heads, tails = heads[fits], tails[fits]
+                heads, tails = _with_assigned(raw, cuts, heads[fits], tails[fits])
                 row = np.searchsorted(cuts, heads, "right") - 1
                 found = {name: [] for name in ("value", "before", "after", "path", "x")}
                 for head, tail, at in zip(heads.tolist(), tails.tolist(), row.tolist(), strict=True):
@@ -213,5 +234,5 @@ def secret_findings(docs: DataFrame, labelled: DataFrame | None = None, *, key:
     else:
         scored = forest.transform(found.withColumn("features", array_to_vector("x"))).withColumn("score", vector_to_array("probability")[1])
     return scored.select(
-        F.col("key").alias(key), "start", F.length("value").cast("long").alias("length"), "value", "score", (F.col("score") > 0.5).alias("is_secret")
+        F.col("key").alias(key), "start", F.octet_length("value").cast("long").alias("length"), "value", "score", (F.col("score") > 0.5).alias("is_secret")
     )
