@@ -12,7 +12,7 @@ one array row per match; a long match has a tree of its own.
 Encoding runs where the rows lie (no shuffle). The matches of the usual pattern are found for many texts at once from
 the classes of their characters, and equal matches (by a 64-bit hash of their bytes) are encoded once per slice of
 text; the encodings of matches seen lately are kept, at most ``KEPT`` of them. Any other pattern is left to ``regex``.
-Letters, numbers and white space are those of the Unicode version of ``regex``.
+Letters, numbers and white space are those of ``regex`` but for the characters that the tokenizer libraries don't know yet.
 """
 
 from __future__ import annotations
@@ -46,6 +46,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 OTHER, LETTER, NUMBER, WHITE = range(4)
+#: Letters and numbers that ``regex`` knows and the libraries' tables (Unicode 16) don't yet; first and last of each run.
+LATER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9),
+    (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3),
+    (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191),
+    (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81),
+    (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED),
+    (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
+    (0x3D000, 0x3FC3F),
+)
 _CLASSES: list[np.ndarray] = []
 
 
@@ -58,6 +70,8 @@ def classes() -> np.ndarray:
             for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
                 for found in regex.finditer(pattern, part):
                     table[np.frombuffer(found.group().encode("utf-32-le"), "<u4")] = kind
+        for first, last in LATER:
+            table[first : last + 1] = OTHER
         _CLASSES.append(table)
     return _CLASSES[0]
 

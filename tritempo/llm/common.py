@@ -6,6 +6,7 @@ so that memory follows ``SLICE_BYTES`` and the longest single text, not the numb
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,27 +25,44 @@ KEPT_BYTES = 8_000_000
 class Scratch:
     """Intermediate tables of one run, as Parquet in the folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a session that has none (tests) gets a temporary one.
-    A lost executor costs nothing that was written. ``drop`` removes tables that later steps don't read any more.
+    The folder is the session's ``spark.checkpoint.dir``. Only a local session that has none (tests) gets a temporary one.
+    A lost executor costs nothing that was written. ``drop`` removes tables that later steps don't read any more; what is
+    left goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if shared is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             shared = tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(shared)
         self.spark, self.folder = spark, f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        path, system = self._at(self.folder)
+        system.deleteOnExit(path)
+
+    def _at(self, name: str):
+        """Path and file system."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write(self, content: bytes, name: str) -> str:
+        """A file of its own; its path, whose last part no other file has."""
+        path, system = self._at(f"{self.folder}/{name}-{uuid.uuid4().hex}")
+        file = system.create(path)
+        file.write(bytearray(content))
+        file.close()
+        return path.toString()
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, system = self._at(f"{self.folder}/{name}")
+            system.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

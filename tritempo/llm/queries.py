@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tritempo.llm.bpe import bpe_digests
 from tritempo.llm.decontaminate import contamination_digests
+from tritempo.llm.hardnegatives import hard_negatives
 from tritempo.llm.langid import language_id
+from tritempo.llm.lexicon import lexicon_digests
 from tritempo.llm.linededup import line_dedup
 from tritempo.llm.lmscore import lm_scores
 from tritempo.llm.minhash import near_duplicates
+from tritempo.llm.orchard import cluster_digests
 from tritempo.llm.quality import quality_scores
 from tritempo.llm.secretscan import secret_findings
 from tritempo.llm.sharding import shard_digests
@@ -89,6 +92,59 @@ ORACLES["op10_minhash"] = rf"""
     FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN smallest ON smallest.a = doc_id"""
 
 
+def _orchard_sql(rounds: int) -> str:
+    """Each round as three tables: squared distances to all centroids, the nearest one, floors of the means."""
+    steps = []
+    for turn in range(rounds + 1):
+        steps.append(f"""
+    own{turn} AS (
+        SELECT vec_id, cells, arg_min(number, (distance, number)) AS number, min(distance) AS distance
+        FROM (SELECT vec_id, v.cells, number, CAST(list_sum(list_transform(list_zip(v.cells, c.cells), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+              FROM vectors AS v CROSS JOIN centroids{turn} AS c)
+        GROUP BY vec_id, cells),""")
+        if turn < rounds:
+            steps.append(f"""
+    moved{turn} AS (
+        SELECT number, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY place) AS cells
+        FROM (SELECT number, place, sum(cell) AS total, count(*) AS n
+              FROM (SELECT number, unnest(cells) AS cell, unnest(range(1, 65)) AS place FROM own{turn}) GROUP BY number, place)
+        GROUP BY number),
+    centroids{turn + 1} AS (
+        SELECT number, coalesce(m.cells, c.cells) AS cells FROM centroids{turn} AS c LEFT JOIN moved{turn} AS m USING (number)),""")
+    return f"""
+    WITH vectors AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS cells
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    centroids0 AS (
+        SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS number, cells
+        FROM vectors QUALIFY number < 16),{"".join(steps)}
+    sums AS (SELECT number, sum(distance) AS total FROM own{rounds} GROUP BY number)
+    SELECT vec_id, CAST(number AS INTEGER) AS cluster, distance, CAST(total AS BIGINT) AS cluster_inertia,
+           CAST((SELECT sum(total) FROM sums) AS BIGINT) AS inertia, sha256(array_to_string(c.cells, ',')) AS centroid_sha256
+    FROM own{rounds} JOIN sums USING (number) JOIN centroids{rounds} AS c USING (number)"""
+
+
+ORACLES["op12_orchard"] = _orchard_sql(3)
+
+ORACLES["op13_hard_negatives"] = """
+    WITH vectors AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS cells
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.cells, b.cells) AS BIGINT) AS score
+        FROM vectors AS a JOIN vectors AS b ON a.vec_id <> b.vec_id AND len(a.cells) = len(b.cells) WHERE a.vec_id % 100 = 0),
+    positives AS (
+        SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+           other AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+    QUALIFY rank <= 5"""
+
+
 @query
 def op1_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return line_dedup(table(spark, directory, "documents"), short_lines=True).select("doc_id", "n_lines", "n_removed", "text")
@@ -137,3 +193,18 @@ def op9_language_id(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op10_minhash(spark: SparkSession, directory: str) -> DataFrame:
     return near_duplicates(table(spark, directory, "documents"))
+
+
+@query
+def op11_lexicon_bpe(spark: SparkSession, directory: str) -> DataFrame:
+    return lexicon_digests(table(spark, directory, "documents"))
+
+
+@query
+def op12_orchard(spark: SparkSession, directory: str) -> DataFrame:
+    return cluster_digests(table(spark, directory, "embeddings"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, directory: str) -> DataFrame:
+    return hard_negatives(table(spark, directory, "embeddings"))
