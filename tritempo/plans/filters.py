@@ -48,10 +48,9 @@ def scan_versioned_plan(spark, sf):
            {fx.END_UTC} AS "DeliveryEnd",
            CAST(NULL AS BIGINT) AS "RelativeDeliveryPeriod", round(value * 1e10) / 1e10 AS "Value",
            CAST(NULL AS BIGINT) AS "LegacyDeliveryBucketNumber"
-    FROM archive_hours WHERE {fx.END_IS_CLEAR}"""))
+    FROM archive_hours"""))
 def archive_decode_plan(spark, sf):
-    rows = archive_decode(fx.archive_hours(spark, sf), zone=ZONE, identifier=fx.archive_series_id())
-    return rows.filter(fx.end_is_clear())
+    return archive_decode(fx.archive_hours(spark, sf), zone=ZONE, identifier=fx.archive_series_id())
 
 
 @plan("catalog_scan", with_sql("mapping_rows", """

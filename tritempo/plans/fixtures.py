@@ -292,17 +292,15 @@ SQL = {
                CAST(NULL AS INTEGER) AS order_priority, key_ordering, value_ordering
         FROM supplier CROSS JOIN (VALUES (0), (100000)) AS s(shift) CROSS JOIN {_sql_catalog_values()}""",
 }
-#: end of a delivery hour: wall clock one hour later, and whether that clock hour occurs twice in autumn
-END_LOCAL = "(make_timestamp(del_y, del_m, del_d, del_h, del_min, 0) + to_hours(1))"
-END_UTC = f"timezone('UTC', timezone('{ZONE}', {END_LOCAL}))"
-END_IS_CLEAR = f"NOT (month({END_LOCAL}) = 10 AND day({END_LOCAL}) >= 25 AND isodow({END_LOCAL}) = 7 AND hour({END_LOCAL}) = 2)"
+def local_to_utc(local: str, zone: str = f"'{ZONE}'") -> str:
+    """SQL for the instant of a wall clock; of an hour that occurs twice the earlier one, where the hour before shows the same clock."""
+    found = f"timezone('UTC', timezone({zone}, {local}))"
+    before = f"({found} - INTERVAL 1 HOUR)"
+    return f"CASE WHEN timezone({zone}, timezone('UTC', {before})) = {local} THEN {before} ELSE {found} END"
 
 
-def end_is_clear(zone: Column | str = ZONE) -> Column:
-    """Rows whose DeliveryEnd does not lie in the clock hour that occurs twice in autumn: it has two instants."""
-    local = utc_to_zone(F.col("DeliveryEnd"), zone)
-    return ~((F.month(local) == 10) & (F.day(local) >= 25) & (F.weekday(local) == 6) & (F.hour(local) == 2))
-
+#: end of a delivery hour, one hour of wall clock after its start
+END_UTC = local_to_utc("(make_timestamp(del_y, del_m, del_d, del_h, del_min, 0) + to_hours(1))")
 
 _NEEDS = {"archive_hours": ["archive_utc"]}
 

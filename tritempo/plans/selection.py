@@ -125,10 +125,10 @@ def project_aggregated_plan(spark, sf):
            timezone('UTC', timezone('{ZONE}', make_timestamp(qte_y, qte_m, qte_d, 0, 0, 0))) AS "ReferenceTime",
            u AS "DeliveryStart", {fx.END_UTC} AS "DeliveryEnd", round(value * 1e10) / 1e10 AS "Value",
            CAST(NULL AS BIGINT) AS "LegacyDeliveryBucketNumber", CAST(NULL AS BIGINT) AS "RelativeDeliveryPeriod"
-    FROM archive_hours WHERE {fx.END_IS_CLEAR}"""))
+    FROM archive_hours"""))
 def archive_contract_columns_plan(spark, sf):
     rows = archive_decode(fx.archive_hours(spark, sf), zone=ZONE, identifier=fx.archive_series_id())
-    return pr.archive_contract_columns(rows, ["Value"]).filter(fx.end_is_clear())
+    return pr.archive_contract_columns(rows, ["Value"])
 
 
 # --- versions ------------------------------------------------------------
