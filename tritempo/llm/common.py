@@ -65,6 +65,14 @@ class Scratch:
             system.delete(path, True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until no column in ``taken`` has it."""
+    names = {each.lower() for each in taken}
+    while name.lower() in names:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

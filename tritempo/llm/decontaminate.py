@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tritempo.llm.common import NOT_ALNUM, Scratch, column_bytes, joined_bytes, lowered, ragged, slices, words
+from tritempo.llm.common import NOT_ALNUM, Scratch, column_bytes, fresh, joined_bytes, lowered, ragged, slices, words
 
 #: phrases that are broadcast at once; 13 words each are about 10 MB
 BLOCK = 50_000
@@ -314,7 +314,8 @@ def contamination_digests(docs: DataFrame, items: DataFrame, *, block: int = BLO
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all columns; rows are told apart by doc_id and text."""
+    own = fresh("_row", docs.columns)
     row = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("text"))
     judged = contamination(docs.select(row.alias("row"), "text"), items, key="row")
-    found = Scratch(docs.sparkSession, "contaminated").put(judged.filter("contaminated").select(F.col("row").alias("_row")).distinct(), "rows")
-    return docs.join(found, row == F.col("_row"), "left_anti")
+    found = Scratch(docs.sparkSession, "contaminated").put(judged.filter("contaminated").select(F.col("row").alias(own)).distinct(), "rows")
+    return docs.join(found, row == F.col(own), "left_anti")

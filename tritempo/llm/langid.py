@@ -181,13 +181,13 @@ def labelled_sample(docs: DataFrame, learn: Column, *, key: str = "doc_id", text
     return [(row.piece, row.lang) for row in sorted(found.select("lang", "at", "piece").distinct().collect(), key=lambda row: (row.lang, row.at, row.piece))]
 
 
-def with_language(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """``docs`` with the columns ``lang_pred`` and ``score``: ``und`` and 0 if the text is null or has no letter.
+def with_language(docs: DataFrame, model: Model, *, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the columns ``lang_pred`` and ``score``, or as ``names`` calls them: ``und`` and 0 if the text is null or has no letter.
 
     Columns of the input that are named like the new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop(*names)
     at = rows.columns.index(text)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,10 +208,10 @@ def with_language(docs: DataFrame, model: Model, *, text: str = "text") -> DataF
                         scores.append(0.0)
                 part = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"]
+                    [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, *names]
                 )
 
-    return rows.mapInArrow(label, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(label, T.StructType([*rows.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def pooled(network: Model, offsets: np.ndarray, data: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:

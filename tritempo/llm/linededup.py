@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tritempo.llm.common import BASE, INVERSE, Scratch, mixed, powers
+from tritempo.llm.common import BASE, INVERSE, Scratch, fresh, mixed, powers
 
 #: holders up to which a line pairs all of them
 RARE = 4
@@ -212,13 +212,16 @@ def deletions(scratch: Scratch, rows: DataFrame, *, rare: int = RARE, min_words:
     return places.mapInArrow(flags, "node long, deleted array<boolean>")
 
 
-def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rare: int = RARE, min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
-    """``docs`` with blocks deleted from ``text``, and the columns ``n_lines`` and ``n_removed``.
+def line_dedup(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", rare: int = RARE, min_words: int = MIN_WORDS, short_lines: bool = False,
+    counts: tuple[str, str] = ("n_lines", "n_removed"),
+) -> DataFrame:
+    """``docs`` with blocks deleted from ``text``, and the columns ``n_lines`` and ``n_removed``, or as ``counts`` names them.
 
     Documents follow one another by key, those of one key by the digest of their text; a later copy of a whole text loses
     all lines. Rows equal in key and text get the same result. Rows with a null key or text are left as they are and not
     compared; an empty text is one empty line. ``short_lines``: documents that share nothing but passages in lines of fewer than
-    ``min_words`` words are compared, too; the query and the pipeline ask for it. Columns of the input named like the two new ones are replaced.
+    ``min_words`` words are compared, too; the query and the pipeline ask for it. Columns of the input named like the two new ones are replaced; others stay, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(key).alias("key"), F.md5(text).alias("digest"), line_hashes(F.col(text)).alias("lines"))
@@ -228,21 +231,23 @@ def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rare
     gone = classes.select("node", "digest", "key").join(deletions(scratch, classes.select("node", "lines"), rare=rare, min_words=min_words, short_lines=short_lines), "node")
     gone = scratch.put(gone.select("digest", F.col("key").alias("first"), "deleted"), "gone")
     # what to do with each key and text: later copies lose all, first holders what was aligned
-    late = rows.select("key", "digest").join(classes.select("digest", F.col("key").alias("first")), "digest").filter("key > first")
-    late = late.select("key", "digest", F.lit(True).alias("copy"), F.lit(None).cast("array<boolean>").alias("deleted")).distinct()
+    # distinct before the join: nothing after it asks for its partitions, so a text with very many copies can be split
+    late = rows.select("key", "digest").distinct().join(classes.select("digest", F.col("key").alias("first")), "digest").filter("key > first")
+    late = late.select("key", "digest", F.lit(True).alias("copy"), F.lit(None).cast("array<boolean>").alias("deleted"))
     action = gone.select(F.col("first").alias("key"), "digest", F.lit(False).alias("copy"), "deleted").union(late)
-    action = scratch.put(action.toDF("_key", "_digest", "_copy", "_deleted"), "action")
+    texts = docs.drop(*counts)
+    own_key, own_digest, copy, deleted = (fresh(name, texts.columns) for name in ("_key", "_digest", "_copy", "_deleted"))
+    action = scratch.put(action.toDF(own_key, own_digest, copy, deleted), "action")
     scratch.drop("occurrences", "shared", "held", "gone", "rows", "classes")
 
-    texts = docs.drop("n_lines", "n_removed")
-    met = texts.join(action, (texts[key] == F.col("_key")) & (F.md5(texts[text]) == F.col("_digest")), "left")
+    met = texts.join(action, (texts[key] == F.col(own_key)) & (F.md5(texts[text]) == F.col(own_digest)), "left")
     lines = lines_of(F.col(text))
-    left = F.zip_with(lines, "_deleted", lambda line, gone: F.when(~F.coalesce(gone, F.lit(False)), line))  # joining skips nulls
-    count = F.size(F.filter("_deleted", lambda gone: gone))
-    removed = F.when(F.col("_copy"), F.size(lines)).when(F.col("_deleted").isNotNull(), count).otherwise(0)
-    kept = F.when(F.col("_copy"), F.lit("")).when(F.col("_deleted").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text))
+    left = F.zip_with(lines, deleted, lambda line, gone: F.when(~F.coalesce(gone, F.lit(False)), line))  # joining skips nulls
+    count = F.size(F.filter(deleted, lambda gone: gone))
+    removed = F.when(F.col(copy), F.size(lines)).when(F.col(deleted).isNotNull(), count).otherwise(0)
+    kept = F.when(F.col(copy), F.lit("")).when(F.col(deleted).isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
     return met.select(
         *[kept.alias(text) if name == text else texts[name] for name in texts.columns],
-        n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"),
+        n_lines.cast("long").alias(counts[0]), removed.cast("long").alias(counts[1]),
     )

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tritempo.llm.common import SPACE, Scratch, column_bytes, components, joined_bytes, lowered, mixed, slices, words
+from tritempo.llm.common import SPACE, Scratch, column_bytes, components, fresh, joined_bytes, lowered, mixed, slices, words
 
 PERMUTATIONS, BITS = 128, 4
 #: words of a shingle; links have 100 * intersection >= PERCENT * union
@@ -337,8 +337,9 @@ def first_of_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     Rows that share a key go together if any of them has an earlier near duplicate; of rows that share key and text, one stays.
     """
-    late = near_duplicates(docs, key=key, text=text, size=size, percent=percent).filter(~F.col("kept")).select(F.col(key).alias("_late")).distinct()
+    gone = fresh("_late", docs.columns)
+    late = near_duplicates(docs, key=key, text=text, size=size, percent=percent).filter(~F.col("kept")).select(F.col(key).alias(gone)).distinct()
     late = Scratch(docs.sparkSession, "late").put(late, "keys")
-    rows = docs.join(late, docs[key] == F.col("_late"), "left_anti")
+    rows = docs.join(late, docs[key] == F.col(gone), "left_anti")
     repeated = docs.groupBy(key).count().filter((F.col("count") > 1) & F.col(key).isNotNull()).limit(1).count()
     return rows.dropDuplicates([key, text]) if repeated else rows

@@ -22,6 +22,8 @@ from tritempo.llm.langid import held_out_of
 FEATURES, RIDGE, WIDTH = 384, 1e-3, 0.35
 #: bins of raw scores between -0.5 and 1.5 for the calibration
 BINS = 4000
+#: parts in which the sums of tasks are added up first, and decimal digits of a score
+PARTS, DIGITS = 64, 12
 
 #: groups of bytes whose shares are statistics
 GROUPS = [
@@ -98,10 +100,26 @@ class Kernel:
         waves = np.cos(scaled @ self.weights + self.phase) * np.sqrt(2 / FEATURES)
         return np.concatenate([waves, np.ones((len(x), 1))], 1)
 
+    def scores(self, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The features' products with the weights, added up in one order for every row: equal rows get equal scores in any batch."""
+        scaled = np.clip((x - self.mean) / self.spread, -6, 6)
+        turns = np.broadcast_to(self.phase, (len(x), FEATURES)).copy()
+        for column, row in zip(scaled.T, self.weights, strict=True):
+            turns += column[:, None] * row
+        waves = np.ascontiguousarray((np.cos(turns) * np.sqrt(2 / FEATURES)).T)
+        total = np.full(len(x), weights[-1])
+        for wave, weight in zip(waves, weights, strict=False):
+            total += wave * weight
+        return total
+
 
 def normal_equations(rows: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of f f' and f y over (x, y); each partition sends one row per matrix row."""
+    """Sums of f f' and f y over (x, y): each task sends one row per matrix row, and these are added up in two levels.
+
+    Tasks are at most four waves of the cluster, so what is sent doesn't grow with the rows.
+    """
     size = FEATURES + 1
+    rows = rows.coalesce(max(PARTS, 4 * rows.sparkSession.sparkContext.defaultParallelism))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((size, size + 1))
@@ -118,8 +136,9 @@ def normal_equations(rows: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.nd
         return pa.table({"i": table["i"][:1], "sums": pa.array([sums], pa.list_(pa.float64()))})
 
     total.__annotations__ = {"table": pa.Table, "return": pa.Table}
-    parts = rows.select("x", "y").mapInArrow(add, "i int, sums array<double>")
-    found = parts.groupBy("i").applyInArrow(total, "i int, sums array<double>").orderBy("i").collect()
+    parts = rows.select("x", "y").mapInArrow(add, "i int, sums array<double>").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    parts = parts.groupBy("i", "part").applyInArrow(total, "i int, sums array<double>")
+    found = sorted(parts.groupBy("i").applyInArrow(total, "i int, sums array<double>").collect())
     both = np.array([row.sums for row in found]) if found else np.zeros((size, size + 1))
     return both[:, :size], both[:, size]
 
@@ -142,7 +161,7 @@ def quality_scores(
     """(key, held_out, score, predicted) of every row; the score is the calibrated probability of label 1.
 
     Learns from labelled rows whose key isn't held out; several labels of a key are averaged, null labels and keys are left out.
-    Without such rows every score is 0.5. Null texts count as empty. Repeated rows get the same score; where a labelled key
+    Without such rows every score is 0.5. Null texts count as empty. Equal texts get the same score, wherever they stand; where a labelled key
     has several texts, all of them are learned from.
     """
     scratch = Scratch(docs.sparkSession, "quality")
@@ -167,7 +186,7 @@ def quality_scores(
             for batch in batches:
                 for at in range(0, batch.num_rows, 4000):
                     piece = batch.slice(at, 4000)
-                    yield pa.RecordBatch.from_arrays([piece.column("y"), pa.array(own(_rows(piece.column("x"))) @ linear)], ["y", "raw"])
+                    yield pa.RecordBatch.from_arrays([piece.column("y"), pa.array(own.scores(_rows(piece.column("x")), linear))], ["y", "raw"])
 
         binned = learned.mapInArrow(raw, "y double, raw double").groupBy(F.floor((F.col("raw") + 0.5) * (BINS / 2)).alias("bin"))
         points = binned.agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("raw").collect()
@@ -181,7 +200,7 @@ def quality_scores(
                 values = np.full(piece.num_rows, 0.5)
                 if shared.value:
                     own, linear, (places, heights) = shared.value
-                    values = np.clip(np.interp(own(_rows(piece.column("x"))) @ linear, places, heights), 0, 1)
+                    values = np.round(np.clip(np.interp(own.scores(_rows(piece.column("x")), linear), places, heights), 0, 1), DIGITS)
                 yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array(values)], ["key", "score"])
 
     kind = measured.schema["key"].dataType.simpleString()

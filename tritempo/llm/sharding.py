@@ -58,6 +58,8 @@ def propagate(scratch: Scratch, rows: DataFrame, shards: int, share: float, roun
         whole = Window.partitionBy("group")
         votes = votes.withColumn("n", F.row_number().over(ranked)).withColumn("homes", F.ceil(F.sum("bytes").over(whole) / share))
         homes = votes.filter("n <= homes").groupBy("group").agg(F.array_sort(F.collect_list("shard")).alias("homes"))
+        # written, so that the join's partitions are not those of the votes and a group with very many documents can be split
+        homes = scratch.put(homes, f"homes-{turn}")
         pick = F.col("homes")[F.pmod(F.xxhash64("id"), F.size("homes")).cast("int")]
         target = F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(pick)
         wish = scratch.put(rows.join(homes, "group").withColumn("target", target), f"wish-{turn}")
@@ -70,7 +72,7 @@ def propagate(scratch: Scratch, rows: DataFrame, shards: int, share: float, roun
         admitted = _share(F.xxhash64("id", F.lit(turn))) < F.array(*map(F.lit, quota))[F.col("target")]
         moved = wish.withColumn("shard", F.when(admitted, F.col("target")).otherwise(F.col("shard"))).select("id", "size", "group", "shard")
         rows = scratch.put(moved, f"labels-{turn}")
-        scratch.drop(f"wish-{turn}", *([f"labels-{turn - 1}"] if turn else []))
+        scratch.drop(f"wish-{turn}", f"homes-{turn}", *([f"labels-{turn - 1}"] if turn else []))
     return rows
 
 
@@ -117,6 +119,7 @@ def balanced_shards(docs: DataFrame, *, shards: int = SHARDS, key: str = "doc_id
     rows = scratch.put(rows, "rows")
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     linked = rows.filter("group is not null").groupBy("group").count().filter("count > 1").select("group")
+    linked = scratch.put(linked, "linked")  # for the same reason as the homes
     start = F.pmod(F.xxhash64("key", "id"), F.lit(shards)).cast("int")
     labels = rows.select("id", "size", "group", start.alias("shard"))
     # which rows are linked is one join with the repeated groups
