@@ -1,6 +1,7 @@
 import public_tokenizers
 import tiktoken
 from helpers import rows_of
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tritempo.llm.bpe import read_ranks
@@ -41,6 +42,19 @@ def test_run_gives_the_last_stage(spark, sf):
     assert found.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and found.count() > 0
 
 
+def test_columns_of_the_input_keep_their_values(spark, sf, documents):
+    extra = ("score", "lang_pred", "n_lines", "n_removed", "_key", "_digest", "_copy", "_deleted", "_late", "_row", "kept", "node", "digest", "SCORE_2")
+    value = F.concat(F.col("doc_id").cast("string"), F.lit("x"))
+    docs = documents.withColumns({name: value for name in extra})
+    scratch = Scratch(spark, "extra")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = scratch.put(stage(spark, docs, sf), name)
+        assert docs.columns == [*documents.columns, *extra] and docs.count() > 0
+        assert docs.filter(" or ".join(f"{each} is distinct from concat(doc_id, 'x')" for each in extra)).count() == 0
+        before = docs.select("doc_id", "lang", "source").exceptAll(documents.select("doc_id", "lang", "source"))
+        assert before.count() == 0
+
+
 def test_odd_rows(spark, sf, odd, nothing):
     for docs in (odd, nothing):
         scratch = Scratch(spark, "odd")

@@ -39,6 +39,15 @@ def test_held_out_accuracy(spark, sf):
     assert all(row.predicted == (row.score >= 0.3) for row in found.values())
 
 
+def test_equal_texts_get_equal_scores_wherever_they_stand(spark):
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    twice = documents.union(documents.select((documents.doc_id + 10**6).alias("doc_id"), *documents.columns[1:])).repartition(7)
+    scores = {}
+    for row in twice.join(quality.quality_scores(twice, labels), "doc_id").collect():
+        scores.setdefault(row.text, set()).add((row.score, row.predicted))
+    assert all(len(each) == 1 for each in scores.values())
+
+
 def test_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame(
         [(1, 1, 0), (1, None, 0), (5, 0, 0), (6, 1, 0), (7, 0, 0), (None, 1, 0), (99, 1, 0)], "doc_id long, quality int, toxic int"

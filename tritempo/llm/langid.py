@@ -198,17 +198,17 @@ def with_language(docs: DataFrame, model: Model, *, text: str = "text", names: t
             for start, stop in slices(offsets, READ_BYTES):
                 sums, counts = pooled(network, offsets, data, start, stop)
                 best = sums.argmax(1) if languages else np.zeros(stop - start, int)
-                names, scores = [], []
+                found, scores = [], []
                 for row in range(stop - start):
                     if languages and counts[row] and has_letter(data[offsets[start + row] : offsets[start + row + 1]]):
-                        names.append(languages[best[row]])
+                        found.append(languages[best[row]])
                         scores.append(min(1.0, float(sums[row, best[row]] / counts[row])))
                     else:
-                        names.append("und")
+                        found.append("und")
                         scores.append(0.0)
                 part = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, *names]
+                    [*part.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, *names]
                 )
 
     return rows.mapInArrow(label, T.StructType([*rows.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
