@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tritempo.llm.bpe import bpe_decode, bpe_encode
-from tritempo.llm.common import Scratch
+from tritempo.llm.common import Scratch, fresh
 from tritempo.llm.decontaminate import without_contaminated
 from tritempo.llm.langid import learned_model, with_language
 from tritempo.llm.linededup import line_dedup
@@ -27,14 +27,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learned_model(docs)
     if not model.languages:
         return docs
-    found = with_language(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    language, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    found = with_language(docs, model, names=(language, score)).filter((F.col(language) != "und") & (F.col(score) >= LEAST_SCORE))
     return found.select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes the new text, and its length where lines were removed; a document that lost all its words goes."""
-    found = line_dedup(docs, short_lines=True)
-    changed = F.col("n_removed") > 0
+    n_lines, n_removed = fresh("n_lines", docs.columns), fresh("n_removed", docs.columns)
+    found = line_dedup(docs, short_lines=True, counts=(n_lines, n_removed))
+    changed = F.col(n_removed) > 0
     length = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.filter(~changed | F.col("text").rlike(r"\S")).withColumn("n_chars", length).select(*docs.columns)
 
