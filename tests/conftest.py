@@ -37,3 +37,14 @@ def physical_plan():
         return df._jdf.queryExecution().executedPlan().toString()
 
     return text
+
+
+def partition_sizes(spark, df):
+    """Rows of each partition; small partitions are not joined for it."""
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return [row["count"] for row in df.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -3,6 +3,8 @@ import random
 from datetime import datetime as dt, timedelta
 
 import pytest
+from conftest import partition_sizes
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tritempo.operators.hybrid import hybrid_union, latest_global, union_requests, watermarks
@@ -10,6 +12,7 @@ from tritempo.operators.aggregate import aggregate_delivery, check_aggregation
 from tritempo.functions.mapped import MappedColumn
 from tritempo.plans import fixtures as fx
 from tritempo.sinks.text import csv_rows, generic_target_zone, includes_offset, json_rows, union_categories, write_csv
+from tritempo.operators import joins, positions
 from tritempo.streaming.batches import column_batches, ndjson_lines, row_positions, write_ndjson
 
 DAY = dt(2024, 1, 1)
@@ -152,12 +155,13 @@ def expected_order(rows):
 
 
 @pytest.mark.parametrize("threshold", ["10485760", "-1"])
-@pytest.mark.parametrize("hot_rows", [0, 500, 10**9])
-def test_positions_equal_sorting(spark, series, threshold, hot_rows):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_positions_equal_sorting(spark, series, threshold, limit, monkeypatch):
+    monkeypatch.setattr(joins.fits, "__defaults__", (limit, 10**9))
+    monkeypatch.setattr(joins.sized, "__defaults__", (limit,))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        placed = row_positions(
-            series, "Identifier", ["ReferenceTime", "DeliveryStart"], hot_rows=hot_rows).collect()
+        placed = row_positions(series, "Identifier", ["ReferenceTime", "DeliveryStart"]).collect()
         assert len(placed) == series.count()
         for number in {row.Identifier for row in placed}:
             rows = sorted((row for row in placed if row.Identifier == number), key=lambda row: row._position)
@@ -167,20 +171,29 @@ def test_positions_equal_sorting(spark, series, threshold, hot_rows):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_positions_without_a_checkpoint_folder_are_the_same(spark, series, monkeypatch):
+    rows = {tuple(row) for row in row_positions(series, "Identifier", ["ReferenceTime"]).collect()}
+    monkeypatch.setattr(positions, "has_checkpoint_dir", lambda session: False)
+    assert {tuple(row) for row in row_positions(series, "Identifier", ["ReferenceTime"]).collect()} == rows
+
+
+def test_no_task_holds_a_series_or_a_tie(spark):
+    """A series has most rows and half of these tie: sorted partitions are even, and ties have the same order in every run."""
+    rows = spark.range(40_000).selectExpr("if(id % 3 > 0, 1, id % 50) as Identifier", "if(id % 2 = 0, 5, id) as o", "id as n").repartition(5)
+    sizes = partition_sizes(spark, positions._sorted(rows, ["Identifier"], [F.col("o"), positions.any_order(rows)]))
+    assert max(sizes) < 2 * rows.count() / 8
+    first, second = ({tuple(row) for row in row_positions(each, "Identifier", ["o"]).collect()} for each in (rows, rows.repartition(9)))
+    assert first == second and len({row[0::3] for row in first}) == rows.count()
+
+
 def test_positions_shuffle_the_rows_once(spark, series, physical_plan):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = physical_plan(row_positions(series, "Identifier", ["ReferenceTime", "DeliveryStart"], hot_rows=500))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    rows_side = plan[:plan.index("Scan ExistingRDD[Identifier")]
-    assert "row_number()" in rows_side and rows_side.count("Exchange hashpartitioning") == 1
+    plan = physical_plan(row_positions(series, "Identifier", ["ReferenceTime", "DeliveryStart"]))
+    assert "Exchange hashpartitioning" not in plan.split("BroadcastExchange")[0] and "row_number" not in plan
 
 
-@pytest.mark.parametrize("hot_rows", [100, 10**9])
-def test_column_batches(spark, series, hot_rows):
+def test_column_batches(spark, series):
     size = 64
-    batches = column_batches(series, size=size, zone="Europe/Zurich", hot_rows=hot_rows)
+    batches = column_batches(series, size=size, zone="Europe/Zurich")
     counts = {row.Identifier: row.n for row in series.groupBy("Identifier").agg(F.count("*").alias("n")).collect()}
     found = {}
     for row in batches.collect():
@@ -219,14 +232,10 @@ def test_positions_of_every_order_type_with_nulls(spark, kind):
         "if(id % 40 = 0, null, id % 2) as Identifier",
         f"case when id % 13 = 0 then null {f'when id % 17 = 0 then {lowest}' if lowest else ''} else {values} end as o", "id as tie",
     )
-    found = [
-        sorted(row_positions(rows, "Identifier", ["o", "tie"], hot_rows=hot).collect(), key=lambda row: row.tie) for hot in (1, 10**9)
-    ]
-    assert found[0] == found[1]
-    reverse = [
-        sorted(row_positions(rows, "Identifier", ["tie", "o"], hot_rows=hot).collect(), key=lambda row: row.tie) for hot in (1, 10**9)
-    ]
-    assert reverse[0] == reverse[1]
+    for order in (["o", "tie"], ["tie", "o"]):
+        plain = F.row_number().over(Window.partitionBy("Identifier").orderBy(*order)) - 1
+        expected = {tuple(row) for row in rows.withColumn("_position", plain).collect()}
+        assert {tuple(row) for row in row_positions(rows, "Identifier", order).collect()} == expected
 
 
 def test_batches_may_not_be_endless(spark, series):

@@ -2,6 +2,7 @@ import random
 from datetime import datetime as dt, timedelta
 
 import pytest
+from conftest import partition_sizes
 from pyspark.sql import functions as F
 
 from tritempo.functions.mapped import MappedColumn
@@ -103,15 +104,16 @@ ORDERS = [
 ]
 
 
+@pytest.mark.parametrize("early_cut", [1000, 0])
 @pytest.mark.parametrize("order", ORDERS)
 @pytest.mark.parametrize("bounds, keep", [
     (None, lambda r: r == 1), ((7,), lambda r: r == 7), ((2, 40), lambda r: 2 <= r <= 40),
     ((3, "last"), lambda r: r >= 3), ((1, "last"), lambda r: True),
 ])
-def test_rank_over_equals_sorting(points, order, bounds, keep):
+def test_rank_over_equals_sorting(points, order, bounds, keep, early_cut):
     rows = points.collect()
     ranks = expected_ranks(rows, ["Identifier", "ReferenceTime"], [(n, w or "asc") for n, w in order])
-    found = {row.n for row in rank_over(points, ["ReferenceTime"], order, bounds).collect()}
+    found = {row.n for row in rank_over(points, ["ReferenceTime"], order, bounds, early_cut=early_cut).collect()}
     assert found == {n for n, rank in ranks.items() if keep(rank)}
 
 
@@ -128,6 +130,29 @@ def test_high_ranks(spark, bounds, keep):
     assert found == {n for n, rank in ranks.items() if keep(rank)}
 
 
+def test_high_ranks_hold_no_group_in_a_task(spark, physical_plan):
+    """A group with two thirds of all rows, half of them one tie: values are ranked in even parts."""
+    from tritempo.operators import positions
+
+    rows = spark.range(60_000).selectExpr("if(id % 3 > 0, 1L, id % 50) as Identifier", "0 as Group", "if(id % 2 = 0, 7L, id) as Price", "cast(id as int) as n")
+    expected = expected_ranks(rows.collect(), ["Identifier", "Group"], [("Price", "asc")])
+    for bounds, keep in (((1, 5000), lambda r: r <= 5000), ((20_002, 25_000), lambda r: 20_002 <= r <= 25_000), ((30_000, "last"), lambda r: r >= 30_000)):
+        found = rank_over(rows, ["Group"], [("Price", "asc")], bounds)
+        assert {row.n for row in found.collect()} == {n for n, rank in expected.items() if keep(rank)}
+        assert "row_number" not in physical_plan(found) and " rank(" not in physical_plan(found)
+    values = rows.groupBy("Identifier", "Group", "Price").count()
+    sizes = partition_sizes(spark, positions._sorted(values, ["Identifier", "Group"], [F.col("Price")]))
+    assert max(sizes) < 2 * values.count() / 8
+
+
+def test_null_groups_and_values_have_ranks(spark):
+    rows = spark.createDataFrame([(None, None, None, 0), (None, None, 1.0, 1), (None, None, 1.0, 2), (1, None, None, 3), (1, None, None, 4)], "Identifier long, Group int, Price double, n int")
+    for early_cut in (1000, 0):
+        found = rank_over(rows, ["Group"], [("Price", "asc")], (1, 2), early_cut=early_cut)
+        assert sorted(row.n for row in found.collect()) == [0, 1, 2, 3, 4]
+        assert sorted(row.n for row in rank_over(rows, ["Group"], [("Price", "asc")], (2,), early_cut=early_cut).collect()) == [1, 2]
+
+
 def test_large_lookups_are_joined_by_shuffle(points, physical_plan):
     from tritempo.operators.joins import fits, lookup_join
 

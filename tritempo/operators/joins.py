@@ -56,12 +56,16 @@ def fits(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST
     return rows <= limit and (size or 0) <= most_bytes
 
 
-def sized(lookup: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The lookup, kept and measured where it can be kept, and marked for broadcast if it is small."""
+def sized(lookup: DataFrame, limit: int = BROADCAST_ROWS, *, select: Column | None = None) -> DataFrame:
+    """The lookup, kept and measured where it can be kept, and marked for broadcast if it is small.
+
+    ``select`` is a condition on what was kept, which the plan then shows.
+    """
     if not has_checkpoint_dir(lookup.sparkSession):
-        return lookup
+        return lookup if select is None else lookup.filter(select)
     lookup = stored(lookup)
-    return F.broadcast(lookup) if fits(lookup, limit) else lookup
+    found = lookup if select is None else lookup.filter(select)
+    return F.broadcast(found) if fits(lookup, limit) else found
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, on, how: str = "inner", *, limit: int = BROADCAST_ROWS) -> DataFrame:

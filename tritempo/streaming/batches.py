@@ -4,110 +4,30 @@
 no event-time processing in it.
 
 Cutting a series into batches needs the position of each row in its series,
-which a window over the series gives as long as the series fits a task. Series
-with more rows are laid into nested cells (day, minute, exact order values with
-the last one cut to its month), and a position is the sum of: rows in earlier
-days of the series, rows in earlier minutes of the day, rows in earlier cells of
-the minute, and the place in the cell. Only cell counts are summed up; the rows
-themselves are shuffled once for positions and once for batches.
+which ``positions.with_positions`` finds by sorted partitions and prefix sums:
+no task holds a series, however long it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tritempo.constants import DEFAULT_BATCH_ROWS, DELIVERY_START, IDENTIFIER, REFERENCE_TIME, VERSIONED_IDENTIFIER
-from tritempo.functions.timecols import epoch_seconds, format_timestamps
-from tritempo.operators.joins import sized, stored
+from tritempo.functions.timecols import format_timestamps
+from tritempo.operators.positions import with_positions
 
-
-#: series with more rows than this are cut into cells before they are numbered
-HOT_SERIES_ROWS = 2_000_000
 #: largest batch that may be asked for
 MOST_BATCH_ROWS = 1_000_000
 
 
-def _filler(kind: T.DataType) -> Column:
-    """Any value of the type: stands for a null, which a flag before it tells apart."""
-    if isinstance(kind, T.TimestampNTZType):
-        return F.expr("TIMESTAMP_NTZ '2000-01-01 00:00:00'")
-    if isinstance(kind, T.DateType):
-        return F.expr("DATE '2000-01-01'")
-    if isinstance(kind, T.StringType):
-        return F.lit("")
-    return F.lit(False) if isinstance(kind, T.BooleanType) else F.lit(0).cast(kind)
-
-
-def _coarse(column: str, kind: T.DataType, unit: str) -> Column:
-    """A value that never decreases along a time column and has far fewer distinct values."""
-    value = F.coalesce(F.col(column), _filler(kind))
-    if isinstance(kind, T.TimestampNTZType) and unit == "minute":
-        return F.floor(epoch_seconds(value) / 60)
-    if isinstance(kind, (T.TimestampNTZType, T.DateType)):
-        date = value.cast("date")
-        return F.trunc(date, "MM") if unit == "month" else date
-    return value
-
-
-def _cell_levels(order: list[str], kinds: dict[str, T.DataType]) -> list[list[Column]]:
-    """Keys of the nested cells, coarse to fine: none is null and each follows the order.
-
-    Nulls come first, so whether a value is there precedes it.
-    """
-    *leading, last = order
-    first, there = kinds[order[0]], F.col(order[0]).isNotNull()
-    levels = [[there, _coarse(order[0], first, "day")], [there, _coarse(order[0], first, "minute")]]
-    if leading:
-        exact = [part for name in leading for part in (F.col(name).isNotNull(), F.coalesce(F.col(name), _filler(kinds[name])))]
-        levels.append([*exact, F.col(last).isNotNull(), _coarse(last, kinds[last], "month")])
-    return levels
-
-
-def _cell_starts(counts: DataFrame, levels: list[list[str]]) -> DataFrame:
-    """Position of the first row of every cell in its series, from the row counts per cell."""
-    *outer_levels, inner = levels
-    outer = [name for level in outer_levels for name in level]
-    window = Window.partitionBy(*outer).orderBy(*inner).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_start", F.coalesce(F.sum("_rows").over(window), F.lit(0)))
-    if len(outer_levels) > 1:
-        sums = counts.groupBy(*outer).agg(F.sum("_rows").alias("_rows"))
-        before = _cell_starts(sums, outer_levels).select(*outer, F.col("_start").alias("_before"))
-        counts = counts.join(before, outer).withColumn("_start", F.col("_start") + F.col("_before"))
-    return counts.select(*outer, *inner, "_start")
-
-
-def row_positions(
-    df: DataFrame, id_col: str, order: list[str], *, output: str = "_position", hot_rows: int = HOT_SERIES_ROWS
-) -> DataFrame:
-    """Rows with their zero-based position in their series by the order columns.
+def row_positions(df: DataFrame, id_col: str, order: list[str], *, output: str = "_position") -> DataFrame:
+    """Rows with their zero-based position in their series by the order columns, nulls first.
 
-    The order columns should identify a row within its series; rows that tie on
-    all of them get neighbouring positions in no particular order.
+    Rows that tie on all of them are put in an order by their other columns, the same in every run.
     """
-    # at most (rows / hot_rows) series are hot, so their ids are few however large the data is
-    hot = stored(df.groupBy(id_col).count().filter(F.col("count") > hot_rows).select(F.col(id_col).alias("_hot")))
-    by_series = Window.partitionBy(id_col).orderBy(*order)
-    if hot.isEmpty():
-        return df.withColumn(output, (F.row_number().over(by_series) - 1).cast("bigint"))
-
-    kinds = {field.name: field.dataType for field in df.schema.fields}
-    cells = _cell_levels(order, kinds)
-    names = [[f"_cell{depth}{place}" for place in range(len(level))] for depth, level in enumerate(cells)]
-    keys = [("_known", F.col(id_col).isNotNull()), ("_series", F.coalesce(F.col(id_col), _filler(kinds[id_col])))]
-    for level, parts in zip(names, cells, strict=True):
-        # a series that is not hot is one cell
-        keys += [(name, F.when(F.col("_is_hot"), part)) for name, part in zip(level, parts, strict=True)]
-    hot = hot.withColumn("_is_hot", F.lit(True))
-    marked = df.join(sized(hot), F.col(id_col).eqNullSafe(F.col("_hot")), "left").withColumns(dict(keys))
-
-    flat = [name for name, _ in keys]
-    counts = marked.filter("_is_hot").groupBy(*flat).agg(F.count(F.lit(1)).alias("_rows"))
-    starts = _cell_starts(counts, [["_known", "_series"], *names])
-    placed = marked.withColumn("_place", F.row_number().over(Window.partitionBy(*flat).orderBy(*order)))
-    position = F.coalesce(F.col("_start"), F.lit(0)) + F.col("_place") - 1
-    return placed.join(starts, flat, "left").select(*df.columns, position.alias(output))
+    return with_positions(df, [id_col], [F.col(name).asc() for name in order], output=output)
 
 
 def _listed(field: T.StructField, zone: str | None) -> Column:
@@ -122,7 +42,6 @@ def column_batches(
     order: list[str] | None = None,
     size: int = DEFAULT_BATCH_ROWS,
     zone: str | None = None,
-    hot_rows: int = HOT_SERIES_ROWS,
 ) -> DataFrame:
     """Batches of at most ``size`` rows of one series: id, batch number, rows and a list per column.
 
@@ -133,7 +52,7 @@ def column_batches(
     if size <= 0:
         size = DEFAULT_BATCH_ROWS
     order = order or [name for name in (REFERENCE_TIME, DELIVERY_START) if name in df.columns]
-    placed = row_positions(df, id_col, order, hot_rows=hot_rows)
+    placed = row_positions(df, id_col, order)
     fields = [field for field in df.schema.fields if field.name not in (id_col, VERSIONED_IDENTIFIER)]
     row = F.struct("_position", *[field.name for field in fields])
     batches = placed.groupBy(
