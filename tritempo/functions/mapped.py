@@ -70,21 +70,30 @@ def unique_by(mapping: Mapping, key) -> Mapping:
     return list(first.values())
 
 
-def find(mapping: Mapping, name: str) -> MappedColumn:
+def _by_name(mapping: Mapping) -> dict[str, MappedColumn]:
+    """Columns by both of their names in lower case; the first column of a name counts."""
+    named: dict[str, MappedColumn] = {}
     for column in mapping:
-        if column.named(name):
-            return column if column.physical else replace(column, physical=column.logical)
-    raise ValueError(f"column {name!r} is not mapped")
+        for name in (column.logical, column.physical):
+            named.setdefault(name.lower(), column)
+    return named
+
+
+def find(mapping: Mapping, name: str) -> MappedColumn:
+    column = _by_name(mapping).get(name.strip().lower())
+    if column is None:
+        raise ValueError(f"no mapped column is called {name}")
+    return column if column.physical else replace(column, physical=column.logical)
 
 
 def check_requested(mapping: Mapping, requested: list[str], *, versioned: bool) -> list[str]:
-    """Requested names must be plain and mapped; CreatedOn is extra for versioned series."""
-    for name in requested:
-        if not _NAME.fullmatch(name):
-            raise ValueError(f"column name {name!r} contains invalid characters")
-        if versioned and name.lower() == CREATED_ON.lower():
-            continue
-        find(mapping, name)
+    """The names asked for, if they are names of mapped columns; versioned series have their creation time as well."""
+    known = _by_name(mapping).keys() | ({CREATED_ON.lower()} if versioned else set())
+    odd = [name for name in requested if not _NAME.fullmatch(name)]
+    strange = [name for name in requested if name not in odd and name.strip().lower() not in known]
+    problems = [f"{what}: {', '.join(names)}" for what, names in (("not a column name", odd), ("not a mapped column", strange)) if names]
+    if problems:
+        raise ValueError("; ".join(problems))
     return requested
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,30 +11,35 @@ from pyspark.sql import functions as F
 
 from tritempo.constants import DELIVERY_END, DELIVERY_START, IDENTIFIER, REFERENCE_TIME
 from tritempo.functions.buckets import bucket_start, bucket_unit
-from tritempo.functions.mapped import Mapping, find
+from tritempo.functions.mapped import Mapping
 
 FUNCTIONS = {"AVG": F.avg, "SUM": F.sum, "MIN": F.min, "MAX": F.max, "COUNT": F.count}
-_ALIAS = re.compile(r"[a-zA-Z0-9]+")
+#: names that a result column may have
+_PLAIN = re.compile(r"[a-zA-Z0-9]+")
 
 #: ``(function, column or "*", alias)``
 Value = tuple[str, str, str]
 
 
+def aggregation_problems(values: Sequence[Value], bucket_alias: str, mapping: Mapping | None = None) -> list[str]:
+    """Everything that is wrong with the values of an aggregation: each rule names the values that break it."""
+    keys = {name.lower(): column.is_key for column in mapping or () for name in (column.logical, column.physical or column.logical)}
+    uses = Counter([bucket_alias.lower(), *(alias.lower() for _, _, alias in values)])
+    rules = {
+        "no such function of a column": lambda name, column, alias: name.upper() not in FUNCTIONS or (column == "*" and name.upper() != "COUNT"),
+        "result names have letters and digits only": lambda name, column, alias: not _PLAIN.fullmatch(alias),
+        "result names occur once": lambda name, column, alias: uses[alias.lower()] > 1,
+        "values are columns that the series maps": lambda name, column, alias: mapping is not None and column != "*" and column.lower() not in keys,
+        "keys are not values": lambda name, column, alias: keys.get(column.lower(), False),
+    }
+    broken = {rule: [f"{name}({column}) as {alias}" for name, column, alias in values if breaks(name, column, alias)] for rule, breaks in rules.items()}
+    return [f"{rule}: {', '.join(named)}" for rule, named in broken.items() if named] + ([] if values else ["an aggregation has at least one value"])
+
+
 def check_aggregation(values: Sequence[Value], bucket_alias: str, mapping: Mapping | None = None) -> None:
-    """Known functions, plain unique aliases, mapped value columns that are not keys."""
-    if not values:
-        raise ValueError("both a bucket and values are needed for aggregation")
-    seen = {bucket_alias.lower()}
-    for function, column, alias in values:
-        if function.upper() not in FUNCTIONS or (column == "*" and function.upper() != "COUNT"):
-            raise ValueError(f"invalid aggregation expression {function}({column})")
-        if not _ALIAS.fullmatch(alias):
-            raise ValueError(f"column name {alias!r} contains invalid characters")
-        if alias.lower() in seen:
-            raise ValueError(f"duplicate aggregation alias {alias!r}")
-        seen.add(alias.lower())
-        if mapping is not None and column != "*" and find(mapping, column).is_key:
-            raise ValueError(f"aggregation value column {column!r} cannot be a key column")
+    problems = aggregation_problems(values, bucket_alias, mapping)
+    if problems:
+        raise ValueError("; ".join(problems))
 
 
 def _value(function: str, column: str, alias: str) -> Column:

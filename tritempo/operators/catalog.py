@@ -89,7 +89,7 @@ def mapping_of(rows: DataFrame, series_id: int) -> Mapping:
     if len(found) > MAX_MAPPED_COLUMNS:
         raise ValueError(f"series {series_id} maps more than {MAX_MAPPED_COLUMNS} columns")
     if not found:
-        raise ValueError("requested identifiers do not have mappings")
+        raise ValueError(f"the catalog lists no column of series {series_id}")
     return [
         MappedColumn(
             row["logical"], row["physical"] or "", row["data_type"] or "", bool(row["is_key"]),
