@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,7 @@ from tritempo.functions.numbers import format_number
 from tritempo.functions.timecols import format_timestamp, utc_to_zone
 from tritempo.operators.hybrid import unified_header
 from tritempo.operators.sort import sort_output
+from tritempo.sinks.merged import merge_files
 
 JSON_MODES = ("json", "json_stream", "ndjson")
 CSV_MODES = ("csv", "csv_stream")
@@ -135,8 +137,8 @@ def union_categories(
     return rows.orderBy(*keys).drop(*keys) if ordered else rows
 
 
-def _write_texts(texts: DataFrame, path: str, mode: str) -> None:
-    texts.write.mode(mode).csv(path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
+def _write_texts(texts: DataFrame, path: str, mode: str, *, header: bool = True) -> None:
+    texts.write.mode(mode).csv(path, header=header, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
                                ignoreTrailingWhiteSpace=False)
 
 
@@ -155,6 +157,25 @@ def write_csv(
     _write_texts(csv_rows(rows, columns, zone=zone, offset=offset), path, mode)
 
 
+def write_csv_file(
+    df: DataFrame,
+    target: str,
+    columns: list[str] | None = None,
+    *,
+    zone: Column | str | None = None,
+    offset: bool = False,
+) -> int:
+    """Write one CSV file in order, with one header even if there are no rows; how many parts it was put together from.
+
+    Tasks write parts of the sorted rows, see ``merged.merge_files`` for how these become a file.
+    """
+    texts = csv_rows(sort_output(df), columns, zone=zone, offset=offset)
+    folder = f"{target.rstrip('/')}.parts-{uuid.uuid4().hex}"
+    _write_texts(texts, folder, "errorifexists", header=False)
+    names = [f'"{name.replace(chr(34), chr(34) * 2)}"' if set(name) & set(',"\n\r') else name for name in texts.columns]
+    return merge_files(df.sparkSession, folder, target, header=",".join(names), suffix=".csv")
+
+
 def write_csv_categories(
     results: list[DataFrame], path: str, header: list[str] | None = None, *, zone: Column | str | None = None,
     offset: bool = False, mode: str = "errorifexists",
