@@ -1,7 +1,9 @@
 import numpy as np
 from helpers import rows_of
+from pyspark.sql import functions as F
 
 from tritempo.llm import vectors
+from tritempo.llm.common import Scratch
 
 
 def by_brute_force(rows):
@@ -66,30 +68,55 @@ def test_tables_follow_the_bits():
 
 def nodes_of(spark, rows):
     read = vectors.read_vectors(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>"), key="vec_id", vector="embedding")
-    return read.withColumnRenamed("key", "node").cache()
+    return read.withColumnRenamed("key", "node").withColumn("copies", F.lit(1)).cache()
 
 
-def test_isolated_pairs_at_the_threshold_meet_at_the_start(spark):
+NO_GROUPS = "node long, component long"
+
+
+def test_isolated_pairs_at_the_threshold_meet_in_the_tables(spark):
     rng, rows = np.random.default_rng(8), []
     for _ in range(1500):
         one, two = rng.standard_normal((2, 32))
         one /= np.linalg.norm(one)
         two -= two @ one * one
         rows += [one.tolist(), (0.91 * one + (1 - 0.91**2) ** 0.5 * two / np.linalg.norm(two)).tolist()]
-    found = vectors.first_pairs(nodes_of(spark, rows), 51_282, 11).filter("sim >= 0.88 and a < b")
-    assert found.select("a", "b").distinct().filter("a % 2 = 0 and b = a + 1").count() >= 0.995 * 1500
+    alone = spark.createDataFrame([], NO_GROUPS)
+    tables = vectors.tables_of(vectors.bits_of(51_282))
+    found = vectors.between_groups(Scratch(spark, "test"), nodes_of(spark, rows), alone, 51_282, 11, tables, "turn")
+    assert found.filter("a % 2 = 0 and b = a + 1").count() >= 0.995 * 1500 and found.filter("a >= b").count() == 0
 
 
-def test_large_buckets_are_compared_whole(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "CHUNK", 5)
+def test_of_two_groups_one_link_is_found_and_large_buckets_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "WIDE", 5)
     rng = np.random.default_rng(9)
-    centre = rng.standard_normal(16)
-    rows = [(centre + rng.standard_normal(16) * 0.02).tolist() for _ in range(40)]
-    rows += [rows[3], rows[7]]
-    rows[40] = (np.array(rows[3]) * 1.0 + 1e-6).tolist()
-    rows[41] = (np.array(rows[7]) * 1.0 + 1e-6).tolist()
-    found = {(row.a, row.b) for row in vectors.first_pairs(nodes_of(spark, rows), 42, 11).collect()}
-    assert {(3, 40), (40, 3), (7, 41), (41, 7)} <= found
+    centre, off = rng.standard_normal((2, 16))
+    off -= off @ centre / (centre @ centre) * centre
+    far = centre * 0.8 + off / np.linalg.norm(off) * np.linalg.norm(centre) * 0.6  # cosine 0.8
+    rows = [(centre + rng.standard_normal(16) * 0.01).tolist() for _ in range(40)] + [(far + rng.standard_normal(16) * 0.01).tolist() for _ in range(40)]
+    between = (centre + far) / 2
+    rows += [(between + rng.standard_normal(16) * 0.001).tolist() for _ in range(3)]
+    grouped = spark.createDataFrame([(node, 0 if node < 40 else 40) for node in range(80)], NO_GROUPS)
+    found = rows_of(vectors.between_groups(Scratch(spark, "test"), nodes_of(spark, rows), grouped, 83, 11, 12, "turn"))
+    reached = {(min(a, 79) // 40 * 40 if a < 80 else a, b // 40 * 40 if b < 80 else b) for a, b in found}
+    assert {(0, 80), (40, 80), (0, 81), (40, 82), (80, 81)} <= reached and (0, 40) not in reached
+
+
+def test_links_of_groups_of_any_size_are_counted(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(x + rng.standard_normal(8) * 0.3).tolist() for x in np.repeat(rng.standard_normal((4, 8)), (3, 9, 40, 30), 0)]
+    unit = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    copies = rng.integers(1, 4, len(rows))
+    grouped = spark.createDataFrame([(node, int(place)) for node, place in enumerate(np.repeat([0, 3, 12, 52], (3, 9, 40, 30)))], NO_GROUPS)
+    links = unit @ unit.T >= 0.9
+    links &= np.equal.outer(np.repeat(range(4), (3, 9, 40, 30)), np.repeat(range(4), (3, 9, 40, 30)))
+    np.fill_diagonal(links, False)
+    counted = nodes_of(spark, rows).drop("copies").join(spark.createDataFrame([(n, int(c)) for n, c in enumerate(copies)], "node long, copies long"), "node")
+    for small, tile, product in ((64, 1000, 512), (2, 7, 3), (10, 1, 512)):
+        for name, value in (("SMALL", small), ("TILE", tile), ("PRODUCT", product)):
+            monkeypatch.setattr(vectors, name, value)
+        found = {row.node: row.others for row in vectors.link_counts(counted, grouped).collect()}
+        assert [found[node] for node in range(len(rows))] == (links @ copies).tolist()
 
 
 def test_the_audit_sees_lost_pairs_beside_a_large_group(spark):
@@ -100,11 +127,10 @@ def test_the_audit_sees_lost_pairs_beside_a_large_group(spark):
         one = rng.standard_normal(32)
         rows += [one.tolist(), (one + rng.standard_normal(32) * 0.05).tolist()]
     nodes = nodes_of(spark, rows)
-    group = spark.createDataFrame([(a, b) for a in range(100) for b in range(a + 1, 100)], "a long, b long")
-    few, many = vectors.audit(nodes, group)
-    assert few == 0 and many == 1
-    pairs = spark.createDataFrame([(a, a + 1) for a in range(100, 160, 2)], "a long, b long")
-    assert vectors.audit(nodes, group.union(pairs)) == (1, 1)
+    group = spark.createDataFrame([(node, 0) for node in range(100)], NO_GROUPS)
+    assert vectors.audit(nodes, group) == (0, 1, 60)
+    pairs = spark.createDataFrame([(node, node // 2 * 2) for node in range(100, 160)], NO_GROUPS)
+    assert vectors.audit(nodes, group.union(pairs)) == (1, 1, 60)
 
 
 def test_all_vectors_are_compared_if_the_search_misses_the_target(spark, monkeypatch):
@@ -115,5 +141,7 @@ def test_all_vectors_are_compared_if_the_search_misses_the_target(spark, monkeyp
     full = [(key, row, 1, "x", "y", 0.5) for key, row in enumerate(rows)]
     monkeypatch.setattr(vectors, "EXTENSIONS", 0)
     monkeypatch.setattr(vectors, "BLOCK", 15)
-    monkeypatch.setattr(vectors, "exact_edges", lambda nodes, lists: lists.select("node", "nbr").toDF("a", "b").limit(0))
+    nothing = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(vectors, "exact_edges", lambda nodes, lists: nothing)
+    monkeypatch.setattr(vectors, "between_groups", lambda *arguments: nothing)
     assert sorted(rows_of(vectors.near_vectors(spark.createDataFrame(full, SCHEMA))), key=str) == by_brute_force(full)

@@ -1,17 +1,23 @@
 """Near-duplicate embeddings by NN-descent.
 
-Equal vectors are one node. The neighbour graph starts from buckets of random hyperplanes: nodes of a bucket are each other's
-first candidates, compared in tiles of bounded size. There are as many tables of buckets as it takes for a pair at the
-threshold to share a bucket with probability ``MET``, however many vectors there are. Then neighbours of neighbours are
-joined: for every node the neighbours of a few of its neighbours are compared with it, and the best ``LIST`` found so far stay
-its neighbours, until hardly a list changes. A node whose list is full of neighbours beyond the threshold is saturated: its list is enlarged and its
-neighbours' neighbours are joined again, until every list ends below the threshold or holds all there is. A sample of nodes
-is audited against all vectors. Recall is the mean over nodes, taken apart for those with few links and those with many, so that
-no large group hides lost pairs. While it is below the target, the search goes on with other hyperplanes and adds to the links
-found; if it stays below, all vectors are compared in blocks.
-
-The search compares vectors rounded to 8 bits, whose rounding error is kept with the vector: the error bounds how far the
-cosine may be off, and the pairs for which that leaves the threshold in doubt are compared in double precision.
+Equal vectors are one node. The neighbour graph starts from a few tables of random hyperplanes: nodes of a bucket are each other's
+first candidates. Then neighbours of neighbours are joined: for every node the neighbours of its neighbours are compared with it, and
+the best ``LIST`` found so far stay its neighbours, until hardly a list changes. What the lists hold beyond the threshold are links, and
+links make groups.
+
+A node whose list is full of links is saturated. Its list is enlarged to the whole group at once, and not as rows: all vectors of a
+group are compared in tiles of bounded size, which hand over a number of links for each node. So a group of n near copies costs
+n * n comparisons, which its link counts ask for, but rows only as n; what is kept are nodes, groups and links that span them.
+
+Links between groups are looked for in further tables. Of each two groups that meet in a bucket one link is enough, as they
+become one group then; buckets without a second group are passed over, and vectors are only sent for the rest. The tables follow the number
+of vectors: in all rounds a pair at the threshold shares a bucket with probability ``MET``. After every round a sample of all nodes is
+audited against all vectors: a link counts as found if its ends are in one group. Recall is the mean over nodes, apart for those with few
+links and those with many, so that no large group hides lost pairs. Rounds end early only where the sample has shown enough nodes with
+few links; if the target is missed after the last, all vectors are compared in blocks.
+
+NN-descent compares vectors rounded to 8 bits. The rounding error bounds how far a cosine may be off; pairs for which that
+leaves the threshold in doubt are compared in double precision, as are pairs between groups and the vectors of a group.
 """
 
 from __future__ import annotations
@@ -27,16 +33,19 @@ from pyspark.sql import functions as F
 from tritempo.llm.common import Scratch, components
 
 THRESHOLD = 0.9
-#: neighbours in a list, neighbours whose lists a node looks through, and how lists grow when saturated
-LIST, LOOKED_THROUGH, GROWTH = 8, 8, 4
-CHUNK, BUCKET = 400, 16
-#: tables whose buckets fill the first lists; what further ones add are pairs about the threshold
+#: neighbours in a list
+LIST = 8
+#: nodes of a bucket compared at once in the first tables and in the further ones, and nodes that share a bucket on average
+CHUNK, WIDE, BUCKET = 400, 1000, 16
+#: tables that fill the first lists
 TABLES = 8
-#: probability that a pair at the threshold shares a bucket of some table
-MET = 0.999
+#: probability that a pair at the threshold shares a bucket of some further table, and how often the search is extended by as many again
+MET, EXTENSIONS = 0.999, 2
 ROUNDS, CHANGED = 6, 0.002
-#: audited nodes (of all, and again of those with few links), the recall they must show, and how often the search is extended for it
-AUDITED, RECALL, EXTENSIONS = 2048, 0.995, 3
+#: audited nodes, the recall they must show, and nodes with few links that must be among them to end early
+AUDITED, RECALL, EVIDENCE = 2048, 0.995, 200
+#: groups up to this size are compared as one value, larger ones in tiles
+SMALL, TILE = 64, 1000
 #: nodes that are compared with all others at once, and of these those in one product
 BLOCK, PRODUCT = 20_000, 512
 
@@ -98,52 +107,85 @@ def tables_of(bits: int) -> int:
     return max(TABLES, math.ceil(math.log(1 - MET) / math.log(1 - same)))
 
 
-def first_pairs(nodes: DataFrame, count: int, seed: int) -> DataFrame:
-    """(a, b, sim): the best neighbours of every node in its buckets of random hyperplanes; a large bucket gives the best of each tile.
-
-    Beyond the first ``TABLES`` tables only pairs that may be links.
-    """
-    bits = bits_of(count)
-    tables = tables_of(bits)
+def bucketed(nodes: DataFrame, vector: str, kind: type, bits: int, tables: int, seed: int) -> DataFrame:
+    """``nodes`` with the length of their vectors and the bucket of every table: signs of products with random planes."""
+    names = nodes.columns
+    at = names.index(vector)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in _by_length(batch.column("rounded")):
-                part = batch.take(pa.array(rows))
-                x = _matrix(part.column("rounded"), np.int8).astype(np.float32)
-                planes = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], tables * bits)).astype(np.float32)
-                signs = (x @ planes > 0).reshape(len(x), tables, bits)
-                bucket = (signs * (1 << np.arange(bits))).sum(2) * tables + np.arange(tables)
-                yield pa.RecordBatch.from_arrays([
-                    part.column("node"), pa.array(list(bucket), pa.list_(pa.int64())), pa.array([x.shape[1]] * len(x), pa.int64()), part.column("rounded"),
-                ], ["node", "buckets", "dim", "rounded"])
-
-    placed = nodes.select("node", "rounded").mapInArrow(keys, "node long, buckets array<long>, dim long, rounded binary")
+            for rows in _by_length(batch.column(at)):
+                for begin in range(0, len(rows), 2000):
+                    part = batch.take(pa.array(rows[begin : begin + 2000]))
+                    x = _matrix(part.column(at), kind).astype(np.float32)
+                    planes = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], tables * bits)).astype(np.float32)
+                    signs = (x @ planes > 0).reshape(len(x), tables, bits)
+                    bucket = (signs * (1 << np.arange(bits))).sum(2) * tables + np.arange(tables)
+                    more = [pa.array([x.shape[1]] * len(x), pa.int64()), pa.array(list(bucket), pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *more], [*names, "dim", "buckets"])
+
+    fields = ", ".join(f"{name} {type_}" for name, type_ in nodes.dtypes)
+    return nodes.mapInArrow(keys, f"{fields}, dim long, buckets array<long>")
+
+
+def first_pairs(nodes: DataFrame, count: int, seed: int, tables: int = TABLES) -> DataFrame:
+    """(a, b, sim): the best neighbours of every node in its part of its buckets; a bucket of many nodes is dealt out to parts by hash."""
+    placed = bucketed(nodes.select("node", "rounded"), "rounded", np.int8, bits_of(count), tables, seed)
     placed = placed.select("node", "dim", "rounded", F.explode("buckets").alias("bucket"))
     cuts = placed.groupBy("dim", "bucket").agg(F.count("*").alias("n")).filter("n > 1").select("dim", "bucket", F.ceil(F.col("n") / CHUNK).alias("cuts"))
     placed = placed.join(cuts, ["dim", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("node", "bucket", F.lit(seed)), F.col("cuts")))
-    # every chunk meets every other, so that a bucket of any size is compared whole
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-    placed = placed.select("dim", "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "chunk", "rounded")
 
     def best(table: pa.Table) -> pa.Table:
-        node, chunk = table["node"].to_numpy(), table["chunk"].to_numpy()
+        node = table["node"].to_numpy()
         x = _matrix(table["rounded"].combine_chunks(), np.int8).astype(np.float32) / 127
         sims = x @ x.T
         np.fill_diagonal(sims, -2)
-        if table["i"][0].as_py() != table["j"][0].as_py():
-            sims[chunk[:, None] == chunk] = -2
         keep = min(LIST, len(node) - 1)
         if keep < 1:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sim": pa.array([], pa.float32())})
         near = np.argpartition(-sims, keep - 1, 1)[:, :keep]
         left, right = np.repeat(np.arange(len(node)), keep), near.ravel()
-        fits = sims[left, right] >= (-1.5 if table["bucket"][0].as_py() % tables < TABLES else THRESHOLD - 0.05)
-        left, right = left[fits], right[fits]
         return pa.table({"a": node[left], "b": node[right], "sim": sims[left, right]})
 
     best.__annotations__ = {"table": pa.Table, "return": pa.Table}
-    return placed.groupBy("dim", "bucket", "i", "j").applyInArrow(best, "a long, b long, sim float")
+    return placed.groupBy("dim", "bucket", "chunk").applyInArrow(best, "a long, b long, sim float")
+
+
+def between_groups(scratch: Scratch, nodes: DataFrame, grouped: DataFrame, count: int, seed: int, tables: int, name: str) -> DataFrame:
+    """(a, b): for each two groups that meet in a bucket their best pair there, if it is a link.
+
+    ``grouped`` names the group of the linked nodes; any other is a group by itself.
+    """
+    own = nodes.select("node", "unit").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = scratch.put(bucketed(own, "unit", np.float64, bits_of(count), tables, seed), f"{name}-buckets")
+    placed = own.select("node", "component", "dim", F.explode("buckets").alias("bucket"))
+    met = placed.groupBy("dim", "bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    met = scratch.put(met.filter("low <> high").select("dim", "bucket", F.ceil(F.col("n") / WIDE).alias("cuts")), f"{name}-met")
+    placed = placed.join(met, ["dim", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("cuts")))
+    # every chunk meets every other, so that a bucket of any size is compared whole
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    placed = placed.select("dim", "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "component", "chunk")
+    placed = scratch.put(placed, f"{name}-placed").join(own.select("node", "unit"), "node")
+
+    def links(table: pa.Table) -> pa.Table:
+        node, group, chunk = (table[each].to_numpy() for each in ("node", "component", "chunk"))
+        unit = _matrix(table["unit"].combine_chunks(), np.float64)
+        x = unit.astype(np.float32)
+        sims = x @ x.T
+        fits = (sims >= THRESHOLD - 1e-4) & (group[:, None] < group)
+        if table["i"][0].as_py() != table["j"][0].as_py():
+            fits &= chunk[:, None] != chunk
+        left, right = np.nonzero(fits)
+        exact = np.einsum("ij,ij->i", unit[left], unit[right])
+        order = np.lexsort((-exact, group[right], group[left]))
+        left, right, exact = left[order], right[order], exact[order]
+        first = np.ones(len(left), bool)
+        first[1:] = (group[left[1:]] != group[left[:-1]]) | (group[right[1:]] != group[right[:-1]])
+        first &= exact >= THRESHOLD
+        return pa.table({"a": node[left[first]], "b": node[right[first]]})
+
+    links.__annotations__ = {"table": pa.Table, "return": pa.Table}
+    return placed.groupBy("dim", "bucket", "i", "j").applyInArrow(links, "a long, b long").distinct()
 
 
 def compared(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -164,20 +206,17 @@ def compared(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.mapInArrow(dots, "a long, b long, sim float")
 
 
-def merged(lists: DataFrame, found: DataFrame, sizes: DataFrame | None) -> DataFrame:
-    """Neighbour lists (node, nbr, sim, fresh) with the pairs found, both ways, cut to LIST or the node's own size."""
+def merged(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Neighbour lists (node, nbr, sim, fresh) with the pairs found, both ways, cut to LIST."""
     both = found.select(F.col("a").alias("node"), F.col("b").alias("nbr"), "sim").union(found.select("b", "a", "sim"))
     every = lists.select("node", "nbr", "sim", F.lit(0).alias("fresh")).union(both.withColumn("fresh", F.lit(1)))
     every = every.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "nbr"))
-    if sizes is None:
-        return every.withColumn("n", place).filter(F.col("n") <= LIST).drop("n")
-    every = every.join(sizes, "node", "left")
-    return every.withColumn("n", place).filter(F.col("n") <= F.coalesce("size", F.lit(LIST))).drop("n", "size")
+    return every.withColumn("n", place).filter(F.col("n") <= LIST).drop("n")
 
 
 def descend(scratch: Scratch, nodes: DataFrame, lists: DataFrame, count: int, name: str) -> DataFrame:
-    """Rounds of joining neighbours of neighbours, then of enlarging saturated lists."""
+    """Rounds of joining neighbours of neighbours."""
     last = None
     for turn in range(ROUNDS):
         looked = lists.select(F.col("node").alias("v"), F.col("nbr").alias("u"), F.col("fresh").alias("new"))
@@ -186,39 +225,14 @@ def descend(scratch: Scratch, nodes: DataFrame, lists: DataFrame, count: int, na
         pairs = pairs.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
         known = lists.select(F.least("node", "nbr").alias("a"), F.greatest("node", "nbr").alias("b")).distinct()
         found = compared(nodes, pairs.join(known, ["a", "b"], "left_anti"))
-        lists = scratch.put(merged(lists, found, None), f"{name}-lists-{turn}")
+        lists = scratch.put(merged(lists, found), f"{name}-lists-{turn}")
         if last is not None:
             scratch.drop(last)
         last = f"{name}-lists-{turn}"
         if lists.filter("fresh = 1").count() <= CHANGED * LIST * count:
             break
 
-    # saturated lists: the least similar neighbour may still be a link
-    size, turn, sizes = LIST, 0, None
-    while True:
-        full = lists.groupBy("node").agg(F.count("*").alias("held"), F.min("sim").alias("low"))
-        full = full.join(sizes, "node", "left") if sizes is not None else full.withColumn("size", F.lit(None).cast("int"))
-        full = full.filter((F.col("held") >= F.coalesce("size", F.lit(LIST))) & (F.col("low") >= THRESHOLD - 0.03)).select("node")
-        full = scratch.put(full, f"{name}-full-{turn}")
-        if not full.limit(1).count():
-            return lists
-        size *= GROWTH
-        grown = full.withColumn("size", F.lit(size))
-        sizes = scratch.put(grown if sizes is None else sizes.join(full, "node", "left_anti").union(grown), f"{name}-sizes-{turn}")
-        for again in range(ROUNDS):
-            turn += 1
-            some = Window.partitionBy("node").orderBy(F.desc("fresh"), F.xxhash64("nbr", F.lit(turn)))
-            looked = lists.join(full, "node", "left_semi").withColumn("n", F.row_number().over(some)).filter(F.col("n") <= LOOKED_THROUGH)
-            looked = looked.select(F.col("node").alias("v"), F.col("nbr").alias("u"))
-            reached = lists.select(F.col("node").alias("u"), F.col("nbr").alias("w"))
-            pairs = looked.join(reached, "u").filter("v <> w").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-            known = lists.select(F.least("node", "nbr").alias("a"), F.greatest("node", "nbr").alias("b")).distinct()
-            found = compared(nodes, pairs.join(known, ["a", "b"], "left_anti"))
-            lists = scratch.put(merged(lists, found, sizes), f"{name}-grown-{turn}")
-            scratch.drop(last)
-            last = f"{name}-grown-{turn}"
-            if lists.join(full, "node", "left_semi").filter("fresh = 1").limit(1).count() == 0:
-                break
+    return lists
 
 
 def exact_edges(nodes: DataFrame, lists: DataFrame) -> DataFrame:
@@ -250,55 +264,116 @@ def exact_edges(nodes: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def exact_links(nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """(asked, other) of all links of the nodes in ``asked``, which are few enough to be collected, by brute force against all vectors."""
-    held = [(row.node, np.frombuffer(row.unit)) for row in asked.select("node", "unit").collect()]
+    """(asked, other) of the links of the nodes in ``asked``, which are few enough to be collected, by brute force against all vectors.
+
+    Where both have a ``component``, only those between different ones.
+    """
+    apart = "component" in nodes.columns
+    held = [(row.node, np.frombuffer(row.unit), row.component if apart else row.node) for row in asked.select(*nodes.columns).collect()]
     shared = nodes.sparkSession.sparkContext.broadcast(held)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in _by_length(batch.column("unit")):
-                part = batch.take(pa.array(rows))
-                x, node = _matrix(part.column("unit"), np.float64), part.column("node").to_numpy()
-                queries = [(name, unit) for name, unit in shared.value if len(unit) == x.shape[1]]
-                for start in range(0, len(queries), PRODUCT):
-                    some = queries[start : start + PRODUCT]
-                    names = np.array([name for name, _ in some])
-                    at, of = np.nonzero(x @ np.stack([unit for _, unit in some]).T >= THRESHOLD)
-                    at, of = at[node[at] != names[of]], of[node[at] != names[of]]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[of]), pa.array(node[at])], ["asked", "other"])
+                for begin in range(0, len(rows), 4096):
+                    part = batch.take(pa.array(rows[begin : begin + 4096]))
+                    x, node = _matrix(part.column("unit"), np.float64), part.column("node").to_numpy()
+                    group = part.column("component").to_numpy() if apart else node
+                    queries = [each for each in shared.value if len(each[1]) == x.shape[1]]
+                    for start in range(0, len(queries), PRODUCT):
+                        some = queries[start : start + PRODUCT]
+                        names, groups = (np.array([each[place] for each in some]) for place in (0, 2))
+                        at, of = np.nonzero((x @ np.stack([each[1] for each in some]).T >= THRESHOLD) & (group[:, None] != groups))
+                        yield pa.RecordBatch.from_arrays([pa.array(names[of]), pa.array(node[at])], ["asked", "other"])
 
-    return nodes.select("node", "unit").mapInArrow(scan, "asked long, other long")
+    return nodes.mapInArrow(scan, "asked long, other long")
 
 
-def audit(nodes: DataFrame, edges: DataFrame, sample: int = AUDITED) -> tuple[float, float]:
-    """The mean recall of sampled nodes with few links (up to ``LIST``) and of those with more, by brute force against all vectors.
+def audit(nodes: DataFrame, grouped: DataFrame, sample: int = AUDITED) -> tuple[float, float, int]:
+    """The mean recall of sampled nodes with few links (up to ``LIST``) and of those with more, and how many of the former there are.
 
-    The sample is one of all nodes and one of those with few links so far; 1 where it has no such node.
+    The sample is taken of all nodes by hash, whatever has been found of them. A link of theirs, by brute force against all vectors,
+    is found if both its ends are in one group: links within groups are counted exactly. Recall is 1 where there is no such node.
     """
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").count().filter(F.col("count") <= LIST)
-    by_hash = nodes.orderBy(F.xxhash64("node"), "node").limit(sample)
-    linked = nodes.join(ends, "node", "left_semi").orderBy(F.xxhash64("node"), "node").limit(sample)
-    true = exact_links(nodes, by_hash.select("node", "unit").union(linked.select("node", "unit")).dropDuplicates(["node"]))
-    true = true.select("asked", F.least("asked", "other").alias("a"), F.greatest("asked", "other").alias("b"))
-    each = true.join(edges.select("a", "b").distinct().withColumn("hit", F.lit(1)), ["a", "b"], "left")
-    each = each.groupBy("asked").agg(F.count("*").alias("links"), (F.count("hit") / F.count("*")).alias("recall"))
+    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(sample)
+    own = grouped.select("node", "component")
+    true = exact_links(nodes.select("node", "unit"), asked.select("node", "unit"))
+    true = true.join(own.toDF("asked", "left"), "asked", "left").join(own.toDF("other", "right"), "other", "left")
+    each = true.groupBy("asked").agg(F.count("*").alias("links"), F.avg(F.coalesce(F.col("left") == F.col("right"), F.lit(False)).cast("int")).alias("recall"))
     few = F.col("links") <= LIST
-    shown = each.agg(F.avg(F.when(few, F.col("recall"))), F.avg(F.when(~few, F.col("recall")))).first()
-    return tuple(1.0 if recall is None else recall for recall in shown)
+    shown = each.agg(F.avg(F.when(few, F.col("recall"))), F.avg(F.when(~few, F.col("recall"))), F.count(F.when(few, 1))).first()
+    return (1.0 if shown[0] is None else shown[0], 1.0 if shown[1] is None else shown[1], shown[2])
 
 
-def all_edges(scratch: Scratch, nodes: DataFrame, count: int) -> DataFrame:
-    """(a, b) with a < b of all links: every vector against every other, ``BLOCK`` vectors at a time."""
+def all_edges(scratch: Scratch, nodes: DataFrame, grouped: DataFrame, count: int) -> DataFrame:
+    """(a, b) with a < b of all links between groups: every vector against every other, ``BLOCK`` vectors at a time."""
     cuts = math.ceil(max(1, count) / BLOCK)
-    blocks = scratch.put(nodes.select("node", "unit", F.pmod(F.xxhash64("node"), F.lit(cuts)).alias("block")), "blocks")
+    own = nodes.select("node", "unit").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = scratch.put(own.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(cuts))), "blocks")
+    names = ("node", "unit", "component")
     found = None
     for block in range(cuts):
-        links = exact_links(nodes, blocks.filter(F.col("block") == block)).filter("asked < other").toDF("a", "b")
+        links = exact_links(own.select(*names), own.filter(F.col("block") == block).select(*names)).filter("asked < other").toDF("a", "b")
         links = scratch.put(links, f"exact-{block}")
         found = links if found is None else found.union(links)
     return found
 
 
+def _others(unit: np.ndarray, copies: np.ndarray, left: slice, right: slice) -> np.ndarray:
+    """For rows on the left the copies of the linked rows on the right, without a row itself."""
+    out = np.zeros(left.stop - left.start, np.int64)
+    for begin in range(left.start, left.stop, PRODUCT):
+        some = slice(begin, min(begin + PRODUCT, left.stop))
+        links = unit[some] @ unit[right].T >= THRESHOLD
+        rows = np.arange(some.start, some.stop)
+        inside = (rows >= right.start) & (rows < right.stop)
+        links[np.flatnonzero(inside), rows[inside] - right.start] = False
+        out[some.start - left.start : some.stop - left.start] = links @ copies[right]
+    return out
+
+
+def link_counts(nodes: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(node, others): the rows other than its own copies that a node is linked with, by comparing all vectors of its group."""
+    sizes = grouped.groupBy("component").agg(F.count("*").alias("n"))
+    member = nodes.select("node", "copies", "unit").join(grouped, "node").join(sizes, "component")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, names = [], []
+            for group in batch.column("held"):
+                rows = group.values
+                unit, copies = _matrix(rows.field("unit"), np.float64), rows.field("copies").to_numpy()
+                every = slice(0, len(rows))
+                found.append(_others(unit, copies, every, every))
+                names.append(rows.field("node").to_numpy())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(found))], ["node", "others"])
+
+    small = member.filter(F.col("n") <= SMALL).groupBy("component").agg(F.collect_list(F.struct("node", "copies", "unit")).alias("held"))
+    small = small.select("held").mapInArrow(whole, "node long, others long")
+
+    def tile(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cut")
+        cut = table["cut"].to_numpy()
+        unit, copies = _matrix(table["unit"].combine_chunks(), np.float64), table["copies"].to_numpy()
+        split, size = int(np.searchsorted(cut, cut[0], "right")), len(cut)
+        if table["i"][0].as_py() == table["j"][0].as_py():
+            others = _others(unit, copies, slice(0, size), slice(0, size))
+        elif split == size:  # the other part is empty
+            others = np.zeros(size, np.int64)
+        else:
+            others = np.concatenate([_others(unit, copies, slice(0, split), slice(split, size)), _others(unit, copies, slice(split, size), slice(0, split))])
+        return pa.table({"node": table["node"], "others": others})
+
+    tile.__annotations__ = {"table": pa.Table, "return": pa.Table}
+    cuts = F.ceil(F.col("n") / TILE).cast("int")
+    large = member.filter(F.col("n") > SMALL).withColumn("cut", F.pmod(F.xxhash64("node"), cuts).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    large = large.select("component", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "cut", "node", "copies", "unit")
+    large = large.groupBy("component", "i", "j").applyInArrow(tile, "node long, others long")
+    return small.union(large).groupBy("node").agg(F.sum("others").alias("others"))
+
+
 def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept) of every row: the other rows linked directly, and the smallest key that links reach.
 
@@ -314,28 +389,30 @@ def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embeddi
     )
     nodes = scratch.put(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     count = nodes.count()
-    lists = edges = None
-    for extension in range(1 + EXTENSIONS):
-        found = scratch.put(first_pairs(nodes, count, 11 + extension).filter("sim > 0"), f"first-{extension}")
-        if lists is None:
-            lists = found.select(F.col("a").alias("node"), F.col("b").alias("nbr"), "sim", F.lit(1).alias("fresh"))
-        lists = scratch.put(merged(lists, found, None), f"start-{extension}")
-        lists = descend(scratch, nodes, lists.withColumn("fresh", F.lit(1)), count, f"run-{extension}")
-        # pairs that met but were cut from both lists may be links, too
-        met = lists.select("node", "nbr", "sim").union(found.select("a", "b", "sim"))
-        more = exact_edges(nodes, met)
-        edges = scratch.put(more if edges is None else edges.union(more).distinct(), f"edges-{extension}")
-        if min(audit(nodes, edges)) >= RECALL:
-            break
-    else:
-        edges = all_edges(scratch, nodes, count)
-    copies = nodes.select("node", "copies")
-    ends = edges.union(edges.select("b", "a")).toDF("node", "other").join(copies.toDF("other", "others"), "other")
-    links = ends.groupBy("node").agg(F.sum("others").alias("others"))
+    found = scratch.put(first_pairs(nodes, count, 11), "first")
+    start = found.select(F.col("a").alias("node"), F.col("b").alias("nbr"), "sim", F.lit(1).alias("fresh"))
+    start = scratch.put(merged(start, found).withColumn("fresh", F.lit(1)), "start")
+    lists = descend(scratch, nodes, start, count, "run")
+    edges = scratch.put(exact_edges(nodes, lists), "edges")
+    scratch.drop("first", "start")
     grouped = components(scratch, edges, "grouped")
+    tables = math.ceil(tables_of(bits_of(count)) / (1 + EXTENSIONS))
+    for turn in range(1 + EXTENSIONS):
+        more = scratch.put(between_groups(scratch, nodes, grouped, count, 12 + turn, tables, f"turn-{turn}"), f"more-{turn}")
+        scratch.drop(f"turn-{turn}-buckets", f"turn-{turn}-met", f"turn-{turn}-placed")
+        if more.limit(1).count():
+            edges = edges.union(more)
+            grouped = components(scratch, edges, f"grouped-{turn}")
+        few, many, seen = audit(nodes, grouped)
+        if min(few, many) >= RECALL and seen >= EVIDENCE:
+            break
+    if min(few, many) < RECALL:
+        grouped = components(scratch, edges.union(all_edges(scratch, nodes, grouped, count)), "all")
+    links = link_counts(nodes, grouped)
     named = nodes.select("node", "digest", "key", "copies").join(links, "node", "left").join(grouped, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node")).withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("copies") - 1)
-    smallest = named.groupBy("component").agg(F.min("key").alias("component_id"))
+    named = scratch.put(named.select("digest", "key", "component", "n_links"), "linked")
+    smallest = scratch.put(named.groupBy("component").agg(F.min("key").alias("component_id")), "smallest")
     named = scratch.put(named.join(smallest, "component").select("digest", "n_links", "component_id"), "named")
     result = vectors.select("key", "digest").join(named, "digest", "left")
     component = F.coalesce("component_id", "key")
@@ -343,4 +420,3 @@ def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embeddi
         F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col("key") == component, component.isNull()).alias("kept"),
     )
-
