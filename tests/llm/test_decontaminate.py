@@ -49,6 +49,17 @@ def test_odd_rows(spark, odd, nothing, benchmark):
     assert kept.columns == odd.columns and kept.count() == sum(not row[-1] for row in expected)
 
 
+def test_lists_of_items_do_not_reach_the_driver(spark, monkeypatch):
+    """A third of the items are copies: what is collected has a row for each window, and no item."""
+    documents = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p"), (2, "q"), (3, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(f"copy{n}", "A b c d e f g h i j k l m n") for n in range(300)] + [("one", "q")], "item_id string, text string")
+    collected, collect = [], type(documents).collect
+    monkeypatch.setattr(type(documents), "collect", lambda self: collected.append((self.columns, collect(self))) or collected[-1][1])
+    found = {row.doc_id: row for row in dc.contamination(documents, items).collect()}
+    assert len(found[1]["items"]) == 300 and found[2]["items"] == ["one"] and found[3]["items"] == []
+    assert all(len(rows) <= 20 for _, rows in collected) and not any("items" in columns and "doc_id" not in columns for columns, _ in collected)
+
+
 def test_phrases_do_not_cross_documents(spark):
     documents = spark.createDataFrame([(1, "one two"), (2, "three four"), (3, "zero one two three four")], "doc_id long, text string")
     items = spark.createDataFrame([("q", "one two three four")], "item_id string, text string")

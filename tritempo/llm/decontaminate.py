@@ -6,7 +6,8 @@ through the shard. It is written to the shared folder, built where the texts lie
 
 A phrase is looked up in every shard from its rarest term on: the term's positions, less the term's place in the
 phrase, are where the phrase may begin; the lists of the other terms, in the order of their frequency in all documents,
-are intersected with them. Phrases go to the shards in blocks of at most ``BLOCK``, so what is broadcast is bounded.
+are intersected with them. Phrases go to the shards by number in blocks of at most ``BLOCK``, so what is broadcast is bounded; the
+items that have a phrase stay where Spark holds them and are joined with the phrases found.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
 
 def windows_of(items: DataFrame, *, key: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """(terms, items): the distinct windows of the items' texts and the ids, as text, of the items that have them.
+    """(terms, items): the distinct windows of the items' texts and the sorted ids, as text, of the items that have them.
 
     An item of fewer words than ``size`` is one window; an item without words, text or id has none.
     """
@@ -83,7 +84,7 @@ def windows_of(items: DataFrame, *, key: str = "item_id", text: str = "text", si
                         ["item", "terms"],
                     )
 
-    return rows.mapInArrow(cut, "item string, terms array<long>").groupBy("terms").agg(F.collect_set("item").alias("items"))
+    return rows.mapInArrow(cut, "item string, terms array<long>").groupBy("terms").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 class Shard:
@@ -192,19 +193,23 @@ def phrase_matches(index: DataFrame, phrases: DataFrame, *, key: str = "doc_id",
     """(key, n_words, spans, items): a row for every document with the word ranges that any phrase covers, joined where they
     touch or overlap, and the sorted ids of the items whose phrases occur.
 
-    ``phrases`` has (terms, items), see ``windows_of``. They are looked up in blocks that their hash assigns.
+    ``phrases`` has (terms, items), see ``windows_of``. They are looked up in blocks that their hash assigns. Lists of items are joined
+    by their digest, once for a document that has many phrases of the same items.
     """
     spark = index.sparkSession
+    scratch = Scratch(spark, "phrases")
+    phrases = phrases.withColumn("number", F.monotonically_increasing_id()).withColumn("list", F.sha2(F.to_json("items"), 256))
+    phrases = scratch.put(phrases, "numbered")
     count = phrases.count()
     blocks = max(1, -(-count // block))
     parts = None
     for turn in range(blocks):
-        own = phrases.filter(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == turn).collect()
+        own = phrases.filter(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == turn).select("number", "terms").collect()
         terms, places, lengths = _rarest_first(index, [np.array(row.terms, np.int64) for row in own])
-        asked = spark.sparkContext.broadcast((terms, places, lengths, [row["items"] for row in own]))
+        asked = spark.sparkContext.broadcast((terms, places, lengths, np.array([row.number for row in own], np.int64)))
 
         def look(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            terms, places, lengths, items = asked.value
+            terms, places, lengths, numbers = asked.value
             for batch in batches:
                 for at, (row, keys) in enumerate(_shards(batch)):
                     shard, total = Shard(row), len(keys)
@@ -225,27 +230,32 @@ def phrase_matches(index: DataFrame, phrases: DataFrame, *, key: str = "doc_id",
                     for doc, head, tail in zip(document.tolist(), heads.tolist(), tails.tolist(), strict=True):
                         first = int(shard.begins[doc])
                         spans[doc].append({"start": head - first, "end": tail - first})
-                    named: list[set[str]] = [set() for _ in range(total)]
-                    pairs = np.unique(np.stack([shard.document(begin), phrase]), axis=1) if len(begin) else np.zeros((2, 0), np.int64)
-                    for doc, each in pairs.T.tolist():
-                        named[doc].update(items[each])
+                    pairs = np.unique(np.stack([shard.document(begin), numbers[phrase]]), axis=1) if len(begin) else np.zeros((2, 0), np.int64)
+                    cuts = np.searchsorted(pairs[0], np.arange(total + 1)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([f"{batch.column('shard')[at].as_py()}"] * total, pa.string()), pa.array(range(total), pa.int64()), keys,
                         pa.array(np.diff(shard.begins)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        pa.array([sorted(names) for names in named], pa.list_(pa.string())),
-                    ], ["shard", "row", "key", "n_words", "spans", "items"])
+                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(pairs[1])),
+                    ], ["shard", "row", "key", "n_words", "spans", "numbers"])
 
         kind = index.schema["keys"].dataType.elementType.simpleString()
         found = index.select("shard", "keys", "begins", "terms", "ends", "positions").mapInArrow(
-            look, f"shard string, row long, key {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+            look, f"shard string, row long, key {kind}, n_words long, spans array<struct<start:long,end:long>>, numbers array<long>"
         )
         parts = found if parts is None else parts.union(found)
     if blocks > 1:
         parts = parts.groupBy("shard", "row", "key", "n_words").agg(
             _merged(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.flatten(F.collect_list("numbers")).alias("numbers"),
         )
-    return parts.select(F.col("key").alias(key), "n_words", "spans", "items")
+    parts = scratch.put(parts, "found")
+    found = parts.select("shard", "row", F.explode("numbers").alias("number")).join(phrases.select("number", "list"), "number")
+    lists = phrases.groupBy("list").agg(F.first("items").alias("items"))
+    found = found.select("shard", "row", "list").distinct().join(lists, "list").select("shard", "row", F.explode("items").alias("item"))
+    found = found.groupBy("shard", "row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return parts.join(found, ["shard", "row"], "left").select(
+        F.col("key").alias(key), "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    )
 
 
 def _merged(spans):
