@@ -1,4 +1,7 @@
+import re
+
 from helpers import document, rows_of
+from pyspark.ml.functions import array_to_vector
 
 from tritempo.llm import secretscan as scan
 
@@ -27,10 +30,42 @@ def test_secrets_are_told_from_long_words(spark):
     found = scan.secret_findings(frame).collect()
     assert {row.value for row in found if row.is_secret} == {value for value in secrets if len(value) >= scan.LEAST}
     assert all(not row.is_secret for row in found if row.doc_id < 100)
-    own = scan.labelled_by_rule(scan.candidates(frame, scan.Dictionary([], {})))
+    own = scan.planted_findings(frame, scan.Dictionary([], {}))
     assert scan.secret_findings(frame, own.filter("label = 0")).filter("is_secret").count() == 0
 
 
+def test_the_forest_tells_planted_findings_it_has_not_seen(spark, sf, documents):
+    dictionary = scan.Dictionary([row.word for row in scan.corpus_counts(documents).filter("n > 20 and word not like '>%'").collect()], {})
+    learned, other = (scan.planted_findings(documents, dictionary, seed=seed) for seed in (1, 2))
+    forest = scan.train_forest(learned.cache())
+    shown = forest.transform(other.withColumn("features", array_to_vector("x"))).select("label", "prediction").collect()
+    assert len(shown) > 1000
+    right = sum(row.label == row.prediction == 1 for row in shown)
+    precision, recall = right / sum(row.prediction for row in shown), right / sum(row.label for row in shown)
+    assert precision > 0.9 and recall > 0.9
+
+
+def test_planting_follows_from_the_text(spark, documents):
+    first, again = (scan.planted_findings(each, scan.Dictionary([], {})).collect() for each in (documents, documents.repartition(5)))
+    assert set(map(str, first)) == set(map(str, again)) and {row.label for row in first} == {0.0, 1.0}
+
+
+def test_findings_equal_a_plain_scan(spark, documents):
+    """Brute force: the runs and assigned values of every text, by regular expressions over characters."""
+    run = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+    names = "|".join(scan.NAMES)
+    assigned = re.compile(rf"""(?:(?:{names})["'`]?[ \t]+|[=:]>?[ \t]*)(?=("[^"\n]{{8,}}"|'[^'\n]{{8,}}'|`[^`\n]{{8,}}`|[^\s"'`]{{8,}}))""", re.I)
+    expected = set()
+    for row in documents.collect():
+        spans = {match.span() for match in run.finditer(row.text or "")}
+        for match in assigned.finditer(row.text or ""):
+            quoted = match[1][0] in "\"'`"
+            spans.add((match.start(1) + quoted, match.end(1) - quoted))
+        expected |= {(row.doc_id, len(row.text[:a].encode()), row.text[a:b]) for a, b in spans if row.text[a:b].isascii()}
+    found = {(row.doc_id, row.start, row.value) for row in scan.secret_findings(documents).collect()}
+    assert {each for each in found if each[2].isascii()} == expected
+
+
 def test_odd_rows(spark, odd, nothing):
     one = spark.createDataFrame([document(9, "x" * 100_000 + ' key: "A1b2C3d4E5f6G7h8J9k0"')], odd.schema)
     found = rows_of(scan.secret_findings(odd.union(one)))

@@ -7,14 +7,17 @@ features are its length, its kinds of characters and the changes between them, h
 the corpus, how much of it dictionary words cover, words of its path, and the words beside it. The transitions and the
 dictionary (the ``DICTIONARY`` most frequent words of up to eight letters) are counted over all documents.
 
-The forest is Spark's own, trained from labelled findings: rows (value, before, path, after) with a label. Where nobody has
-labelled any, ``labelled_by_rule`` marks clear cases: values assigned to a credential's name, and plain words and
-numbers without one. Findings are few, so all steps after the scan work on small rows.
+The forest is Spark's own, trained from labelled findings: candidates with their features and a label. Where nobody has
+labelled any, ``planted_findings`` plants them: random keys and passwords, and look-alikes that are none (joined words, placeholders,
+numbers, dates, digests of files), each behind various words, into passages of the documents themselves. A label says
+what was planted, so it is not read off the features, and a part of the planted findings that the forest hasn't seen tells how good it is. Findings
+are few, so all steps after the scan work on small rows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,8 @@ DICTIONARY, SHORTEST, LONGEST = 20_000, 3, 8
 TREES, DEPTH = 20, 8
 #: labelled findings of one label that the forest learns from, about, chosen by hash
 LABELLED = 50_000
+#: planted findings, about, and the most in one document; characters of the passage on either side
+PLANTED, PLANTED_IN_ONE, PASSAGE = 4000, 40, 60
 #: features that hash the words of the path and the two words before a candidate
 BUCKETS = 16
 #: names of credentials
@@ -102,8 +107,7 @@ class Dictionary:
 
 
 def features(value: str, before: str, after: str, path: str, dictionary: Dictionary) -> list[float]:
-    """The numbers that the forest sees of one candidate. Very long values are told from their first 400 characters by
-    coverage alone; everything else uses all of them."""
+    """The numbers that the forest sees of one candidate; all of its characters count."""
     raw = np.frombuffer(value.encode(), np.uint8)
     kinds = _KIND[raw]
     upper, digit = (raw >= 0x41) & (raw <= 0x5A), kinds == 26
@@ -191,13 +195,89 @@ def candidates(docs: DataFrame, dictionary: Dictionary, *, key: str = "doc_id",
     return rows.mapInArrow(scan, f"key {kind}, start long, value string, before string, after string, path string, x array<double>")
 
 
-def labelled_by_rule(findings: DataFrame) -> DataFrame:
-    """Clear findings with a label: 1 for mixed values assigned to a credential's name, 0 for words or numbers without one."""
-    x = F.col("x")
-    named, assigned, digits, kinds = x[10] == 1, x[11] == 1, x[1], x[8]
-    secret = named & assigned & (digits >= 0.1) & (digits < 1) & (kinds >= 8)
-    plain = ~named & ((digits == 0) | (digits + x[3] == 1))
-    return findings.withColumn("label", F.when(secret, 1.0).when(plain, 0.0)).filter("label is not null")
+_ALPHABETS = {
+    "hex": "0123456789abcdef", "base": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "wide": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", "typed": "ABCDEFGHJKLMNPRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789!@#$%&*?",
+}
+#: words before look-alikes of random characters, and before any others
+_FILES = ("commit", "checksum", "digest", "sha256", "md5", "etag", "revision", "hash")
+_OTHERS = ("name", "value", "id", "ref", "title", "note", "version", "date", "path", "label")
+_PLACEHOLDERS = ("password", "changeme", "your_token_here", "placeholder", "undefined", "description", "xxxxxxxxxxxxxxxx", "not_available", "see documentation")
+
+
+def _random(rng: np.random.Generator, kind: str, low: int, high: int) -> str:
+    letters = _ALPHABETS[kind]
+    return "".join(letters[at] for at in rng.integers(0, len(letters), rng.integers(low, high + 1)))
+
+
+def _lead(rng: np.random.Generator, names: tuple[str, ...]) -> tuple[str, str]:
+    """What stands before a value and after it."""
+    name = names[rng.integers(len(names))]
+    name = (name, name.upper(), f"api_{name}", f"my {name}")[rng.integers(4)]
+    quote = ("", "", '"', "'")[rng.integers(4)]
+    return f"{name}{(' = ', '=', ': ', ' ', ' := ')[rng.integers(5)]}{quote}", quote
+
+
+def planted_value(rng: np.random.Generator, own: list[str]) -> tuple[float, str, str, str]:
+    """(label, before, value, after): a secret or a look-alike; ``own`` are words of the passage."""
+    if rng.random() < 0.5:
+        kind = ("hex", "base", "wide", "typed")[rng.integers(4)]
+        value = _random(rng, kind, *((9, 16) if kind == "typed" else (16, 48)))
+        lead, quote = _lead(rng, NAMES if kind == "typed" or rng.random() < 0.85 else _OTHERS)
+        return 1.0, lead, value, quote
+    word = lambda: own[rng.integers(len(own))] if own else "word"
+    kind = rng.integers(6)
+    if kind == 0:
+        lead, quote = _lead(rng, _FILES)
+        return 0.0, lead, _random(rng, "hex", 16, 64), quote
+    if kind == 1:
+        value = ("", "_", "-", "/")[rng.integers(4)].join(word() for _ in range(rng.integers(2, 6)))
+    elif kind == 2:
+        value = "".join(word().capitalize() for _ in range(rng.integers(2, 5)))
+    elif kind == 3:
+        value = str(rng.integers(10**7, 10**18))
+    elif kind == 4:
+        value = f"{rng.integers(1990, 2040)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}T{rng.integers(24):02d}:{rng.integers(60):02d}:00"
+    else:
+        value = _PLACEHOLDERS[rng.integers(len(_PLACEHOLDERS))]
+    if rng.random() < 0.4:
+        return 0.0, "", value, ""
+    lead, quote = _lead(rng, NAMES if rng.random() < 0.5 else _OTHERS)
+    return 0.0, lead, value, quote
+
+
+def planted_findings(docs: DataFrame, dictionary: Dictionary, *, key: str = "doc_id", text: str = "text", path: str = "source", seed: int = 1) -> DataFrame:
+    """Candidates with a label, planted into passages of about ``PLANTED`` places of the documents, chosen by hash.
+
+    Documents without text have no passages. What is planted follows from text, path and seed alone.
+    """
+    rows = docs.filter(F.octet_length(text) > 0).select(F.col(text).alias("text"), F.col(path).cast("string").alias("path"))
+    count = max(1, rows.count())
+    each = max(1, min(PLANTED_IN_ONE, PLANTED // count))
+    rows = rows.filter(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, PLANTED / count)))
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {name: [] for name in ("name", "text", "path", "at", "label")}
+            for whole, where in zip(batch.column("text").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                number = zlib.crc32(f"{where}\n{whole}".encode())
+                rng = np.random.default_rng([seed, number])
+                for place in range(each):
+                    at = whole.find(" ", int(rng.integers(len(whole)))) + 1 or len(whole)
+                    left, right = whole[max(0, at - PASSAGE) : at], whole[at : at + PASSAGE]
+                    label, lead, value, after = planted_value(rng, [word for word in f"{left} {right}".split() if word.isalpha()])
+                    lead = f"{left.rstrip()} {lead}"
+                    for name, one in zip(found, (f"{number}-{place}", f"{lead}{value}{after} {right}", where, len(lead.encode()), label), strict=True):
+                        found[name].append(one)
+            yield pa.RecordBatch.from_arrays([
+                *(pa.array(found[name], pa.string()) for name in ("name", "text", "path")), pa.array(found["at"], pa.int64()), pa.array(found["label"], pa.float64()),
+            ], ["name", "text", "path", "at", "label"])
+
+    scratch = Scratch(docs.sparkSession, "planted")
+    planted = scratch.put(rows.mapInArrow(plant, "name string, text string, path string, at long, label double").dropDuplicates(["name"]), "texts")
+    found = candidates(planted, dictionary, key="name", text="text", path="path")
+    own = planted.select(F.col("name").alias("key"), F.col("at").alias("start"), "label")
+    return found.join(own, ["key", "start"])
 
 
 def train_forest(labelled: DataFrame):
@@ -218,7 +298,7 @@ def train_forest(labelled: DataFrame):
 def secret_findings(docs: DataFrame, labelled: DataFrame | None = None, *, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """(key, start, length, value, score, is_secret): every candidate; ``start`` and ``length`` count bytes of the text.
 
-    ``labelled``: findings with features and a label, as ``labelled_by_rule`` returns them; by default its own. Null and empty
+    ``labelled``: findings with features and a label, as ``planted_findings`` returns them; by default its own. Null and empty
     texts have no candidates; a null path is an empty one. Rows with a null or repeated key are scanned like others. Without
     labelled findings every score is 0.5 and nothing is taken for a secret; with one label only, that is the score.
     """
@@ -227,8 +307,11 @@ def secret_findings(docs: DataFrame, labelled: DataFrame | None = None, *, key:
     transitions = {row.word: row.n for row in counted.filter(F.col("word").startswith(">")).collect()}  # at most KINDS * KINDS
     frequent = counted.filter(~F.col("word").startswith(">")).orderBy(F.desc("n"), "word").limit(DICTIONARY).select("word").collect()
     scratch.drop("counts")
-    found = scratch.put(candidates(docs, Dictionary([row.word for row in frequent], transitions), key=key, text=text, path=path), "findings")
-    forest = train_forest(scratch.put(labelled_by_rule(found), "labelled") if labelled is None else labelled)
+    dictionary = Dictionary([row.word for row in frequent], transitions)
+    found = scratch.put(candidates(docs, dictionary, key=key, text=text, path=path), "findings")
+    if labelled is None:
+        labelled = scratch.put(planted_findings(docs, dictionary, key=key, text=text, path=path), "labelled")
+    forest = train_forest(labelled)
     if forest is None or isinstance(forest, float):
         scored = found.withColumn("score", F.lit(0.5 if forest is None else forest))
     else:
