@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from tritempo.llm.common import NOT_ALNUM, Scratch, column_bytes, joined_bytes, lowered, slices, words
 
 LEAST, BESIDE = 16, 48
+#: a word that occurs less often is no word of the dictionary: it may be part of a secret
+COMMON = 3
 DICTIONARY, SHORTEST, LONGEST = 20_000, 3, 8
 TREES, DEPTH = 20, 8
 #: labelled findings of one label that the forest learns from, about, chosen by hash
@@ -220,12 +222,16 @@ def _lead(rng: np.random.Generator, names: tuple[str, ...]) -> tuple[str, str]:
 
 def planted_value(rng: np.random.Generator, own: list[str]) -> tuple[float, str, str, str]:
     """(label, before, value, after): a secret or a look-alike; ``own`` are words of the passage."""
+    word = lambda: own[rng.integers(len(own))] if own else "word"
     if rng.random() < 0.5:
-        kind = ("hex", "base", "wide", "typed")[rng.integers(4)]
-        value = _random(rng, kind, *((9, 16) if kind == "typed" else (16, 48)))
-        lead, quote = _lead(rng, NAMES if kind == "typed" or rng.random() < 0.85 else _OTHERS)
+        kind = ("hex", "base", "wide", "typed", "made")[rng.integers(5)]
+        if kind == "made":  # a password that a person makes up
+            value = word()[: rng.integers(2, 7)].capitalize() + _random(rng, "typed", 2, 6) + str(rng.integers(10_000))
+            value += _random(rng, "typed", max(0, SHORT - len(value)), max(2, SHORT - len(value)))
+        else:
+            value = _random(rng, kind, *((SHORT, 16) if kind == "typed" else (16, 48)))
+        lead, quote = _lead(rng, NAMES if kind in ("typed", "made") or rng.random() < 0.85 else _OTHERS)
         return 1.0, lead, value, quote
-    word = lambda: own[rng.integers(len(own))] if own else "word"
     kind = rng.integers(6)
     if kind == 0:
         lead, quote = _lead(rng, _FILES)
@@ -305,7 +311,7 @@ def secret_findings(docs: DataFrame, labelled: DataFrame | None = None, *, key:
     scratch = Scratch(docs.sparkSession, "secrets")
     counted = scratch.put(corpus_counts(docs, text=text), "counts")
     transitions = {row.word: row.n for row in counted.filter(F.col("word").startswith(">")).collect()}  # at most KINDS * KINDS
-    frequent = counted.filter(~F.col("word").startswith(">")).orderBy(F.desc("n"), "word").limit(DICTIONARY).select("word").collect()
+    frequent = counted.filter(~F.col("word").startswith(">") & (F.col("n") >= COMMON)).orderBy(F.desc("n"), "word").limit(DICTIONARY).select("word").collect()
     scratch.drop("counts")
     dictionary = Dictionary([row.word for row in frequent], transitions)
     found = scratch.put(candidates(docs, dictionary, key=key, text=text, path=path), "findings")
