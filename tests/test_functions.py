@@ -255,6 +255,19 @@ def test_json_values(spark):
     assert single.dtypes == [("k", "bigint")] and [r.k for r in single.collect()] == [7, None, None]
 
 
+def test_json_fields_have_one_rule_however_many_are_asked_for(spark):
+    texts = [
+        '{"k":1,"k":2}', '{"k":null,"k":2}', '{"k":null}', '{"a":{"k":5},"k":6}', '{"K":1}', '{"k": 7', "[1]", "7", "", None, '{"k":1} more', '{"k":{"a":[1]}}',
+        '{"k":NaN,"s":"x"}', '{"s":"it\'s","k":true}', '{"k.b":1,"k":2.50}', '{"k":"a\\"b","s":[1, 2]}',
+    ]
+    rows = spark.createDataFrame([(text,) for text in texts], "j string")
+    few, many = json_values("j", {"k": "text", "s": "text"}), json_values("j", {"k": "text", "s": "text", "k.b": "text"})
+    shown = rows.select(*[each[name].alias(f"{name}{n}") for n, each in enumerate((few, many)) for name in ("k", "s")]).collect()
+    assert [row[:2] for row in shown] == [row[2:] for row in shown]
+    assert [row[0] for row in shown] == ["1", "2", None, "6", None, None, None, None, None, None, "1", '{"a":[1]}', None, "true", "2.5", 'a"b']
+    assert rows.select(json_value("j", "it's", "text")).filter("1 = 0").count() == 0
+
+
 def test_catalog_functions(spark):
     words = spark.createDataFrame([("CURVE",), ("Time_Series",), ("surface",), ("other",)], "c string")
     assert [r[0] for r in words.select(normalize_category("c", "curves")).collect()] == [

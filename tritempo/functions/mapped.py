@@ -113,13 +113,23 @@ def json_value(payload: Column | str, field: str, data_type: str = "") -> Column
     return json_values(payload, {field: data_type})[field]
 
 
+#: up to so many fields are looked up one by one, which reads past the others; beyond, the object is parsed once into a map
+FEW_FIELDS = 2
+
+
 def json_values(payload: Column | str, fields: dict[str, str]) -> dict[str, Column]:
-    """Typed fields of a JSON text column, with the text parsed once per row.
+    """Typed fields of a JSON text column.
 
-    Texts that are no JSON objects have no fields. Of a name that an object has twice the
-    first value counts, however many fields are asked for.
+    Texts that are no JSON objects have no fields. Of a name that an object has more than once
+    the first value that isn't null counts, however many fields are asked for.
     """
     document = F.col(payload) if isinstance(payload, str) else payload
-    parsed = F.from_json(document, "map<string,string>")
-    # a map may hold a name twice; asking for the entry gives the first
-    return {name: F.try_element_at(parsed, F.lit(name)).cast(json_type(kind)) for name, kind in fields.items()}
+    if len(fields) <= FEW_FIELDS:
+        found = {name: F.get_json_object(document, f"$['{name}']") for name in fields if "'" not in name}
+    else:
+        found = {}
+    if len(found) < len(fields):
+        parsed = F.from_json(document, "map<string,string>", {"allowNonNumericNumbers": "false"})
+        there = F.map_filter(parsed, lambda _, value: value.isNotNull())
+        found = {name: F.try_element_at(there, F.lit(name)) for name in fields}
+    return {name: found[name].cast(json_type(kind)) for name, kind in fields.items()}
