@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime, timedelta
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -215,6 +215,10 @@ def relative_delivery(op: str, hours: int) -> Column:
     return OPERATORS[op](relative_delivery_hours(), F.lit(int(hours)))
 
 
+def _both(condition: Column, relative: Iterable[tuple[str, int]]) -> Column:
+    return reduce(and_, [relative_delivery(op, hours) for op, hours in relative], condition)
+
+
 def delivery_and_relative(
     bounds: Iterable[DeliveryBound],
     relative: Iterable[tuple[str, int]],
@@ -223,7 +227,16 @@ def delivery_and_relative(
     one_sided_years: int | None = None,
 ) -> Column:
     """Both windows at once; nothing matches when they do not meet."""
-    condition = delivery_hours(bounds, zone, one_sided_years=one_sided_years)
-    for op, hours in relative:
-        condition = condition & relative_delivery(op, hours)
-    return condition
+    return _both(delivery_hours(bounds, zone, one_sided_years=one_sided_years), relative)
+
+
+def delivery_and_relative_by_zone(
+    bounds: Iterable[DeliveryBound],
+    relative: Iterable[tuple[str, int]],
+    zone: Column | str,
+    zones: Iterable[str],
+    *,
+    one_sided_years: int | None = None,
+) -> Column:
+    """``delivery_and_relative`` for rows of several zones, see ``delivery_hours_by_zone``."""
+    return _both(delivery_hours_by_zone(bounds, zone, zones, one_sided_years=one_sided_years), relative)

@@ -10,7 +10,7 @@ from tritempo.functions.rdp import relative_delivery_period
 from tritempo.functions.shape import Shape
 from tritempo.functions.timecols import format_timestamp
 from tritempo.operators.aggregate import aggregate_delivery
-from tritempo.operators.archive import delivery_hours, delivery_hours_by_zone
+from tritempo.operators.archive import delivery_and_relative_by_zone, delivery_hours, delivery_hours_by_zone
 from tritempo.operators.pruning import quote_days_by_zone
 from tritempo.plans import fixtures as fx
 from tritempo.plans.aggregates import _ANCHOR, _offset_text, _units
@@ -109,6 +109,16 @@ def filter_delivery_zones_plan(spark, sf):
     return _with_zone(spark, sf).filter(condition).select(*_ARCHIVE_COLUMNS)
 
 
+@plan("filter_delivery_and_relative_zones", with_sql("archive_hours", _ARCHIVE + f"""
+    WHERE (({_TOKYO} AND {_HOUR} >= 1997070719 AND {_HOUR} < 1999010109)
+        OR (NOT {_TOKYO} AND {_HOUR} >= 1997070712 AND {_HOUR} < 1999010101))
+      AND date_diff('day', make_date(qte_y, qte_m, qte_d), make_date(del_y, del_m, del_d)) * 24 + del_h BETWEEN 20 AND 44"""))
+def filter_delivery_and_relative_zones_plan(spark, sf):
+    bounds = [("DeliveryStart", "in", tb.interval("1997-07-07T10:00:00Z", "1999-01-01T00:00:00Z"))]
+    condition = delivery_and_relative_by_zone(bounds, [(">=", 20), ("<=", 44)], "zone", _ZONES)
+    return _with_zone(spark, sf).filter(condition).select(*_ARCHIVE_COLUMNS)
+
+
 @plan("select_quote_days_zones", with_sql("archive_hours", _ARCHIVE + f"""
     WHERE ({_TOKYO} AND quote_index BETWEEN 19980602 AND 19990531)
        OR (NOT {_TOKYO} AND quote_index BETWEEN 19980601 AND 19990531)"""))
