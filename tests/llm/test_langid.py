@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from helpers import held_out, rows_of
@@ -36,6 +38,22 @@ def test_held_out_accuracy(documents):
     assert all(0 <= row.score <= 1 for row in found.values())
 
 
+def test_predictions_equal_those_of_each_text_alone(documents):
+    """Brute force: every text by itself, every byte of it, over the network's own probabilities."""
+    model = langid.learned_model(documents)
+    found = {row.doc_id: (row.lang_pred, row.score) for row in langid.language_id(documents).collect()}
+    letters = re.compile(r"[^\W\d_]")
+    for row in documents.orderBy("doc_id").limit(60).collect():
+        raw = np.frombuffer((row.text or "").encode(), np.uint8)
+        symbols, _ = langid.segments(np.array([0, len(raw)]), raw, 0, 1)
+        weight = langid.LETTERS[symbols]
+        mean = (model.probabilities(symbols) * weight[:, None, :]).sum((0, 2)) / max(1, weight.sum())
+        if not letters.search(row.text or ""):
+            assert found[row.doc_id] == ("und", 0.0)
+        else:
+            assert found[row.doc_id][0] == model.languages[mean.argmax()] and abs(found[row.doc_id][1] - mean.max()) < 1e-4
+
+
 def test_odd_rows(odd, nothing):
     found = rows_of(langid.language_id(odd))
     assert len(found) == odd.count()

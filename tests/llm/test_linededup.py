@@ -54,6 +54,48 @@ def test_against_brute_force(spark):
     assert any(found[key] != text for key, text in rows)
 
 
+def by_plain_rule(rows, rare, least):
+    """With short lines, from the definition: which windows name pairs, and which runs of lines go."""
+    lines = {key: text.split("\n") for key, text in sorted(rows)}
+    words = {key: [len(line.split()) for line in own] for key, own in lines.items()}
+    holders = {}
+    for key, own in lines.items():
+        named = set()
+        for one in range(len(own)):
+            ends = [end for end in range(one + 1, len(own) + 1) if sum(words[key][one:end]) >= least]
+            starts = [start for start in range(one + 1) if sum(words[key][start : one + 1]) >= least]
+            named |= {(one, end) for end in ends[:1]} | {(start, one + 1) for start in starts[-1:]}
+        for a, b in named:
+            if b - a == 1 or max(words[key][a:b]) < least:
+                holders.setdefault(tuple(own[a:b]), set()).add(key)
+    result = {}
+    for key, own in lines.items():
+        partners = set()
+        for keys in holders.values():
+            if key in keys:
+                partners |= {other for other in (keys if len(keys) <= rare else {min(keys)}) if other < key}
+        gone = set()
+        for other in partners:
+            runs = {tuple(lines[other][a:b]) for a in range(len(lines[other])) for b in range(a + 1, len(lines[other]) + 1)}
+            for a in range(len(own)):
+                for b in range(a + 1, len(own) + 1):
+                    if sum(words[key][a:b]) >= least and tuple(own[a:b]) in runs:
+                        gone |= set(range(a, b))
+        result[key] = "\n".join(line for at, line in enumerate(own) if at not in gone)
+    return result
+
+
+def test_short_lines_against_the_plain_rule(spark):
+    chosen = random.Random(12)
+    pool = [" ".join(f"w{chosen.randrange(9)}" for _ in range(chosen.choice((1, 1, 2, 2, 3, 4, 6)))) for _ in range(25)]
+    verse = [chosen.sample(pool, 5) for _ in range(4)]
+    rows = [(key, "\n".join([f"only {key}", *chosen.choices(pool, k=4), *chosen.choice(verse), *chosen.choices(pool, k=3)])) for key in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {row.doc_id: row.text for row in ld.line_dedup(frame, short_lines=True).collect()}
+    expected = by_plain_rule(rows, ld.RARE, ld.MIN_WORDS)
+    assert found == expected and found != {row.doc_id: row.text for row in ld.line_dedup(frame).collect()}
+
+
 def test_odd_rows(odd, nothing):
     found = ld.line_dedup(odd)
     assert [name for name in found.columns if name not in ("n_lines", "n_removed")] == [name for name in odd.columns if name != "n_lines"]

@@ -39,6 +39,26 @@ def test_held_out_accuracy(spark, sf):
     assert all(row.predicted == (row.score >= 0.3) for row in found.values())
 
 
+def test_scores_equal_a_plain_fit(spark, sf, documents):
+    """Brute force: one matrix of all documents, one solution, one calibration."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    found = {row.doc_id: row.score for row in quality.quality_scores(documents, labels).collect()}
+    rows = documents.select("doc_id", "text").collect()
+    texts = [(row.text or "").encode() for row in rows]
+    x = np.array(quality.statistics(np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), np.uint8), 0, len(texts)))
+    marks = {row.doc_id: row.quality for row in labels.collect() if row.quality is not None and not held_out(row.doc_id, 5, 0)}
+    kernel = quality.Kernel(x.mean(0), x.std(0))
+    features = kernel(x)
+    own = np.array([row.doc_id in marks for row in rows])
+    y = np.array([float(marks[row.doc_id]) for row in rows if row.doc_id in marks])
+    ridge = quality.RIDGE * own.sum() * np.diag([*[1 / quality.FEATURES] * quality.FEATURES, 1e-9])
+    raw = features @ np.linalg.solve(features[own].T @ features[own] + ridge, features[own].T @ y)
+    bins = np.floor((raw[own] + 0.5) * (quality.BINS / 2))
+    points = sorted((raw[own][bins == each].mean(), y[bins == each].mean(), (bins == each).sum()) for each in np.unique(bins))
+    expected = np.clip(np.interp(raw, *quality.isotonic(*np.array(points, float).T)), 0, 1)
+    assert np.abs(expected - [found[row.doc_id] for row in rows]).max() < 1e-3
+
+
 def test_equal_texts_get_equal_scores_wherever_they_stand(spark):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
     twice = documents.union(documents.select((documents.doc_id + 10**6).alias("doc_id"), *documents.columns[1:])).repartition(7)

@@ -39,6 +39,24 @@ def test_a_group_larger_than_a_shard_is_spread(spark):
     assert len({row[3] for row in found if row[0] < 500}) <= 6
 
 
+def cut_links(rows, found):
+    """Links between neighbours in groups of equal texts whose ends are in different shards, by brute force, and all of them."""
+    shard = {row[0]: row[3] for row in found}
+    groups = {}
+    for row in rows:
+        groups.setdefault(row.text, []).append(shard[row.doc_id])
+    pairs = [(a, b) for group in groups.values() for at, a in enumerate(group) for b in group[at + 1 :]]
+    return sum(a != b for a, b in pairs), len(pairs)
+
+
+def test_few_links_are_cut(spark):
+    rows = [(key, f"text {key} " * (1 + key % 17)) for key in range(600)] + [(1000 + key, f"copied {key % 60} " * 9) for key in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = rows_of(sharding.balanced_shards(frame, shards=8))
+    cut, every = cut_links(frame.collect(), found)
+    assert every == sum(n * (n - 1) // 2 for n in [7] * 40 + [6] * 20) and cut <= 0.15 * every
+
+
 def test_odd_rows(odd, nothing, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 1)  # many buckets
     rows = odd.filter("doc_id is null or doc_id <> 5")
