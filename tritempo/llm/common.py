@@ -39,6 +39,7 @@ class Scratch:
             spark.sparkContext.setCheckpointDir(shared)
         self.spark, self.folder = spark, f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         path, system = self._at(self.folder)
+        system.mkdirs(path)  # what isn't there yet can't be marked
         system.deleteOnExit(path)
 
     def _at(self, name: str):
