@@ -40,11 +40,15 @@ def physical_plan():
 
 
 def partition_sizes(spark, df):
-    """Rows of each partition; small partitions are not joined for it."""
+    """Rows of each partition of a shuffle into eight; small partitions are not joined for it."""
     from pyspark.sql import functions as F
 
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {name: spark.conf.get(name, None) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         return [row["count"] for row in df.groupBy(F.spark_partition_id()).count().collect()]
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

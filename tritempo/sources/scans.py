@@ -18,32 +18,6 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options:
     return spark.read.format(fmt).options(**options).load(path)
 
 
-def read_jdbc(
-    spark: SparkSession,
-    url: str,
-    table: str,
-    *,
-    first_index: int,
-    last_index: int,
-    partitions: int,
-    index_field: str = QUOTE_INDEX,
-    **options: str,
-) -> DataFrame:
-    """A relational table, read in parallel by ranges of its quote-date index; times without a zone stay so."""
-    return (
-        spark.read.format("jdbc")
-        .option("url", url)
-        .option("dbtable", table)
-        .option("partitionColumn", index_field)
-        .option("lowerBound", first_index)
-        .option("upperBound", last_index)
-        .option("numPartitions", partitions)
-        .option("preferTimestampNTZ", "true")
-        .options(**options)
-        .load()
-    )
-
-
 def read_wide_column(spark: SparkSession, fmt: str, keyspace: str, table: str, **options: str) -> DataFrame:
     """An archive table behind a wide-column connector on the class path."""
     return spark.read.format(fmt).option("keyspace", keyspace).option("table", table).options(**options).load()
