@@ -56,7 +56,10 @@ def _joined(numbered: DataFrame, parts: DataFrame, group: Sequence[str]) -> Data
 
 
 def with_positions(df: DataFrame, group: Sequence[str], order: Sequence[Column], *, output: str = "_position") -> DataFrame:
-    """Rows with their zero-based place in their group by the order; rows that tie in it have a fixed order too."""
+    """Rows with their zero-based place in their group by the order; rows that tie in it have a fixed order too.
+
+    Rows that are equal in all columns stay in one partition: the one thing that ranges can't part.
+    """
     order = [*order, any_order(df)]
     if not has_checkpoint_dir(df.sparkSession):
         place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
