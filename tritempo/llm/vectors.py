@@ -264,12 +264,9 @@ def exact_edges(nodes: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def exact_links(nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """(asked, other) of the links of the nodes in ``asked``, which are few enough to be collected, by brute force against all vectors.
-
-    Where both have a ``component``, only those between different ones.
-    """
-    apart = "component" in nodes.columns
-    held = [(row.node, np.frombuffer(row.unit), row.component if apart else row.node) for row in asked.select(*nodes.columns).collect()]
+    """(asked, other) of the links of the nodes in ``asked``, which are few enough to be collected, with those of other components,
+    by brute force against all vectors."""
+    held = [(row.node, np.frombuffer(row.unit), row.component) for row in asked.select("node", "unit", "component").collect()]
     shared = nodes.sparkSession.sparkContext.broadcast(held)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +274,7 @@ def exact_links(nodes: DataFrame, asked: DataFrame) -> DataFrame:
             for rows in _by_length(batch.column("unit")):
                 for begin in range(0, len(rows), 4096):
                     part = batch.take(pa.array(rows[begin : begin + 4096]))
-                    x, node = _matrix(part.column("unit"), np.float64), part.column("node").to_numpy()
-                    group = part.column("component").to_numpy() if apart else node
+                    x, node, group = _matrix(part.column("unit"), np.float64), part.column("node").to_numpy(), part.column("component").to_numpy()
                     queries = [each for each in shared.value if len(each[1]) == x.shape[1]]
                     for start in range(0, len(queries), PRODUCT):
                         some = queries[start : start + PRODUCT]
@@ -286,7 +282,37 @@ def exact_links(nodes: DataFrame, asked: DataFrame) -> DataFrame:
                         at, of = np.nonzero((x @ np.stack([each[1] for each in some]).T >= THRESHOLD) & (group[:, None] != groups))
                         yield pa.RecordBatch.from_arrays([pa.array(names[of]), pa.array(node[at])], ["asked", "other"])
 
-    return nodes.mapInArrow(scan, "asked long, other long")
+    return nodes.select("node", "unit", "component").mapInArrow(scan, "asked long, other long")
+
+
+def link_shares(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, links, same): by brute force against all vectors, the links of the few nodes in ``asked`` and those within their component.
+
+    Tasks hand over sums for every batch, not links, so a large group makes no more rows than a small one.
+    """
+    held = [(row.node, np.frombuffer(row.unit), row.component) for row in asked.select("node", "unit", "component").collect()]
+    shared = nodes.sparkSession.sparkContext.broadcast(held)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, groups = (np.array([each[place] for each in shared.value], np.int64) for place in (0, 2))
+        lengths = np.array([len(each[1]) for each in shared.value], np.int64)
+        sums = np.zeros((2, len(names)), np.int64)
+        for batch in batches:
+            for rows in _by_length(batch.column("unit")):
+                for begin in range(0, len(rows), 4096):
+                    part = batch.take(pa.array(rows[begin : begin + 4096]))
+                    x, node, group = _matrix(part.column("unit"), np.float64), part.column("node").to_numpy(), part.column("component").to_numpy()
+                    own = np.flatnonzero(lengths == x.shape[1])
+                    for start in range(0, len(own), PRODUCT):
+                        some = own[start : start + PRODUCT]
+                        links = (x @ np.stack([shared.value[each][1] for each in some]).T >= THRESHOLD) & (node[:, None] != names[some])
+                        sums[0, some] += links.sum(0)
+                        sums[1, some] += (links & (group[:, None] == groups[some])).sum(0)
+        some = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(sums[0, some]), pa.array(sums[1, some])], ["asked", "links", "same"])
+
+    found = nodes.select("node", "unit", "component").mapInArrow(scan, "asked long, links long, same long")
+    return found.groupBy("asked").agg(F.sum("links").alias("links"), F.sum("same").alias("same"))
 
 
 def audit(nodes: DataFrame, grouped: DataFrame, sample: int = AUDITED) -> tuple[float, float, int]:
@@ -295,11 +321,9 @@ def audit(nodes: DataFrame, grouped: DataFrame, sample: int = AUDITED) -> tuple[
     The sample is taken of all nodes by hash, whatever has been found of them. A link of theirs, by brute force against all vectors,
     is found if both its ends are in one group: links within groups are counted exactly. Recall is 1 where there is no such node.
     """
-    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(sample)
-    own = grouped.select("node", "component")
-    true = exact_links(nodes.select("node", "unit"), asked.select("node", "unit"))
-    true = true.join(own.toDF("asked", "left"), "asked", "left").join(own.toDF("other", "right"), "other", "left")
-    each = true.groupBy("asked").agg(F.count("*").alias("links"), F.avg(F.coalesce(F.col("left") == F.col("right"), F.lit(False)).cast("int")).alias("recall"))
+    own = nodes.select("node", "unit").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    asked = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(sample)
+    each = link_shares(own, own.join(asked, "node", "left_semi")).withColumn("recall", F.col("same") / F.col("links"))
     few = F.col("links") <= LIST
     shown = each.agg(F.avg(F.when(few, F.col("recall"))), F.avg(F.when(~few, F.col("recall"))), F.count(F.when(few, 1))).first()
     return (1.0 if shown[0] is None else shown[0], 1.0 if shown[1] is None else shown[1], shown[2])
@@ -310,10 +334,9 @@ def all_edges(scratch: Scratch, nodes: DataFrame, grouped: DataFrame, count: int
     cuts = math.ceil(max(1, count) / BLOCK)
     own = nodes.select("node", "unit").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     own = scratch.put(own.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(cuts))), "blocks")
-    names = ("node", "unit", "component")
     found = None
     for block in range(cuts):
-        links = exact_links(own.select(*names), own.filter(F.col("block") == block).select(*names)).filter("asked < other").toDF("a", "b")
+        links = exact_links(own, own.filter(F.col("block") == block)).filter("asked < other").toDF("a", "b")
         links = scratch.put(links, f"exact-{block}")
         found = links if found is None else found.union(links)
     return found
