@@ -83,6 +83,47 @@ def test_versions_are_not_paired_with_requests(versions, requests, physical_plan
         as_of_join(requests.withColumn("value", F.lit(1)), versions, ["MdoId"])
 
 
+def test_requests_of_a_series_are_not_repeated_for_its_keys(versions, requests, physical_plan):
+    wide = latest_reference_times_as_of(versions, requests, ["MdoId", "ReferenceTime", "value"])
+    for found, joins in ((versions_as_of(versions, requests, tiebreak=["n"]), 1), (wide, 2)):
+        text = physical_plan(found)
+        assert text.count("Join") == joins
+        above = text[:text.index("Join")]  # what meets isn't sorted, summed up or sent on
+        assert not [word for word in ("Exchange", "Sort ", "Aggregate", "Window") if word in above]
+
+
+@pytest.mark.parametrize("span", [86_400, 3_600, 10**9])
+@pytest.mark.parametrize("keys", [["MdoId", "ReferenceTime"], ["MdoId", "ReferenceTime", "part"]])
+def test_newest_versions_of_all_keys_equal_the_plain_rule(data, versions, requests, span, keys):
+    """Keys with versions in many spans, in none, and with null parts; repeated requests and ones of no time."""
+    rows = [(*row, row[4] % 3 or None) for row in data]
+    place = {"MdoId": 0, "ReferenceTime": 1, "part": 6}
+    versions = versions.withColumn("part", F.expr("nullif(n % 3, 0)"))
+    expected, at_largest = [], []
+    for key, at, name in map(tuple, requests.collect()):
+        newest, largest = {}, {}
+        known = [row for row in rows if key is not None and row[0] == key and at is not None and row[2] is not None and row[2] <= at]
+        for row in sorted(known, key=lambda row: (row[2], row[4])):
+            newest[tuple(row[place[field]] for field in keys)] = row
+        top = max([row[1] for row in known if row[1]], default=None)
+        expected += [(name, row[4]) for row in newest.values() if not row[3]]
+        at_largest += [(name, row[4]) for row in newest.values() if not row[3] and top and row[1] == top]
+    found = versions_as_of(versions, requests, keys, tiebreak=["n"], span=span)
+    rest = [name for name in versions.columns if name not in keys]
+    assert found.columns == ["MdoId", "AsOf", "request", *keys[1:], *rest]
+    assert sorted((row.request, row.n) for row in found.collect()) == sorted(expected)
+    latest = latest_reference_times_as_of(versions, requests, keys, tiebreak=["n"], span=span)
+    assert sorted((row.request, row.n) for row in latest.filter("MdoId is not null").collect()) == sorted(at_largest)
+    hidden = versions_as_of(versions, requests, keys, tiebreak=["n"], span=span, include_deleted=True).filter("Deleted")
+    assert hidden.count() + len(expected) == versions_as_of(versions, requests, keys, tiebreak=["n"], include_deleted=True).count() > len(expected)
+    with pytest.raises(ValueError, match="value"):
+        versions_as_of(versions, requests.withColumn("value", F.lit(1)), keys)
+
+
+def test_empty_sides_of_all_keys(versions, requests):
+    assert versions_as_of(versions, requests.filter("MdoId = 77")).count() == versions_as_of(versions.filter("n < 0"), requests).count() == 0
+
+
 def test_empty_sides(versions, requests):
     assert as_of_join(requests.filter("MdoId = 77"), versions, ["MdoId"]).count() == 0
     assert as_of_join(requests, versions.filter("n < 0"), ["MdoId"]).count() == 0

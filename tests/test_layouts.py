@@ -128,3 +128,21 @@ def test_range_join_refuses_columns_of_both_sides_and_takes_empty_sides(spark, s
         found = range_join(rows, some, ["key"], "at")
         assert found.count() == 0 and found.columns == ["key", "at", "n", "first", "last", "part"]
     assert range_join(rows.filter("n = 10000000"), windows, ["key"], "at").count() == 0
+
+
+def test_ranges_as_many_as_rows_are_not_kept(sides, spark, sf, physical_plan):
+    rows, windows, expected = sides
+    found = range_join(rows, windows, ["key"], "at", ahead=False)
+    assert Counter((row.key, row.n, row.part) for row in found.collect()) == expected
+    events = fx.table(spark, sf, "events")
+    ranges = events.selectExpr("user_id", "ts as first", "cast(null as timestamp_ntz) as last")
+    kept = [physical_plan(range_join(events, ranges, ["user_id"], "ts", ahead=ahead)).count("Scan ExistingRDD") for ahead in (True, False)]
+    assert kept == [1, 0]
+
+
+@pytest.mark.parametrize("ahead", [True, False])
+def test_rows_of_no_time_meet_no_open_range(sides, ahead):
+    rows, windows, expected = sides
+    unplaced = rows.withColumn("at", F.when(F.col("n") < 0, F.col("at")))
+    found = range_join(unplaced, windows.filter("key = 3"), ["key"], "at", ahead=ahead)
+    assert Counter((row.key, row.n, row.part) for row in found.collect()) == Counter({each: count for each, count in expected.items() if each[0] == 3 and each[1] < 0})

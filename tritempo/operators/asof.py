@@ -6,6 +6,9 @@ version, or the largest value so far. Versions are never paired with requests.
 A line may hold a large part of all rows, so it is cut into spans of time. Within its span a request sees the versions
 before it; of every earlier span it needs only what that span ends with, a row per key and span, summed up within the map
 tasks. Those few rows are what a window over a whole key reads.
+
+A request of a whole series, which takes the newest version of each of its keys, isn't repeated for the keys. Every version has
+a time from which and one up to which it is the newest of its key, and a request meets those of its series that hold its time.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from tritempo.constants import CREATED_ON, DELETED, REFERENCE_TIME, VERSIONED_ID
 from tritempo.functions.predicates import at as at_time
 from tritempo.functions.predicates import not_deleted
 from tritempo.functions.timecols import epoch_seconds
+from tritempo.operators.ranges import range_join
 from tritempo.operators.versions import DEFAULT_KEYS
 
 AS_OF = "AsOf"
@@ -85,6 +89,36 @@ def as_of_join(
     return found.select(*[f"`{name}`" for name in requests.columns], "_found.*")
 
 
+def held_until(
+    versions: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, *, created: str = CREATED_ON, tiebreak: Sequence[str] = (), span: int = SPAN, output: str = "_until"
+) -> DataFrame:
+    """Versions with the time at which the next of their keys was created, null for the last one; versions of no time are left out.
+
+    Null keys are equal. Of versions of one time all but the largest by ``tiebreak`` end when they begin. A window reads a key's versions of a span
+    and, as its last row, the time of the first one after it.
+    """
+    own = [*keys, "_span"]
+    dated = versions.filter(F.col(created).isNotNull()).withColumn("_span", F.floor(epoch_seconds(F.col(created)) / span))
+    firsts = dated.groupBy(*own).agg(F.min(created).alias("_first"))
+    after = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_span"))
+    ends = firsts.select(*own, after.alias(created)).filter(F.col(created).isNotNull()).withColumn("_end", F.lit(True))
+    line = dated.withColumn("_end", F.lit(False)).unionByName(ends, allowMissingColumns=True)
+    upwards = Window.partitionBy(*own).orderBy(created, *tiebreak)
+    return line.withColumn(output, F.lead(created).over(upwards)).filter("not _end").drop("_span", "_end")
+
+
+def _newest_at(
+    requests: DataFrame, versions: DataFrame, keys: Sequence[str], shared: Sequence[str], at: str, created: str, columns: Sequence[str] | None, kept: Column, **options
+) -> DataFrame:
+    """Requests with the newest known version of every key that has their values of the ``shared`` columns, if it is ``kept``."""
+    columns = list(columns or [name for name in versions.columns if name not in keys])
+    rest = [f"`{name}`" for name in [*[name for name in keys if name not in shared], *columns]]
+    held = held_until(versions, keys, created=created, **options).filter(kept)
+    held = held.select(*shared, *rest, F.col(created).alias("_from"), "_until")
+    met = range_join(requests, held, list(shared), at, first="_from", last="_until", ahead=False)
+    return met.select(*shared, *[f"`{name}`" for name in requests.columns if name not in shared], *rest)
+
+
 def versions_as_of(
     versions: DataFrame,
     requests: DataFrame,
@@ -94,16 +128,15 @@ def versions_as_of(
     id_col: str = VERSIONED_IDENTIFIER,
     include_deleted: bool = False,
     deleted: str = DELETED,
+    created: str = CREATED_ON,
+    columns: Sequence[str] | None = None,
     **options,
 ) -> DataFrame:
     """``version_as_of`` for a table of (id, as of, ...): for every request the newest known version of each key of its series.
 
-    Requests are repeated for every key of their series, which is what they return. A newest version that is deleted hides its key.
+    A newest version that is deleted hides its key. Null keys other than the id are equal.
     """
-    own = versions.select(*keys).distinct()
-    asked = requests.join(own, id_col)
-    found = as_of_join(asked, versions, keys, at=at, **options)
-    return found.filter(not_deleted(include_deleted, field=deleted))
+    return _newest_at(requests, versions, keys, [id_col], at, created, columns, not_deleted(include_deleted, field=deleted), **options)
 
 
 def latest_reference_times_as_of(
@@ -128,8 +161,7 @@ def latest_reference_times_as_of(
     """
     known = versions if before is None else versions.filter(at_time(reference, *before))
     newest = _running(requests, known, [id_col], at, created, F.col(reference), (), True, reference, span).filter(F.col(reference).isNotNull())
-    rest = [name for name in keys if name not in (id_col, reference)]
-    if rest:
-        newest = newest.join(known.select(*keys).distinct(), [id_col, reference])
-    found = as_of_join(newest, known, keys, at=at, created=created, span=span, **options)
-    return found.filter(not_deleted(include_deleted, field=deleted))
+    kept = not_deleted(include_deleted, field=deleted)
+    if any(name not in (id_col, reference) for name in keys):
+        return _newest_at(newest, known, keys, [id_col, reference], at, created, options.pop("columns", None), kept, span=span, **options)
+    return as_of_join(newest, known, keys, at=at, created=created, span=span, **options).filter(kept)

@@ -54,11 +54,13 @@ def range_join(
     *,
     first: str = "first",
     last: str = "last",
+    ahead: bool = True,
 ) -> DataFrame:
     """Rows with the columns of every range of their key that holds their instant.
 
     ``instant``, ``first`` and ``last`` are times without a zone. Rows with a null instant or key meet nothing, nor does an
-    empty range anything. Columns of ``ranges`` other than the keys must not be columns of ``rows``.
+    empty range anything. Columns of ``ranges`` other than the keys must not be columns of ``rows``. Ranges that are as many as
+    the rows of a large table are neither kept nor measured with ``ahead=False``; rows are then repeated for every level there is.
     """
     shared = {name.lower() for name in rows.columns} & ({name.lower() for name in ranges.columns} - {key.lower() for key in keys})
     if shared:
@@ -66,7 +68,8 @@ def range_join(
     start, end = epoch_seconds(F.col(first)), epoch_seconds(F.col(last))
     held = ranges.filter(F.coalesce(F.col(first) < F.col(last), F.lit(True)))
     held = held.withColumn("_level", _level(start, end))
-    if has_checkpoint_dir(rows.sparkSession):
+    ahead = ahead and has_checkpoint_dir(rows.sparkSession)
+    if ahead:
         held = stored(held)
         levels = sorted(row["_level"] for row in held.select("_level").distinct().collect())
     else:
@@ -80,8 +83,9 @@ def range_join(
     time = F.col(instant) if isinstance(instant, str) else instant
     second = epoch_seconds(F.col("_instant"))
     places = F.array(*[F.struct(F.lit(level).alias("_level"), _bin(second, level).alias("_bin")) for level in levels])
-    placed = rows.withColumn("_instant", time).withColumn("_place", F.explode(places)).select("*", "_place.*").drop("_place")
-    met = placed.join(sized(held), [*keys, "_level", "_bin"])
+    dated = rows.withColumn("_instant", time).filter("_instant is not null")
+    placed = dated.withColumn("_place", F.explode(places)).select("*", "_place.*").drop("_place")
+    met = placed.join(sized(held) if ahead else held, [*keys, "_level", "_bin"])
     within = F.coalesce(F.col("_instant") >= F.col(first), F.lit(True)) & F.coalesce(F.col("_instant") < F.col(last), F.lit(True))
     return met.filter(within).drop("_level", "_bin", "_instant")
 
